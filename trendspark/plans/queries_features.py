@@ -47,12 +47,12 @@ select sector_label,
   coalesce(sum(case when date >= {ASOF} - INTERVAL 1 MONTH then amount_usd end), 0) / 1::DOUBLE as amount_rate_1m,
   coalesce(sum(case when date >= {ASOF} - INTERVAL 3 MONTH then amount_usd end), 0) / 3::DOUBLE as amount_rate_3m,
   coalesce(sum(case when date >= {ASOF} - INTERVAL 6 MONTH then amount_usd end), 0) / 6::DOUBLE as amount_rate_6m
-from funding group by sector_label"""), d2=("amount_rate_1m", "amount_rate_3m", "amount_rate_6m")))
+from funding group by sector_label"""), d4=("amount_rate_1m", "amount_rate_3m", "amount_rate_6m")))
 def sum_rates(spark, sf):
     f = B.funding(spark, sf)
     return present(f.groupBy(*K).agg(*[feat.sum_rate("date", "amount_usd", B.AS_OF, m).alias(f"amount_rate_{m}m")
                                        for m in (1, 3, 6)]),
-                   d2=("amount_rate_1m", "amount_rate_3m", "amount_rate_6m"))
+                   d4=("amount_rate_1m", "amount_rate_3m", "amount_rate_6m"))
 
 
 # ----------------------------------------------------------------- AG-3
@@ -265,10 +265,10 @@ select main.sector_label, funding_deals_velocity_3m, funding_deals_velocity_6m,
 from main left join g on main.sector_label is not distinct from g.sector_label"""),
     d6=("funding_deals_velocity_3m", "funding_deals_velocity_6m", "avg_round_size_usd", "median_round_size_usd",
         "funding_amount_gini", "seed_ratio", "series_a_ratio", "late_stage_ratio"),
-    d2=("funding_amount_velocity_3m_usd", "funding_amount_velocity_6m_usd")))
+    d4=("funding_amount_velocity_3m_usd", "funding_amount_velocity_6m_usd")))
 def funding_features(spark, sf):
     return present(feat.funding_features(B.funding(spark, sf), keys=K, as_of=B.AS_OF),
-                   d2=("funding_amount_velocity_3m_usd", "funding_amount_velocity_6m_usd"))
+                   d4=("funding_amount_velocity_3m_usd", "funding_amount_velocity_6m_usd"))
 
 
 # ----------------------------------------------------------------- AG-18

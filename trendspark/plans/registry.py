@@ -2,7 +2,8 @@
 
 A query is ``fn(spark, sf_dir) -> DataFrame``. Its oracle is ANSI SQL that
 DuckDB runs over the same Parquet tables (registered as views). Both sides
-finish the same way: doubles rounded (6 places unless stated), timestamps
+finish the same way: doubles rounded (6 places; money sums 4 places, where k-month
+rates of cent amounts can never sit on a rounding tie), timestamps
 as ``yyyy-MM-dd HH:mm:ss`` text, lists joined with ``|``, integers as bigint,
 so the comparison is exact.
 """
@@ -31,14 +32,14 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-def present(df: DataFrame, d2: tuple[str, ...] = (), d0: tuple[str, ...] = ()) -> DataFrame:
+def present(df: DataFrame, d4: tuple[str, ...] = (), d0: tuple[str, ...] = ()) -> DataFrame:
     """Spark-side finish: see module doc."""
     cols = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         t = f.dataType
         if isinstance(t, (T.DoubleType, T.FloatType, T.DecimalType)):
-            places = 2 if f.name in d2 else (0 if f.name in d0 else 6)
+            places = 4 if f.name in d4 else (0 if f.name in d0 else 6)
             c = F.round(c.cast("double"), places) + F.lit(0.0)
         elif isinstance(t, (T.IntegerType, T.ShortType, T.ByteType, T.LongType)):
             c = c.cast("bigint")
@@ -52,12 +53,12 @@ def present(df: DataFrame, d2: tuple[str, ...] = (), d0: tuple[str, ...] = ()) -
     return df.select(*cols)
 
 
-def finish_sql(sql: str, d6: tuple[str, ...] = (), d2: tuple[str, ...] = (), d0: tuple[str, ...] = (),
+def finish_sql(sql: str, d6: tuple[str, ...] = (), d4: tuple[str, ...] = (), d0: tuple[str, ...] = (),
                ints: tuple[str, ...] = (), ts: tuple[str, ...] = (), dates: tuple[str, ...] = (),
                arrays: tuple[str, ...] = ()) -> str:
     """DuckDB-side finish matching ``present``."""
     repl = ([f"round(CAST({c} AS DOUBLE), 6) + 0.0 AS {c}" for c in d6]
-            + [f"round(CAST({c} AS DOUBLE), 2) + 0.0 AS {c}" for c in d2]
+            + [f"round(CAST({c} AS DOUBLE), 4) + 0.0 AS {c}" for c in d4]
             + [f"round(CAST({c} AS DOUBLE), 0) + 0.0 AS {c}" for c in d0]
             + [f"CAST({c} AS BIGINT) AS {c}" for c in ints]
             + [f"strftime({c}, '%Y-%m-%d %H:%M:%S') AS {c}" for c in ts]
