@@ -204,7 +204,7 @@ def keyword_counts(spark, sf):
 
 
 # ----------------------------------------------------------------- AG-16
-@register("patent_features", finish_sql(with_views(["patents"], f"""
+_PATENT_FEATURES_BODY = f"""
 with main as (
   select sector_label,
     count_if(filing_date >= {ASOF} - INTERVAL 3 MONTH) / 3::DOUBLE as filing_rate_3m,
@@ -230,7 +230,10 @@ select main.sector_label, filing_rate_3m, filing_rate_6m, filing_rate_12m,
        coalesce(unique_inventor_count, 0) as unique_inventor_count,
        citation_velocity_avg, forward_citation_rate_avg, international_filing_ratio
 from main left join div on main.sector_label is not distinct from div.sector_label
-          left join inv on main.sector_label is not distinct from inv.sector_label"""),
+          left join inv on main.sector_label is not distinct from inv.sector_label"""
+
+
+@register("patent_features", finish_sql(with_views(["patents"], _PATENT_FEATURES_BODY),
     d6=("filing_rate_3m", "filing_rate_6m", "filing_rate_12m", "tech_diversity_shannon",
         "citation_velocity_avg", "forward_citation_rate_avg", "international_filing_ratio"),
     ints=("unique_inventor_count",)))
@@ -239,7 +242,7 @@ def patent_features(spark, sf):
 
 
 # ----------------------------------------------------------------- AG-17
-@register("funding_features", finish_sql(with_views(["funding"], f"""
+_FUNDING_FEATURES_BODY = f"""
 with main as (
   select sector_label,
     count_if(date >= {ASOF} - INTERVAL 3 MONTH) / 3::DOUBLE as funding_deals_velocity_3m,
@@ -262,7 +265,10 @@ select main.sector_label, funding_deals_velocity_3m, funding_deals_velocity_6m,
        funding_amount_velocity_3m_usd, funding_amount_velocity_6m_usd,
        avg_round_size_usd, median_round_size_usd, coalesce(funding_amount_gini, 0) as funding_amount_gini,
        seed_ratio, series_a_ratio, late_stage_ratio
-from main left join g on main.sector_label is not distinct from g.sector_label"""),
+from main left join g on main.sector_label is not distinct from g.sector_label"""
+
+
+@register("funding_features", finish_sql(with_views(["funding"], _FUNDING_FEATURES_BODY),
     d6=("funding_deals_velocity_3m", "funding_deals_velocity_6m", "avg_round_size_usd", "median_round_size_usd",
         "funding_amount_gini", "seed_ratio", "series_a_ratio", "late_stage_ratio"),
     d4=("funding_amount_velocity_3m_usd", "funding_amount_velocity_6m_usd")))
@@ -272,7 +278,7 @@ def funding_features(spark, sf):
 
 
 # ----------------------------------------------------------------- AG-18
-@register("research_features", finish_sql(with_views(["papers"], f"""
+_RESEARCH_FEATURES_BODY = f"""
 with main as (
   select sector_label,
     count_if(published_date >= {ASOF} - INTERVAL 3 MONTH) / 3::DOUBLE as publication_rate_3m,
@@ -293,7 +299,10 @@ div as (
 select main.sector_label, publication_rate_3m, publication_rate_6m, avg_citation_count, avg_authors_per_paper,
        coalesce(category_diversity_shannon, 0) as category_diversity_shannon,
        avg_abstract_length, avg_keyword_count, sum_keyword_count
-from main left join div on main.sector_label is not distinct from div.sector_label"""),
+from main left join div on main.sector_label is not distinct from div.sector_label"""
+
+
+@register("research_features", finish_sql(with_views(["papers"], _RESEARCH_FEATURES_BODY),
     d6=("publication_rate_3m", "publication_rate_6m", "avg_citation_count", "avg_authors_per_paper",
         "category_diversity_shannon", "avg_abstract_length", "avg_keyword_count"),
     ints=("sum_keyword_count",)))
@@ -306,3 +315,27 @@ def research_features(spark, sf):
 select sector_label, count(*) as n_rows from patents group by sector_label"""), ints=("n_rows",)))
 def sector_counts(spark, sf):
     return present(B.patents(spark, sf).groupBy(*K).agg(F.count(F.lit(1)).alias("n_rows")))
+
+
+def _as_ctes(body: str, prefix: str) -> str:
+    """Turn ``with a as (..), b as (..) select ..`` into prefixed CTEs ending
+    in a CTE named ``prefix``."""
+    import re
+    body = body.strip()
+    names = re.findall(r"(?:^with|,)\s*(\w+) as \(", body)
+    for n in names:
+        body = re.sub(rf"\b{n}\b", f"{prefix}_{n}", body)
+    head, _, tail = body.rpartition("\nselect ")
+    return head[len("with "):] + f",\n{prefix} as (select {tail})"
+
+
+# Oracle CTEs with the three bundles per sector (used by the index oracle).
+ORACLES_FOR_INDICES = with_views(["patents", "funding", "papers"], f"""with
+{_as_ctes(_PATENT_FEATURES_BODY, "pb")},
+{_as_ctes(_FUNDING_FEATURES_BODY, "fb")},
+{_as_ctes(_RESEARCH_FEATURES_BODY, "rb")},
+bundles as (
+  select coalesce(pb.sector_label, fb.sector_label, rb.sector_label) as sector_label,
+         pb.* exclude (sector_label), fb.* exclude (sector_label), rb.* exclude (sector_label)
+  from pb full outer join fb on pb.sector_label is not distinct from fb.sector_label
+  full outer join rb on coalesce(pb.sector_label, fb.sector_label) is not distinct from rb.sector_label)""")

@@ -115,13 +115,17 @@ select case event_type when 'click' then 'patents_pipeline' when 'view' then 'fu
        ts last_run_timestamp, case when value >= 20 then 'SUCCESS' else 'FAILED' end status,
        props details, event_id row_key
 from events""",
-    "market": "select sector_label, sum(amount_usd) market_size_usd from funding group by 1",
+    "market": """
+select c_mktsegment sector_label, sum(o_totalprice) market_size_usd
+from orders join customer on o_custkey = c_custkey group by 1""",
 }
-_VIEW_DEPS = {"market": ("funding",)}
+_VIEW_DEPS: dict[str, tuple[str, ...]] = {}
 
 
 def with_views(names: tuple[str, ...] | list[str], body: str) -> str:
     """Prefix ``body`` with CTEs for the named views (dependencies first)."""
+    import re
+    defined = {n for n in DUCK_VIEWS if re.search(rf"(?i)(?:^\s*with|,)\s*{n}\s+as\s*\(", body)}
     ordered: list[str] = []
     for n in names:
         for dep in _VIEW_DEPS.get(n, ()):
@@ -129,8 +133,11 @@ def with_views(names: tuple[str, ...] | list[str], body: str) -> str:
                 ordered.append(dep)
         if n not in ordered:
             ordered.append(n)
-    ctes = ",\n".join(f"{n} AS ({DUCK_VIEWS[n]})" for n in ordered)
+    ordered = [n for n in ordered if n not in defined]
     body = body.strip()
-    if body.upper().startswith("WITH "):
+    if not ordered:
+        return body
+    ctes = ",\n".join(f"{n} AS ({DUCK_VIEWS[n]})" for n in ordered)
+    if re.match(r"(?i)with\s", body):
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"
