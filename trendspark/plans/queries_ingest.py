@@ -86,9 +86,10 @@ def paper_feed_lines(spark, sf) -> DataFrame:
     return r.select(F.to_json(rec).alias("payload"))
 
 
-_MONTH_TEXT = (F.when(F.col("_d") % 3 == 0, F.date_format("published_date", "MMM"))
-               .when(F.col("_d") % 3 == 1, F.date_format("published_date", "MMMM"))
-               .otherwise(F.month("published_date").cast("string")))
+def _month_text() -> Column:
+    return (F.when(F.col("_d") % 3 == 0, F.date_format("published_date", "MMM"))
+            .when(F.col("_d") % 3 == 1, F.date_format("published_date", "MMMM"))
+            .otherwise(F.month("published_date").cast("string")))
 
 
 def article_xml_docs(spark, sf) -> DataFrame:
@@ -107,7 +108,7 @@ def article_xml_docs(spark, sf) -> DataFrame:
         F.when(F.col("_d") % 31 != 0, F.concat(F.lit("<AuthorList>"), F.array_join(author, ""),
                                                F.lit("</AuthorList>"))).otherwise(F.lit("")),
         F.lit("<Journal><JournalIssue><PubDate><Year>"), F.year("published_date").cast("string"),
-        F.lit("</Year><Month>"), _MONTH_TEXT, F.lit("</Month>"),
+        F.lit("</Year><Month>"), _month_text(), F.lit("</Month>"),
         F.when(F.col("_d") % 4 != 0, F.concat(F.lit("<Day>"), F.dayofmonth("published_date").cast("string"),
                                               F.lit("</Day>"))).otherwise(F.lit("")),
         F.lit("</PubDate></JournalIssue></Journal></Article></MedlineCitation></PubmedArticle>"))
