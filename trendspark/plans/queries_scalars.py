@@ -26,7 +26,7 @@ select row_key,
   true as sc8_finite,
   log2(amount_usd) as sc9_log2, sign(amount_usd - 150000) as sc9_sign, abs(amount_usd - 150000) as sc9_abs,
   sqrt(amount_usd) as sc9_sqrt,
-  greatest(0.0, least(1.0, amount_usd / 310000 - 0.2)) as sc10_clamp,
+  greatest(0.0, least(1.0, amount_usd / 310001 - 0.2)) as sc10_clamp,
   case when amount_usd / 100000 >= 3 then 'large' when amount_usd / 100000 >= 1.5 then 'mid' else 'small' end as sc11_band,
   printf('%.2f', amount_usd / 7) as sc12_fixed2, concat(printf('%.2f', amount_usd / 1000000 * 100), '%') as sc12_pct,
   printf('%.0f', amount_usd / 1000000) as sc12_fixed0, printf('%.3f', amount_usd / 13) as sc12_fixed3,
@@ -36,7 +36,7 @@ select row_key,
   strftime(date, '%Y%m%d') as sc16_compact,
   concat_ws('|', stage, currency, 'x') as sc16_split,
   concat_ws('|', case when amount_usd / 100000 > 1.0 then 'a' end, 'c') as sc17_keys,
-  (amount_usd / 70000 + 1.0) / 2 as sc18_mean,
+  (amount_usd / 70001 + 1.0) / 2 as sc18_mean,
   case when stage = 'seed' then null else abs(amount_usd - 150000) / 150000 end as sc19_change,
   stage = 'seed' as sc19_infinite
 from funding""")
@@ -66,7 +66,7 @@ def scalar_pack(spark, sf):
         S.finite(F.col("amount_usd") / 1e5).alias("sc8_finite"),
         F.log2("amount_usd").alias("sc9_log2"), F.signum(F.col("amount_usd") - 150000).alias("sc9_sign"),
         F.abs(F.col("amount_usd") - 150000).alias("sc9_abs"), F.sqrt("amount_usd").alias("sc9_sqrt"),
-        S.clamp01(F.col("amount_usd") / 310000 - 0.2).alias("sc10_clamp"),
+        S.clamp01(F.col("amount_usd") / 310001 - 0.2).alias("sc10_clamp"),
         S.bands(F.col("amount_usd") / 100000, [(3.0, "large"), (1.5, "mid")], "small").alias("sc11_band"),
         S.fixed(F.col("amount_usd") / 7, 2).alias("sc12_fixed2"),
         S.percent(F.col("amount_usd") / 1000000).alias("sc12_pct"),
@@ -78,7 +78,7 @@ def scalar_pack(spark, sf):
         S.ymd_compact(F.date_format("date", "yyyy-MM-dd")).alias("sc16_compact"),
         F.array_join(S.split_trim(F.concat("stage", F.lit(" , "), "currency", F.lit(",x "))), "|").alias("sc16_split"),
         F.array_join(F.map_keys(S.filter_map_by_value(m, ">", 1.0)), "|").alias("sc17_keys"),
-        S.row_mean([F.col("amount_usd") / 70000, F.lit(None).cast("double"), F.lit(1.0)]).alias("sc18_mean"),
+        S.row_mean([F.col("amount_usd") / 70001, F.lit(None).cast("double"), F.lit(1.0)]).alias("sc18_mean"),
         F.when(F.isnan(change) | (F.abs(change) == float("inf")), F.lit(None)).otherwise(change).alias("sc19_change"),
         (F.abs(change) == float("inf")).alias("sc19_infinite"))
     return present(out)
