@@ -183,8 +183,15 @@ def median_impute(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
 
 
 def drop_incomplete(df: DataFrame, cols: list[str] | None = None, how: str = "any") -> DataFrame:
-    """WN-7: drop rows with any / all nulls in ``cols`` (all columns by default)."""
-    return df.dropna(how=how, subset=cols)
+    """WN-7: drop rows with any / all nulls in ``cols`` (all columns by default).
+
+    Written as one null-count predicate rather than ``dropna`` (one IsNotNull
+    per column): on wide panels the per-column constraints multiply through
+    the optimizer's constraint propagation; a single sum does not."""
+    cols = list(cols or df.columns)
+    nulls = sum((F.col(c).isNull().cast("int") for c in cols), F.lit(0))
+    keep = (nulls == 0) if how == "any" else (nulls < len(cols))
+    return df.where(keep)
 
 
 def numeric_columns(df: DataFrame, exclude: tuple[str, ...] = ()) -> list[str]:

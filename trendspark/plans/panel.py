@@ -17,6 +17,7 @@ from trendspark.operators import timeseries as ts
 from trendspark.operators.common import join_keys
 from trendspark.operators.features import funding_features
 from trendspark.params import DOMESTIC_SOURCES
+from trendspark.session import ensure_checkpoint_dir, materialize
 
 K = ["sector_label"]
 TS = ts.TS
@@ -91,13 +92,18 @@ def training_table(spark: SparkSession, sf: str, end: dt.datetime = B.AS_OF,
                    lags: tuple[int, ...] = LAGS) -> DataFrame:
     """WN-14: aligned → z-score per sector (population std) → lags →
     median fill per sector → drop rows still incomplete."""
-    aligned = aligned_panel(spark, sf, end)
+    # the aligned panel is sectors × months (bounded); a reliable checkpoint
+    # cuts its long lineage so the optimizer does not re-derive it per step
+    ensure_checkpoint_dir(spark)
+    aligned = aligned_panel(spark, sf, end).checkpoint(eager=True)
     feats = feature_columns(aligned)
     scaled = ts.zscore(aligned, K, feats)
     with_lags = ts.lagged(scaled, K, feats, lags)
     all_feats = feature_columns(with_lags)
     filled = ts.median_impute(with_lags, K, all_feats)
-    return ts.drop_incomplete(filled, all_feats + ["target_growth_6m"], "any")
+    table = ts.drop_incomplete(filled, all_feats + ["target_growth_6m"], "any")
+    # written once (bounded: sectors × months); fits and folds read the table
+    return materialize(table, "training-table")
 
 
 def history_table(spark: SparkSession, sf: str, end: dt.datetime = B.AS_OF) -> DataFrame:

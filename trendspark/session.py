@@ -46,3 +46,16 @@ def local_session(cpus: int | None = None, shuffle_partitions: int | None = None
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     return spark
+
+
+def materialize(df, name: str):
+    """Cut lineage with a written table in the cluster's checkpoint folder
+    and read it back. Used for wide frames, where ``checkpoint()`` would carry
+    the source plan's (large) constraint set into the new relation."""
+    import uuid
+
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/trendspark-tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
