@@ -39,6 +39,12 @@ def append_status(spark: SparkSession, path: str, pipeline: str, status: str, de
     spark.createDataFrame(row, STATUS_SCHEMA).write.mode("append").parquet(path)
 
 
+def read_status_log(spark: SparkSession, path: str) -> DataFrame:
+    """The appended status files (schemas merged: extra columns such as a
+    tie-break key may appear in later appends)."""
+    return spark.read.option("mergeSchema", "true").parquet(path)
+
+
 def latest_status(log: DataFrame, tie: str | None = None) -> DataFrame:
     """MO-1: latest row per pipeline (partial aggregate; skew-safe)."""
     order = F.struct(F.col("last_run_timestamp"), *([F.col(tie)] if tie else []))

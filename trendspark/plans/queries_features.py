@@ -7,7 +7,7 @@ from trendspark import bindings as B
 from trendspark.functions.text import keyword_count
 from trendspark.operators import features as feat
 from trendspark.params import FeatureParams
-from trendspark.plans.registry import AS_OF_SQL as ASOF, finish_sql, present, register, with_views
+from trendspark.plans.registry import AS_OF_SQL as ASOF, ORACLES, finish_sql, present, register, with_views
 
 # FIXED VALUES: keywords frequent in the English rows of the documents table.
 PAPER_KEYWORDS = ("thatin", "ononst", "inoran", "hehely", "orantion")
@@ -339,3 +339,19 @@ bundles as (
          pb.* exclude (sector_label), fb.* exclude (sector_label), rb.* exclude (sector_label)
   from pb full outer join fb on pb.sector_label is not distinct from fb.sector_label
   full outer join rb on coalesce(pb.sector_label, fb.sector_label) is not distinct from rb.sector_label)""")
+
+
+# ----------------------------------------------------------------- SRC-2 / SNK-1
+@register("cached_funding_features", ORACLES["funding_features"])
+def cached_funding_features(spark, sf):
+    """Built and written on the first call, read back on the second."""
+    import uuid
+    from trendspark.session import ensure_checkpoint_dir
+    from trendspark.sources.scan import load_or_build
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/trendspark-cache/funding-features-{uuid.uuid4().hex}"
+
+    def build():
+        return feat.funding_features(B.funding(spark, sf), keys=K, as_of=B.AS_OF)
+    load_or_build(spark, path, build)
+    cached = load_or_build(spark, path, build)  # present now: loaded, not rebuilt
+    return present(cached, d4=("funding_amount_velocity_3m_usd", "funding_amount_velocity_6m_usd"))

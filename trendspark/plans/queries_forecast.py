@@ -125,7 +125,7 @@ def _risk_sql(src: str) -> str:
 
 def _risk_final() -> str:
     return ("case when len(risks0) = 0 and confidence_level <> 'High' then ['Market Adoption Uncertainty'] "
-            "when len(risks0) > 2 then list_distinct(risks0)[1:2] else risks0 end")
+            "when len(risks0) > 2 then risks0[1:2] else risks0 end")
 
 
 def _fallback_ind() -> str:
@@ -579,3 +579,19 @@ select s.sector_label, h.healthy,
 from sectors s cross join hh h""")))
 def maintenance_report(spark, sf):
     return present(FC.maintenance_report(spark, sf))
+
+
+# ---------------------------------------------------------------------------
+# SRC-2 load-or-rebuild, SNK-1..3 status log round trip
+# ---------------------------------------------------------------------------
+@register("status_log_roundtrip", finish_sql(with_views(["status_log"], f"with {_LATEST_SQL}\nselect * from latest_status"),
+                                             ts=("last_run_timestamp",)))
+def status_log_roundtrip(spark, sf):
+    """Status rows appended (in bulk) to a fresh status log, read back as the
+    latest row per pipeline."""
+    import uuid
+    from trendspark.session import ensure_checkpoint_dir
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/trendspark-status/{uuid.uuid4().hex}"
+    mo.ensure_status_log(spark, path)
+    B.status_log(spark, sf).write.mode("append").parquet(path)
+    return present(mo.latest_status(mo.read_status_log(spark, path), tie="row_key"))
