@@ -83,3 +83,20 @@ def test_drop_incomplete(spark):
 def test_latest_non_null(spark):
     df = _panel(spark, [("a", dt.datetime(2023, 1, 1), 1.0), ("a", dt.datetime(2023, 2, 1), None)])
     assert ts.latest_non_null(df, ["sector_label"], ["v"]).first().v == 1.0
+
+
+def test_zscore_fit_on_training_rows_only(spark):
+    df = spark.createDataFrame([("a", dt.datetime(2023, m, 1), float(m), "train" if m <= 3 else "test")
+                                for m in range(1, 5)], "sector_label string, ts timestamp_ntz, v double, split string")
+    got = {r.ts.month: r.v for r in ts.zscore(df, ["sector_label"], ["v"], fit_on=F.col("split") == "train").collect()}
+    # train mean 2, population std sqrt(2/3)
+    assert got[4] == pytest.approx(2 / (2 / 3) ** 0.5)
+
+
+def test_check_dates():
+    from trendspark.plans.job import check_dates
+    with pytest.raises(ValueError):
+        check_dates("2023-02-01", "2023-01-01")
+    with pytest.raises(ValueError):
+        check_dates("2023/01/01", "2023-02-01")
+    assert check_dates("2023-01-01", "2023-02-01")[0].month == 1

@@ -150,9 +150,12 @@ def _stats_join(df: DataFrame, keys: list[str], stats: DataFrame) -> DataFrame:
     return join_keys(df, stats, keys, "left")
 
 
-def zscore(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
-    """WN-3: (x − mean) / population std per group; zero spread → 0."""
-    stats = df.groupBy(*keys).agg(*[F.avg(c).alias(f"_m_{c}") for c in cols],
+def zscore(df: DataFrame, keys: list[str], cols: list[str], fit_on: Column | None = None) -> DataFrame:
+    """WN-3: (x − mean) / population std per group; zero spread → 0.
+    EX-3: with ``fit_on`` the statistics come only from the rows it selects
+    (e.g. the training split) and are applied to every row."""
+    fit = df if fit_on is None else df.where(fit_on)
+    stats = fit.groupBy(*keys).agg(*[F.avg(c).alias(f"_m_{c}") for c in cols],
                                   *[F.stddev_pop(c).alias(f"_s_{c}") for c in cols])
     j = _stats_join(df, keys, stats)
     out = {c: ((F.col(c) - F.col(f"_m_{c}")) / F.coalesce(F.nullif(F.col(f"_s_{c}"), F.lit(0.0)), F.lit(1.0)))

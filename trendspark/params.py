@@ -192,7 +192,7 @@ class TrainParams:
     rf_grid: tuple[dict, ...] = ({"numTrees": 20, "maxDepth": 5, "minInstancesPerNode": 1},)
     gbt_grid: tuple[dict, ...] = ({"maxIter": 5, "stepSize": 0.1, "maxDepth": 3, "subsamplingRate": 1.0},)
     seed: int = 42
-    parallelism: int = 4
+    parallelism: int = 8
 
     @staticmethod
     def full_grid() -> "TrainParams":

@@ -17,6 +17,7 @@ from trendspark.operators import uncertainty as un
 from trendspark.operators.common import join_keys
 from trendspark.params import EmergenceParams, ForecastParams, InvestmentParams, MonitorParams, UncertaintyParams
 from trendspark.plans import panel as P
+from trendspark.session import ensure_checkpoint_dir
 
 K = ["sector_label"]
 TS = ts.TS
@@ -35,57 +36,68 @@ FEATURE_INDICATORS = {"filing_rate_3m_patent": 0.3, "funding_deals_velocity_3m_f
 
 
 def split_panel(spark: SparkSession, sf: str) -> DataFrame:
-    return ts.chrono_split(P.aligned_panel(spark, sf), K, 0.7)
+    """Aligned panel with the chronological split, computed once per job:
+    sectors × months rows (bounded), so its lineage is cut with a reliable
+    checkpoint and every downstream step reads it."""
+    ensure_checkpoint_dir(spark)
+    return ts.chrono_split(P.aligned_panel(spark, sf), K, 0.7).checkpoint(eager=True)
 
 
-def current_predictions(spark: SparkSession, sf: str) -> DataFrame:
+def _sp(spark: SparkSession, sf: str, sp: DataFrame | None) -> DataFrame:
+    return split_panel(spark, sf) if sp is None else sp
+
+
+def current_predictions(spark: SparkSession, sf: str, sp: DataFrame | None = None) -> DataFrame:
     """Closed-form predictors fitted on all panel rows, predicting the month
     after the last one."""
-    return fc.predict_trend(fc.fit_trend_predictors(P.aligned_panel(spark, sf), K, TARGET), None, K)
+    return fc.predict_trend(fc.fit_trend_predictors(_sp(spark, sf, sp).drop("split"), K, TARGET), None, K)
 
 
-def validation_predictions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    sp = split_panel(spark, sf)
+def validation_predictions(spark: SparkSession, sf: str, sp: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    sp = _sp(spark, sf, sp)
     train = sp.where(F.col("split") == "train")
     test = sp.where(F.col("split") == "test")
     preds = fc.predict_trend(fc.fit_trend_predictors(train, K, TARGET), test.select(*K, TS), K)
     return preds, test
 
 
-def validation_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    preds, test = validation_predictions(spark, sf)
+def validation_metrics(spark: SparkSession, sf: str, sp: DataFrame | None = None) -> DataFrame:
+    preds, test = validation_predictions(spark, sf, sp)
     return fc.validation_metrics(preds, test, K, TARGET)
 
 
-def forecasts(spark: SparkSession, sf: str, p: ForecastParams = TREND_FORECAST) -> DataFrame:
-    return fc.sector_forecasts(current_predictions(spark, sf), K, p.weights, p.horizons, p.quality_score, p.levels)
+def forecasts(spark: SparkSession, sf: str, p: ForecastParams = TREND_FORECAST, sp: DataFrame | None = None) -> DataFrame:
+    return fc.sector_forecasts(current_predictions(spark, sf, sp), K, p.weights, p.horizons, p.quality_score, p.levels)
 
 
-def summary(spark: SparkSession, sf: str, preferred: int = 12) -> DataFrame:
-    return fc.summary_horizon(forecasts(spark, sf), K, preferred)
+def summary(spark: SparkSession, sf: str, preferred: int = 12, sp: DataFrame | None = None) -> DataFrame:
+    return fc.summary_horizon(forecasts(spark, sf, sp=sp), K, preferred)
 
 
-def latest_by_sector(spark: SparkSession, sf: str) -> DataFrame:
+def latest_by_sector(spark: SparkSession, sf: str, sp: DataFrame | None = None) -> DataFrame:
     """``groupby(sector).last()`` over the test rows of the panel."""
-    test = split_panel(spark, sf).where(F.col("split") == "test").drop("split")
+    test = _sp(spark, sf, sp).where(F.col("split") == "test").drop("split")
     return ts.latest_non_null(test, K, [c for c in test.columns if c not in K + [TS, TARGET]])
 
 
-def emergence_scores(spark: SparkSession, sf: str, p: EmergenceParams = EmergenceParams()) -> DataFrame:
-    latest = latest_by_sector(spark, sf)
+def emergence_scores(spark: SparkSession, sf: str, p: EmergenceParams = EmergenceParams(),
+                     sp: DataFrame | None = None) -> DataFrame:
+    latest = latest_by_sector(spark, sf, sp)
     return latest.withColumn("emergence_score", em.score(latest, p))
 
 
 def emerging_technologies(spark: SparkSession, sf: str, percentile: float = 50.0,
                           p: EmergenceParams = EmergenceParams(),
-                          indicator_weights: dict[str, float] | None = None) -> DataFrame:
-    scored = emergence_scores(spark, sf, p)
+                          indicator_weights: dict[str, float] | None = None, sp: DataFrame | None = None) -> DataFrame:
+    scored = emergence_scores(spark, sf, p, sp)
     chosen = em.emerging(scored, "sector_label", percentile)
     return em.signals(chosen, p, indicator_weights)
 
 
-def opportunities(spark: SparkSession, sf: str, ip: InvestmentParams = InvestmentParams()) -> DataFrame:
-    return iv.opportunities(summary(spark, sf, ip.preferred_horizon), emerging_technologies(spark, sf),
+def opportunities(spark: SparkSession, sf: str, ip: InvestmentParams = InvestmentParams(),
+                  sp: DataFrame | None = None) -> DataFrame:
+    sp = _sp(spark, sf, sp)
+    return iv.opportunities(summary(spark, sf, ip.preferred_horizon, sp), emerging_technologies(spark, sf, sp=sp),
                             B.market(spark, sf), ip)
 
 
@@ -112,17 +124,18 @@ def completeness(spark: SparkSession, sf: str, up: UncertaintyParams = Uncertain
     return un.completeness_impact(comp, "completeness", "source", "sector_label", up)
 
 
-def signal_maps(spark: SparkSession, sf: str) -> DataFrame:
+def signal_maps(spark: SparkSession, sf: str, sp: DataFrame | None = None) -> DataFrame:
     """Per sector map of 3-month rates z-scored across sectors (keys pat, fund, res)."""
-    latest = latest_by_sector(spark, sf)
+    latest = latest_by_sector(spark, sf, sp)
     src = {"pat": "filing_rate_3m_patent", "fund": "funding_deals_velocity_3m_funding",
            "res": "publication_rate_3m_research"}
     z = ts.zscore(latest.withColumn("_all", F.lit(1)), ["_all"], list(src.values()))
     return z.select(*K, F.create_map(*[x for k, c in src.items() for x in (F.lit(k), F.col(c))]).alias("signals"))
 
 
-def conflicts(spark: SparkSession, sf: str, up: UncertaintyParams = UncertaintyParams()) -> DataFrame:
-    return un.conflicting_signals(signal_maps(spark, sf), "signals", "sector_label", up)
+def conflicts(spark: SparkSession, sf: str, up: UncertaintyParams = UncertaintyParams(),
+              sp: DataFrame | None = None) -> DataFrame:
+    return un.conflicting_signals(signal_maps(spark, sf, sp), "signals", "sector_label", up)
 
 
 def paper_coverage(spark: SparkSession, sf: str, min_abstract: int = 100,
@@ -133,12 +146,14 @@ def paper_coverage(spark: SparkSession, sf: str, min_abstract: int = 100,
     return un.research_gap(cov, "coverage", "sector_label", up)
 
 
-def final_predictions(spark: SparkSession, sf: str, up: UncertaintyParams = UncertaintyParams()) -> DataFrame:
+def final_predictions(spark: SparkSession, sf: str, up: UncertaintyParams = UncertaintyParams(),
+                      sp: DataFrame | None = None) -> DataFrame:
+    sp = _sp(spark, sf, sp)
     adj = (completeness(spark, sf, up).select(*K, "confidence_adjustment")
-           .unionByName(conflicts(spark, sf, up).select(*K, "confidence_adjustment"))
+           .unionByName(conflicts(spark, sf, up, sp).select(*K, "confidence_adjustment"))
            .unionByName(paper_coverage(spark, sf, up=up).select(*K, "confidence_adjustment"))
            .groupBy(*K).agg(F.sum("confidence_adjustment").alias("adjustments")))
-    s = join_keys(summary(spark, sf), adj, K, "left")
+    s = join_keys(summary(spark, sf, sp=sp), adj, K, "left")
     out = un.final_output(s, "quality_score", "adjustments", up)
     return out.select(*K, F.col("prediction").alias("prediction_value"), "final_confidence_score",
                       "confidence_label", "confidence_interval_str", "disclaimer")
@@ -155,27 +170,32 @@ def pipeline_health(spark: SparkSession, sf: str, now: dt.datetime = B.STATUS_AS
     return mo.pipeline_health(mo.status_lookup(latest, mo.expected_pipelines(spark, mp)), now)
 
 
-def drift_baseline(spark: SparkSession, sf: str, mp: MonitorParams = MonitorParams()) -> DataFrame:
-    train = split_panel(spark, sf).where(F.col("split") == "train")
+def drift_baseline(spark: SparkSession, sf: str, mp: MonitorParams = MonitorParams(),
+                   sp: DataFrame | None = None) -> DataFrame:
+    train = _sp(spark, sf, sp).where(F.col("split") == "train")
     return mo.drift_baseline(train, list(mp.drift_thresholds))
 
 
-def drift_check(spark: SparkSession, sf: str, mp: MonitorParams = MonitorParams()) -> DataFrame:
-    test = split_panel(spark, sf).where(F.col("split") == "test")
-    return mo.drift_check(test, K, drift_baseline(spark, sf, mp), mp)
+def drift_check(spark: SparkSession, sf: str, mp: MonitorParams = MonitorParams(),
+                sp: DataFrame | None = None) -> DataFrame:
+    sp = _sp(spark, sf, sp)
+    test = sp.where(F.col("split") == "test")
+    return mo.drift_check(test, K, drift_baseline(spark, sf, mp, sp), mp)
 
 
-def performance_gate(spark: SparkSession, sf: str, mp: MonitorParams = MonitorParams()) -> DataFrame:
-    return mo.performance_gate(validation_metrics(spark, sf), K, mp)
+def performance_gate(spark: SparkSession, sf: str, mp: MonitorParams = MonitorParams(),
+                     sp: DataFrame | None = None) -> DataFrame:
+    return mo.performance_gate(validation_metrics(spark, sf, sp), K, mp)
 
 
 def maintenance_report(spark: SparkSession, sf: str, now: dt.datetime = B.STATUS_AS_OF,
                        mp: MonitorParams = MonitorParams()) -> DataFrame:
     """MO-6: health gate, then drift and performance per sector and the
     retrain request; when unhealthy the sector checks are not run (null)."""
+    sp = split_panel(spark, sf)
     health = pipeline_health(spark, sf, now, mp).agg(F.bool_and("healthy").alias("healthy"))
-    drift = drift_check(spark, sf, mp).groupBy(*K).agg(F.bool_or(F.col("status") == "DRIFT").alias("drifted"))
-    perf = performance_gate(spark, sf, mp).select(*K, "degraded")
+    drift = drift_check(spark, sf, mp, sp).groupBy(*K).agg(F.bool_or(F.col("status") == "DRIFT").alias("drifted"))
+    perf = performance_gate(spark, sf, mp, sp).select(*K, "degraded")
     sectors = join_keys(drift, perf, K, "full")
     j = sectors.crossJoin(F.broadcast(health))
     ok = F.col("healthy")

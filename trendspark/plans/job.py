@@ -11,13 +11,23 @@ from trendspark import bindings as B
 from trendspark.operators import monitor as mo
 from trendspark.operators.features import funding_features, patent_features, research_features
 from trendspark.plans import forecasting as FC
-from trendspark.plans import panel as P
 from trendspark.sources.conform import write_if_any
 from trendspark.sources.scan import load_or_build
 
 K = ["sector_label"]
 
 
+def check_dates(start: str, end: str) -> tuple[dt.datetime, dt.datetime]:
+    """FLT-14: both dates parse as YYYY-MM-DD and end is not before start."""
+    try:
+        s, e = dt.datetime.strptime(start, "%Y-%m-%d"), dt.datetime.strptime(end, "%Y-%m-%d")
+    except ValueError as exc:
+        raise ValueError(f"dates must be YYYY-MM-DD: {start!r}, {end!r}") from exc
+    if e < s:
+        raise ValueError(f"end date {end} is before start date {start}")
+    return s, e
+
+
 def run_job(spark: SparkSession, sf_dir: str, out_dir: str, as_of: dt.datetime = B.AS_OF,
             force: bool = False) -> dict[str, bool]:
     """Build every output table; cached inputs are reused unless ``force``.
@@ -33,14 +43,15 @@ def run_job(spark: SparkSession, sf_dir: str, out_dir: str, as_of: dt.datetime =
     }
     for name, build in feats.items():
         load_or_build(spark, f"{out}/{name}", build, force=force)
+    sp = FC.split_panel(spark, sf_dir)  # the aligned panel once, lineage cut
     tables = {
-        "aligned_panel": lambda: P.aligned_panel(spark, sf_dir),
-        "sector_forecasts": lambda: FC.forecasts(spark, sf_dir),
-        "emerging_technologies": lambda: FC.emerging_technologies(spark, sf_dir),
-        "investment_opportunities": lambda: FC.opportunities(spark, sf_dir),
+        "aligned_panel": lambda: sp,
+        "sector_forecasts": lambda: FC.forecasts(spark, sf_dir, sp=sp),
+        "emerging_technologies": lambda: FC.emerging_technologies(spark, sf_dir, sp=sp),
+        "investment_opportunities": lambda: FC.opportunities(spark, sf_dir, sp=sp),
         "pipeline_health": lambda: FC.pipeline_health(spark, sf_dir),
-        "drift_check": lambda: FC.drift_check(spark, sf_dir),
-        "final_predictions": lambda: FC.final_predictions(spark, sf_dir),
+        "drift_check": lambda: FC.drift_check(spark, sf_dir, sp=sp),
+        "final_predictions": lambda: FC.final_predictions(spark, sf_dir, sp=sp),
         "maintenance_report": lambda: FC.maintenance_report(spark, sf_dir),
     }
     written = {name: write_if_any(build(), f"{out}/{name}") for name, build in tables.items()}

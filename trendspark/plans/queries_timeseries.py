@@ -510,3 +510,19 @@ _HIST_D2 = ("funding_amount_velocity_3m_usd_funding", "funding_amount_velocity_6
                                           "seed_ratio_funding", "series_a_ratio_funding", "late_stage_ratio_funding")))
 def history_table(spark, sf):
     return present(P.history_table(spark, sf), d4=_HIST_D2)
+
+
+# ---------------------------------------------------------------------------
+# EX-3 scaler fitted on the training split only
+# ---------------------------------------------------------------------------
+@register("zscore_train_fit", finish_sql(with_views(["funding"], f"with {panel_ctes('funding')},\n" + f"""
+split as (select *, case when row_number() over (partition by sector_label order by ts)
+                           <= greatest(1, floor(count(*) over (partition by sector_label) * 0.7)) then 'train' else 'test' end as split
+          from funding_panel)
+select sector_label, ts, split, {', '.join(
+    f"({c} - avg(case when split = 'train' then {c} end) over (partition by sector_label)) / coalesce(nullif(stddev_pop(case when split = 'train' then {c} end) over (partition by sector_label), 0), 1) as {c}"
+    for c in _FP)}
+from split"""), ts=("ts",), d6=tuple(_FP)))
+def zscore_train_fit(spark, sf):
+    sp = ts.chrono_split(P.funding_panel(spark, sf), K, 0.7)
+    return present(ts.zscore(sp, K, _FP, fit_on=F.col("split") == "train").select(*K, TS, "split", *_FP))

@@ -2,8 +2,9 @@
 
 A query is ``fn(spark, sf_dir) -> DataFrame``. Its oracle is ANSI SQL that
 DuckDB runs over the same Parquet tables (registered as views). Both sides
-finish the same way: doubles rounded (6 places; money sums 4 places, where k-month
-rates of cent amounts can never sit on a rounding tie), timestamps
+finish the same way: doubles rounded as ``round(x·10^p)/10^p`` in double
+arithmetic (p = 6; 4 for money sums), so both engines round the identical
+IEEE product, ties included; timestamps
 as ``yyyy-MM-dd HH:mm:ss`` text, lists joined with ``|``, integers as bigint,
 so the comparison is exact.
 """
@@ -40,7 +41,8 @@ def present(df: DataFrame, d4: tuple[str, ...] = (), d0: tuple[str, ...] = ()) -
         t = f.dataType
         if isinstance(t, (T.DoubleType, T.FloatType, T.DecimalType)):
             places = 4 if f.name in d4 else (0 if f.name in d0 else 6)
-            c = F.round(c.cast("double"), places) + F.lit(0.0)
+            scale = float(10 ** places)
+            c = F.round(c.cast("double") * F.lit(scale)) / F.lit(scale) + F.lit(0.0)
         elif isinstance(t, (T.IntegerType, T.ShortType, T.ByteType, T.LongType)):
             c = c.cast("bigint")
         elif isinstance(t, (T.TimestampType, T.TimestampNTZType)):
@@ -57,9 +59,10 @@ def finish_sql(sql: str, d6: tuple[str, ...] = (), d4: tuple[str, ...] = (), d0:
                ints: tuple[str, ...] = (), ts: tuple[str, ...] = (), dates: tuple[str, ...] = (),
                arrays: tuple[str, ...] = ()) -> str:
     """DuckDB-side finish matching ``present``."""
-    repl = ([f"round(CAST({c} AS DOUBLE), 6) + 0.0 AS {c}" for c in d6]
-            + [f"round(CAST({c} AS DOUBLE), 4) + 0.0 AS {c}" for c in d4]
-            + [f"round(CAST({c} AS DOUBLE), 0) + 0.0 AS {c}" for c in d0]
+    def rnd(c: str, places: int) -> str:
+        scale = f"{float(10 ** places)}::DOUBLE"
+        return f"round(CAST({c} AS DOUBLE) * {scale}) / {scale} + 0.0 AS {c}"
+    repl = ([rnd(c, 6) for c in d6] + [rnd(c, 4) for c in d4] + [rnd(c, 0) for c in d0]
             + [f"CAST({c} AS BIGINT) AS {c}" for c in ints]
             + [f"strftime({c}, '%Y-%m-%d %H:%M:%S') AS {c}" for c in ts]
             + [f"strftime({c}, '%Y-%m-%d') AS {c}" for c in dates]
