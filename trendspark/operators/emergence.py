@@ -56,7 +56,7 @@ def signals(df: DataFrame, params: EmergenceParams = EmergenceParams(),
     items = []
     for pos, (name, w) in enumerate(weights.items()):
         if name not in df.columns:
-            continue  # reference looks the indicator up by name; absent → no contribution
+            continue  # an indicator is looked up as a column by name; absent → no contribution
         v = F.col(name).cast("double")
         items.append(F.when(v > 0, F.struct(
             (-(v * F.lit(float(w)))).alias("neg"), F.lit(pos).alias("pos"),

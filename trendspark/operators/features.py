@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trendspark.functions.text import keyword_count
@@ -61,9 +61,10 @@ def shannon_diversity(df: DataFrame, keys: list[str], category: str, explode: bo
     cat = F.explode(F.col(category)) if explode else F.col(category)
     cats = df.select(*keys, cat.alias("_cat")).where(F.col("_cat").isNotNull())
     counts = cats.groupBy(*keys, "_cat").agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy()
-    p = F.col("_c") / F.sum("_c").over(w)
-    shares = counts.select(*keys, p.alias("_p"))
+    # totals per group (one row per group) joined back, not a window over all
+    # of a hot group's categories in one task
+    totals = counts.groupBy(*keys).agg(F.sum("_c").alias("_t"))
+    shares = join_keys(counts, totals, keys, "inner").select(*keys, (F.col("_c") / F.col("_t")).alias("_p"))
     return shares.groupBy(*keys).agg(
         (-F.sum(F.col("_p") * F.log2(F.col("_p") + F.lit(eps)))).alias(name))
 
@@ -79,8 +80,8 @@ def distribution(df: DataFrame, keys: list[str], category: str, name: str = "sha
     """AG-11: normalised value counts (nulls out of the denominator)."""
     counts = (df.where(F.col(category).isNotNull())
               .groupBy(*keys, category).agg(F.count(F.lit(1)).alias("_c")))
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy()
-    return counts.select(*keys, category, (F.col("_c") / F.sum("_c").over(w)).alias(name))
+    totals = counts.groupBy(*keys).agg(F.sum("_c").alias("_t"))
+    return join_keys(counts, totals, keys, "inner").select(*keys, category, (F.col("_c") / F.col("_t")).alias(name))
 
 
 def _fill0(df: DataFrame, cols: list[str]) -> DataFrame:
