@@ -359,10 +359,10 @@ def eligible_sectors(spark, sf):
 @register("sectors_without_model", finish_sql(FC_CTES + """
 select distinct a.sector_label from aligned a
 where not exists (select 1 from metrics m where m.sector_label is not distinct from a.sector_label
-                    and m.model = 'linear_trend' and m.mae <= 0.5)"""))
+                    and m.model = 'linear_trend' and m.mae <= 0.15)"""))
 def sectors_without_model(spark, sf):
-    # registry of accepted models: linear-trend fits whose test MAE is at most 0.5
-    registry = FC.validation_metrics(spark, sf).where((F.col("model") == "linear_trend") & (F.col("mae") <= 0.5))
+    # registry of accepted models: linear-trend fits within the MAE acceptance limit
+    registry = FC.validation_metrics(spark, sf).where((F.col("model") == "linear_trend") & (F.col("mae") <= MP.max_mae))
     sectors = P.aligned_panel(spark, sf).select(*K).distinct()
     return present(sectors.join(registry.select(*K), on=K, how="left_anti"))
 
