@@ -50,7 +50,8 @@ def opportunities(summary: DataFrame, emerging: DataFrame, market: DataFrame,
     prediction_confidence_score (double) + prediction_confidence_label."""
     est = (summary.where(F.col("quality_score") >= p.confidence_low)
            .withColumnRenamed("sector_label", "sector"))
-    est = join_keys(est, F.broadcast(market.withColumnRenamed("sector_label", "sector")), ["sector"], "left")
+    # market has one row per sector: AQE broadcasts it when its measured size is small
+    est = join_keys(est, market.withColumnRenamed("sector_label", "sector"), ["sector"], "left")
     est = attractiveness(est.withColumn("expected_growth", F.col("prediction")), p)
     est = est.select(
         F.lit("Established Sector").alias("type"), "sector",

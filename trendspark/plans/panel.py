@@ -40,6 +40,14 @@ def _spine_from(df: DataFrame, date_col: str, end: dt.datetime) -> DataFrame:
     return ts.month_spine(df.sparkSession, "_start", end, bounds=bounds)
 
 
+def _spine_from_monthly(monthly_df: DataFrame, end: dt.datetime) -> DataFrame:
+    """Month spine from the first month of a monthly aggregate. Deriving the
+    bounds (and the groups) from the same aggregate lets every use share one
+    shuffle of it, so the raw records are scanned once per panel."""
+    bounds = monthly_df.agg(F.min(TS).alias("_start"))
+    return ts.month_spine(monthly_df.sparkSession, "_start", end, bounds=bounds)
+
+
 def patent_monthly(p: DataFrame) -> DataFrame:
     return ts.monthly(p, K, "filing_date", {"n": F.count(F.lit(1)),
                                             "intl": F.count_if(~is_domestic("source", DOMESTIC_SOURCES))})
@@ -54,24 +62,24 @@ def research_monthly(r: DataFrame) -> DataFrame:
 
 
 def patent_panel(spark: SparkSession, sf: str, end: dt.datetime = B.AS_OF) -> DataFrame:
-    p = B.patents(spark, sf)
-    return ts.trailing_panel(patent_monthly(p), K, _spine_from(p, "filing_date", end), PATENT_PANEL)
+    m = patent_monthly(B.patents(spark, sf))
+    return ts.trailing_panel(m, K, _spine_from_monthly(m, end), PATENT_PANEL)
 
 
 def funding_panel(spark: SparkSession, sf: str, end: dt.datetime = B.AS_OF) -> DataFrame:
-    f = B.funding(spark, sf)
-    return ts.trailing_panel(funding_monthly(f), K, _spine_from(f, "date", end), FUNDING_PANEL)
+    m = funding_monthly(B.funding(spark, sf))
+    return ts.trailing_panel(m, K, _spine_from_monthly(m, end), FUNDING_PANEL)
 
 
 def research_panel(spark: SparkSession, sf: str, end: dt.datetime = B.AS_OF) -> DataFrame:
-    r = B.papers(spark, sf)
-    return ts.trailing_panel(research_monthly(r), K, _spine_from(r, "published_date", end), RESEARCH_PANEL)
+    m = research_monthly(B.papers(spark, sf))
+    return ts.trailing_panel(m, K, _spine_from_monthly(m, end), RESEARCH_PANEL)
 
 
 def targets(spark: SparkSession, sf: str, end: dt.datetime = B.AS_OF) -> DataFrame:
     """EX-2: six-month growth of the monthly deal count."""
-    f = B.funding(spark, sf)
-    return ts.growth_target(funding_monthly(f), K, _spine_from(f, "date", end), "n", 6, "target_growth_6m")
+    m = funding_monthly(B.funding(spark, sf))
+    return ts.growth_target(m, K, _spine_from_monthly(m, end), "n", 6, "target_growth_6m")
 
 
 def feature_columns(df: DataFrame, exclude: tuple[str, ...] = ("target_growth_6m",)) -> list[str]:
