@@ -28,11 +28,25 @@ def _locations(spark: SparkSession, name: str) -> tuple[str, str]:
 def event_stream(spark: SparkSession, folder: str, file_glob: str, schema: T.StructType,
                  max_files_per_trigger: int | None = None) -> DataFrame:
     """File source over ``folder`` restricted to files matching ``file_glob``;
-    event time as a zoned timestamp (wall clock read in the session zone)."""
+    event time as an instant whose UTC wall clock is the record's wall clock."""
     r = spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    return r.parquet(folder).withColumn("event_time", F.col("ts").cast("timestamp"))
+    return r.parquet(folder).withColumn("event_time", wall_clock_as_utc("ts"))
+
+
+def wall_clock_as_utc(col: str):
+    """timestamp_ntz → instant, reading the wall clock as UTC whatever the
+    session time zone (windows then align to wall-clock days)."""
+    c = F.col(col)
+    return F.make_timestamp(F.year(c), F.month(c), F.dayofmonth(c), F.hour(c), F.minute(c),
+                            F.date_part(F.lit("SECOND"), c), F.lit("UTC"))
+
+
+def utc_wall_clock(spark: SparkSession, c):
+    """instant → timestamp_ntz wall clock in UTC (inverse of the above)."""
+    session_tz = spark.conf.get("spark.sql.session.timeZone")
+    return F.convert_timezone(F.lit(session_tz), F.lit("UTC"), c.cast("timestamp_ntz"))
 
 
 def _run(query_df: DataFrame, name: str, mode: str = "append") -> DataFrame:
@@ -59,8 +73,9 @@ def rolling_rates(stream: DataFrame, length: str = "7 days", slide: str = "1 day
     agg = (stream.withWatermark("event_time", delay)
            .groupBy(F.window("event_time", length, slide), "event_type")
            .agg(F.count(F.lit(1)).alias("n_events"), F.sum("value").alias("total_value")))
-    out = agg.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"),
-                     F.col("window.end").cast("timestamp_ntz").alias("window_end"), "event_type",
+    spark = stream.sparkSession
+    out = agg.select(utc_wall_clock(spark, F.col("window.start")).alias("window_start"),
+                     utc_wall_clock(spark, F.col("window.end")).alias("window_end"), "event_type",
                      "n_events", "total_value")
     return _run(out, "rolling-rates")
 
