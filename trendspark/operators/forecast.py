@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trendspark.operators.common import join_keys
+from trendspark.operators.common import join_keys, ts_lit
 from trendspark.operators.timeseries import TS, month_index
 
 # ----------------------------------------------------------------------------
@@ -96,7 +96,7 @@ def intervals(preds: DataFrame, keys: list[str], levels: tuple[float, ...] = (0.
 
 def sector_forecasts(preds: DataFrame, keys: list[str], weights: dict[str, float],
                      horizons: tuple[int, ...], quality: float = 0.75,
-                     levels: tuple[float, ...] = (0.68, 0.95)) -> DataFrame:
+                     levels: tuple[float, ...] = (0.68, 0.95), generated_at=None) -> DataFrame:
     """FC-4: one row per (group, horizon); the same ensemble value for every
     horizon (the predictors do not take a horizon), key ``{h}m_growth_rate``;
     groups whose ensemble is null are skipped."""
@@ -109,6 +109,8 @@ def sector_forecasts(preds: DataFrame, keys: list[str], weights: dict[str, float
         F.concat(F.col("_h.horizon_months").cast("string"), F.lit("m_growth_rate")).alias("horizon_key"),
         "prediction", *[c for c in ci.columns if c not in keys],
         F.lit(float(quality)).alias("quality_score"))
+    if generated_at is not None:  # the job's as-of time, passed in (never the clock)
+        out = out.withColumn("generated_at", ts_lit(generated_at))
     return out
 
 
@@ -126,17 +128,30 @@ def summary_horizon(forecasts: DataFrame, keys: list[str], preferred: int = 12)
 # ----------------------------------------------------------------------------
 
 
-def validation_metrics(preds: DataFrame, actuals: DataFrame, keys: list[str], target: str) -> DataFrame:
+def validation_metrics(preds: DataFrame, actuals: DataFrame, keys: list[str], target: str,
+                       samples: int = 0) -> DataFrame:
     """MAE, RMSE and direction accuracy per (group, model); signs compare with
-    nulls taken as 0."""
+    nulls taken as 0. With ``samples`` > 0 also the first predictions and
+    actuals in time order (test rows of a panel: bounded per group)."""
     j = join_keys(preds, actuals.select(*keys, TS, target), keys + [TS], "inner")
     err = F.col("prediction") - F.col(target)
     same = F.signum(F.coalesce(F.col(target), F.lit(0.0))) == F.signum(F.coalesce(F.col("prediction"), F.lit(0.0)))
-    return j.groupBy(*keys, "model").agg(
+    metrics = j.groupBy(*keys, "model").agg(
         F.avg(F.abs(err)).alias("mae"),
         F.sqrt(F.avg(err * err)).alias("rmse"),
         F.avg(same.cast("double")).alias("direction_accuracy"),
         F.count(F.lit(1)).alias("n_test"))
+    if samples <= 0:
+        return metrics
+    # first rows in time order: a rank-limit filter keeps at most `samples` per group
+    from pyspark.sql import Window
+    w = Window.partitionBy(*keys, "model").orderBy(TS)
+    first = (j.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= samples)
+             .groupBy(*keys, "model")
+             .agg(F.array_sort(F.collect_list(F.struct("_rn", "prediction", target))).alias("_s")))
+    first = first.select(*keys, "model", F.transform("_s", lambda x: x["prediction"]).alias("predictions_sample"),
+                         F.transform("_s", lambda x: x[target]).alias("actuals_sample"))
+    return join_keys(metrics, first, keys + ["model"], "left")
 
 
 # ----------------------------------------------------------------------------

@@ -67,7 +67,8 @@ def validation_metrics(spark: SparkSession, sf: str, sp: DataFrame | None = None
 
 
 def forecasts(spark: SparkSession, sf: str, p: ForecastParams = TREND_FORECAST, sp: DataFrame | None = None) -> DataFrame:
-    return fc.sector_forecasts(current_predictions(spark, sf, sp), K, p.weights, p.horizons, p.quality_score, p.levels)
+    return fc.sector_forecasts(current_predictions(spark, sf, sp), K, p.weights, p.horizons, p.quality_score, p.levels,
+                               generated_at=B.AS_OF)
 
 
 def summary(spark: SparkSession, sf: str, preferred: int = 12, sp: DataFrame | None = None) -> DataFrame:

@@ -83,7 +83,8 @@ ci as (select sector_label,
          case when n >= 2 then q[3] end as ci95_low, case when n >= 2 then q[4] end as ci95_high from ci_raw),
 forecasts as (
   select e.sector_label, h.horizon_pos, h.horizon_months, concat(CAST(h.horizon_months AS VARCHAR), 'm_growth_rate') as horizon_key,
-         e.prediction, c.ci68_low, c.ci68_high, c.ci95_low, c.ci95_high, 0.75::DOUBLE as quality_score
+         e.prediction, c.ci68_low, c.ci68_high, c.ci95_low, c.ci95_high, 0.75::DOUBLE as quality_score,
+         TIMESTAMP '2001-08-02 00:00:00' as generated_at
   from ens e left join ci c on c.sector_label is not distinct from e.sector_label
   cross join (values (0, 6), (1, 12), (2, 18)) h(horizon_pos, horizon_months)
   where e.prediction is not null),
@@ -176,7 +177,7 @@ def forecast_intervals(spark, sf):
 
 
 _FCOLS = dict(d6=("prediction", "ci68_low", "ci68_high", "ci95_low", "ci95_high", "quality_score"),
-              ints=("horizon_pos", "horizon_months"))
+              ints=("horizon_pos", "horizon_months"), ts=("generated_at",))
 
 
 @register("sector_forecasts", _q("sector_forecasts", "select * from forecasts", **_FCOLS))

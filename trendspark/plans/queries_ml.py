@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from trendspark import bindings as B
 from trendspark.operators import forecast as fc
 from trendspark.operators import timeseries as ts
 from trendspark.operators.common import join_keys
@@ -22,9 +23,10 @@ def train_sector_models(spark, sf):
     train = split.where(F.col("split") == "train").drop("split")
     test = split.where(F.col("split") == "test").drop("split")
     sm = TR.train_sector_models(train, TrainParams())
-    metrics = fc.validation_metrics(TR.predict(sm, test), test, K, TR.TARGET).select(
+    metrics = fc.validation_metrics(TR.predict(sm, test), test, K, TR.TARGET, samples=3).select(
         *K, "model", F.col("mae").alias("test_mae"), F.col("rmse").alias("test_rmse"),
-        F.col("direction_accuracy").alias("test_direction_accuracy"), "n_test")
+        F.col("direction_accuracy").alias("test_direction_accuracy"), "n_test",
+        "predictions_sample", "actuals_sample")
     return present(join_keys(TR.results_frame(spark, sm), metrics, K + ["model"], "left"))
 
 
@@ -43,4 +45,5 @@ def ml_sector_forecasts(spark, sf):
     latest = ts.first_row(table.withColumn("_neg", -F.unix_micros(F.col(ts.TS).cast("timestamp"))), K, ["_neg"]).drop("_neg")
     preds = TR.predict(sm, latest)
     p = ForecastParams()
-    return present(fc.sector_forecasts(preds, K, p.weights, p.horizons, p.quality_score, p.levels))
+    return present(fc.sector_forecasts(preds, K, p.weights, p.horizons, p.quality_score, p.levels,
+                                       generated_at=B.AS_OF))
