@@ -21,7 +21,7 @@ def fallback(*cols: Column | str) -> Column:
 def list_len_or_one(c: Column | str) -> Column:
     """SC-2: length of a list; a missing or non-list value counts as 1."""
     c = col_(c)
-    return F.coalesce(F.size(c), F.lit(1))
+    return F.when(c.isNull(), F.lit(1)).otherwise(F.size(c))
 
 
 def one_line(c: Column | str) -> Column:

@@ -168,7 +168,7 @@ def research_features(df: DataFrame, *, keys: list[str], as_of: dt.datetime,
         F.count(F.lit(1)).alias("_n"),
         *[event_rate("published_date", as_of, m).alias(f"publication_rate_{m}m") for m in params.research_rate_months],
         F.avg("citation_count").alias("avg_citation_count"),
-        F.avg(F.size("authors")).alias("avg_authors_per_paper"),
+        F.avg(F.when(F.col("authors").isNotNull(), F.size("authors"))).alias("avg_authors_per_paper"),
         F.avg(F.length(F.coalesce(F.col("abstract"), F.lit("")))).alias("avg_abstract_length"),
         F.avg(kw).alias("avg_keyword_count"),
         F.sum(kw).alias("sum_keyword_count"),

@@ -40,7 +40,7 @@ def paper_rules(df: DataFrame) -> DataFrame:
         "title": _truthy("title") & (F.col("title") != "N/A"),
         "abstract": _truthy("abstract") & (F.col("abstract") != "N/A"),
         "published_date": F.col("published_date").isNotNull(),
-        "authors": F.coalesce(F.size("authors"), F.lit(0)) > 0,
+        "authors": F.col("authors").isNotNull() & (F.size("authors") > 0),
     }
     missing = F.array_compact(F.array(*[F.when(~ok, F.lit(name)) for name, ok in checks.items()]))
     return df.withColumn("reject_reason", F.when(F.size(missing) > 0,

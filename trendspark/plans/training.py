@@ -69,39 +69,49 @@ def train_sector_models(train: DataFrame, params: TrainParams = TrainParams()) -
     folds = materialize(ts.expanding_folds(data, [K], params.n_folds), "training-folds")
     grids = {"random_forest": params.rf_grid, "gradient_boosting": params.gbt_grid}
 
-    def run(sector: str, name: str):
+    def cv(task):
+        sector, name, i, f = task
+        try:
+            fd = folds.where((F.col(K) == sector) & (F.col("fold") == f))
+            tr, te = fd.where(F.col("role") == "train"), fd.where(F.col("role") == "test")
+            return task, _mae(_pipeline(features, name, grids[name][i], params.seed).fit(tr), te), None
+        except Exception as e:  # noqa: BLE001 - a failing fit is recorded, the others go on
+            return task, None, e
+
+    def refit(task):
+        sector, name, point, score = task
         n = counts[sector]
-        sec = data.where(F.col(K) == sector)
         try:
-            best, best_mae = None, None
-            for point in grids[name]:
-                maes = []
-                for f in range(params.n_folds):
-                    fd = folds.where((F.col(K) == sector) & (F.col("fold") == f))
-                    tr, te = fd.where(F.col("role") == "train"), fd.where(F.col("role") == "test")
-                    m = _pipeline(features, name, point, params.seed).fit(tr)
-                    maes.append(_mae(m, te))
-                maes = [x for x in maes if x is not None]
-                score = sum(maes) / len(maes) if maes else None
-                if score is not None and (best_mae is None or score < best_mae):
-                    best, best_mae = point, score
-            point = best or grids[name][0]
-            model = _pipeline(features, name, point, params.seed).fit(sec)
+            model = _pipeline(features, name, point, params.seed).fit(data.where(F.col(K) == sector))
             imp = model.stages[-1].featureImportances.toArray().tolist()
-            return sector, name, model, (sector, name, json.dumps(point, sort_keys=True), best_mae, n, "OK", None), \
+            return sector, name, model, (sector, name, json.dumps(point, sort_keys=True), score, n, "OK", None), \
                 [(sector, name, features[i], float(v)) for i, v in enumerate(imp)]
-        except Exception as e:  # noqa: BLE001 - one model's failure must not stop the others
+        except Exception as e:  # noqa: BLE001
             log.warning("training %s/%s failed: %s", sector, name, e)
             return sector, name, None, (sector, name, None, None, n, "FAILED", str(e)[:500]), []
 
-    jobs = []
+    eligible = []
     for sector, n in sorted(counts.items(), key=lambda kv: str(kv[0])):
         if n < params.min_samples:
             out.rows.append((sector, None, None, None, n, "SKIPPED_MIN_SAMPLES", None))
-            continue
-        jobs += [(sector, name) for name in grids]
+        else:
+            eligible += [(sector, name) for name in grids]
+    # every (sector, model, grid point, fold) fit is an independent small job
+    cv_tasks = [(sec, name, i, f) for sec, name in eligible for i in range(len(grids[name]))
+                for f in range(params.n_folds)]
+    scores: dict = {}
     with ThreadPoolExecutor(max_workers=max(1, params.parallelism)) as pool:
-        for sector, name, model, row, imps in pool.map(lambda j: run(*j), jobs):
+        for (sec, name, i, _f), mae, err in pool.map(cv, cv_tasks):
+            if err is not None:
+                log.warning("fold fit %s/%s failed: %s", sec, name, err)
+            if mae is not None:
+                scores.setdefault((sec, name, i), []).append(mae)
+        refits = []
+        for sec, name in eligible:
+            means = {i: sum(v) / len(v) for (s2, n2, i), v in scores.items() if s2 == sec and n2 == name and v}
+            best = min(means, key=lambda i: (means[i], i)) if means else 0
+            refits.append((sec, name, grids[name][best], means.get(best)))
+        for sector, name, model, row, imps in pool.map(refit, refits):
             if model is not None:
                 out.models[(sector, name)] = model
             out.rows.append(row)
