@@ -122,3 +122,15 @@ def test_bundles_run_without_python_udfs(spark):
                                "date timestamp_ntz, amount_usd double, stage string, sector_label string")
     plan = feat.funding_features(df, keys=["sector_label"], as_of=AS_OF)._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_approximate_median_option(spark):
+    from trendspark.params import FeatureParams
+    rows = [(dt.datetime(2023, 11, 1), float(v), "seed", "X") for v in range(1, 102)]
+    df = spark.createDataFrame(rows, "date timestamp_ntz, amount_usd double, stage string, sector_label string")
+    exact = feat.funding_features(df, keys=["sector_label"], as_of=AS_OF).first()
+    approx = feat.funding_features(df, keys=["sector_label"], as_of=AS_OF,
+                                   params=FeatureParams(exact_quantiles=False)).first()
+    assert exact.median_round_size_usd == 51.0
+    assert abs(approx.median_round_size_usd - 51.0) <= 1.0
+    assert approx.funding_amount_gini == pytest.approx(exact.funding_amount_gini)

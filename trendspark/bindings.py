@@ -15,9 +15,10 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trendspark.operators.common import ts_lit  # noqa: F401  (re-exported for query modules)
 from trendspark.sources.scan import read_table
 
 # FIXED VALUES: the "now" of the record sets and of the status log.
@@ -28,11 +29,6 @@ STATUS_AS_OF = dt.datetime(2024, 1, 31, 0, 0, 0)
 PAPER_SECTORS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 
 
-def ts_lit(value: dt.datetime) -> Column:
-    """A TIMESTAMP_NTZ literal (wall clock, no zone)."""
-    return F.lit(value.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_table(spark, sf_dir, name)
 

@@ -32,7 +32,6 @@ for lv in (0.68, 0.95):
     _Q += [a / 2.0, 1.0 - a / 2.0]
 _QLIST = "[" + ", ".join(repr(q) for q in _Q) + "]"
 _W = ", ".join(f"('{k}', {v!r}::DOUBLE)" for k, v in FC.TREND_WEIGHTS.items())
-_FEAT_NO_T = [c for c in FEATS]
 
 
 def _fit(src: str) -> str:

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from trendspark import bindings as B
 from trendspark.operators import timeseries as ts
-from trendspark.operators.common import join_keys
 from trendspark.plans import panel as P
 from trendspark.plans.registry import AS_OF_SQL as ASOF, finish_sql, present, register, with_views
 
