@@ -19,7 +19,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trendspark.operators.common import join_keys
 from trendspark.session import ensure_checkpoint_dir
 
 
@@ -30,23 +29,27 @@ def value_ranks(df: DataFrame, keys: list[str], value: Column | str,
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     v = F.col(value) if isinstance(value, str) else value
+    # one non-null group key: struct equality treats null fields as equal, so
+    # a plain equi-join on it can reuse the window's hash partitioning
+    gk = F.struct(*[F.col(k) for k in keys]) if keys else F.lit(0)
     collapsed = (df.where(v.isNotNull())
                  .groupBy(*keys, v.cast("double").alias("x"))
-                 .agg(F.count(F.lit(1)).alias("c")))
+                 .agg(F.count(F.lit(1)).alias("c"))
+                 .withColumn("_gk", gk))
     n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = (collapsed.repartitionByRange(n_parts, *keys, "x")
               .withColumn("pid", F.spark_partition_id())
               .checkpoint(eager=True))
-    slices = ranged.groupBy("pid", *keys).agg(F.sum("c").alias("pc"))
-    by_key = Window.partitionBy(*keys) if keys else Window.partitionBy()
+    slices = ranged.groupBy("pid", "_gk").agg(F.sum("c").alias("pc"))
+    by_key = Window.partitionBy("_gk")
     slices = slices.select(
-        "pid", *keys,
+        "pid", "_gk",
         F.coalesce(F.sum("pc").over(by_key.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)),
                    F.lit(0)).alias("offset"),
         F.sum("pc").over(by_key).alias("n"))
-    local = Window.partitionBy("pid", *keys).orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+    local = Window.partitionBy("pid", "_gk").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
     ranked = ranged.withColumn("local_before", F.coalesce(F.sum("c").over(local), F.lit(0)))
-    out = join_keys(ranked, slices, ["pid", *keys], "inner")
+    out = ranked.join(slices, on=["pid", "_gk"], how="inner")
     return out.select(*keys, "x", "c", (F.col("offset") + F.col("local_before")).alias("before"), "n")
 
 
