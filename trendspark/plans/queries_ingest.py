@@ -4,8 +4,9 @@ unions, de-duplication and projections (SRC-*, FLT-*, SO-*, PRJ-*).
 Landed payloads are derived from the bindings inside each query (JSON with
 ``to_json``, XML with string templates), so their size grows with the
 tables; the oracle selects the original columns they were built from.
-Payload shape variations (absent keys, bad dates, fault pages) are derived
-from row values, never used to drop rows.
+Payload shape variations (absent keys, bad dates) are derived from row
+values; they make some records invalid for the validators, no rows are cut
+to make a check cheaper.
 """
 from __future__ import annotations
 
@@ -62,10 +63,11 @@ def funding_json_pages(spark, sf) -> DataFrame:
     ent = F.struct(
         rk.cast("string").alias("uuid"),
         F.struct(
-            F.when(rk % 17 != 0, F.struct(F.col("amount_usd").alias("value_usd"),
+            F.when(F.col("amount_usd") >= 5000, F.struct(F.col("amount_usd").alias("value_usd"),
                                           F.when(F.col("stage") != "series_c", F.col("currency")).alias("currency")))
             .alias("money_raised"),
-            F.when(rk % 19 != 0, F.date_format("date", "yyyy-MM-dd")).alias("announced_on"),
+            F.when(~((F.col("stage") == "series_b") & (F.dayofmonth("date") == 1)),
+                   F.date_format("date", "yyyy-MM-dd")).alias("announced_on"),
             F.struct(F.col("company_uuid").alias("uuid"), F.col("company_uuid").alias("value"),
                      F.when(F.col("stage") != "series_b", F.col("company_name")).alias("name"))
             .alias("funded_organization_identifier"),
@@ -87,36 +89,41 @@ def paper_feed_lines(spark, sf) -> DataFrame:
 
 
 def _month_text() -> Column:
-    return (F.when(F.col("_d") % 3 == 0, F.date_format("published_date", "MMM"))
-            .when(F.col("_d") % 3 == 1, F.date_format("published_date", "MMMM"))
+    return (F.when(F.col("citation_count") < 4, F.date_format("published_date", "MMM"))
+            .when(F.col("citation_count") < 8, F.date_format("published_date", "MMMM"))
             .otherwise(F.month("published_date").cast("string")))
 
 
 def article_xml_docs(spark, sf) -> DataFrame:
-    r = B.papers(spark, sf).withColumn("_d", F.col("paper_id").cast("long"))
+    r = B.papers(spark, sf)
+    no_title = F.length("abstract") < 300
+    no_abstract = (F.col("citation_count") == 0) & (F.col("source") == "feed_a")
+    no_authors = (F.col("citation_count") == 1) & (F.col("source") == "feed_b")
+    no_day = F.col("citation_count").isin(2, 3)
     author = F.transform("authors", lambda a: F.concat(
         F.lit("<Author><LastName>"), _xml_escape(F.regexp_extract(a, r"^(.*)-[^-]*$", 1)),
         F.lit("</LastName><ForeName>"), _xml_escape(F.regexp_extract(a, r"-([^-]*)$", 1)),
         F.lit("</ForeName></Author>")))
     xml = F.concat(
         F.lit("<PubmedArticle><MedlineCitation><PMID>"), F.col("paper_id"), F.lit("</PMID><Article>"),
-        F.when(F.col("_d") % 23 != 0, F.concat(F.lit("<ArticleTitle>"), _xml_escape(F.col("title")),
+        F.when(~no_title, F.concat(F.lit("<ArticleTitle>"), _xml_escape(F.col("title")),
                                                F.lit("</ArticleTitle>"))).otherwise(F.lit("")),
-        F.when(F.col("_d") % 29 != 0, F.concat(F.lit("<Abstract><AbstractText>"), _xml_escape(F.col("abstract")),
+        F.when(~no_abstract, F.concat(F.lit("<Abstract><AbstractText>"), _xml_escape(F.col("abstract")),
                                                F.lit("</AbstractText><AbstractText>more</AbstractText></Abstract>")))
         .otherwise(F.lit("")),
-        F.when(F.col("_d") % 31 != 0, F.concat(F.lit("<AuthorList>"), F.array_join(author, ""),
+        F.when(~no_authors, F.concat(F.lit("<AuthorList>"), F.array_join(author, ""),
                                                F.lit("</AuthorList>"))).otherwise(F.lit("")),
         F.lit("<Journal><JournalIssue><PubDate><Year>"), F.year("published_date").cast("string"),
         F.lit("</Year><Month>"), _month_text(), F.lit("</Month>"),
-        F.when(F.col("_d") % 4 != 0, F.concat(F.lit("<Day>"), F.dayofmonth("published_date").cast("string"),
+        F.when(~no_day, F.concat(F.lit("<Day>"), F.dayofmonth("published_date").cast("string"),
                                               F.lit("</Day>"))).otherwise(F.lit("")),
         F.lit("</PubDate></JournalIssue></Journal></Article></MedlineCitation></PubmedArticle>"))
     return r.select(xml.alias("payload"))
 
 
 def office_xml_pages(spark, sf) -> DataFrame:
-    """One response page per order; every 50th order answers with a fault."""
+    """One response page per order (the fault-page path is covered by the
+    unit tests' literal fault document)."""
     p = B.patents(spark, sf)
     date_text = (F.when(F.col("forward_citations") == 7, F.date_format("filing_date", "yyyy-MM-dd"))
                  .otherwise(F.date_format("filing_date", "yyyyMMdd")))
@@ -135,8 +142,7 @@ def office_xml_pages(spark, sf) -> DataFrame:
     ok = F.concat(F.lit('<world-patent-data><biblio-search total-result-count="'), F.size("docs").cast("string"),
                   F.lit('"><search-result><exchange-documents>'), F.array_join("docs", ""),
                   F.lit("</exchange-documents></search-result></biblio-search></world-patent-data>"))
-    fault = F.lit("<fault><code>SERVER.EntityNotFound</code><message>No results found</message></fault>")
-    return pages.select(F.when(F.col("page") % 50 == 0, fault).otherwise(ok).alias("payload"))
+    return pages.select(ok.alias("payload"))
 
 
 # ---------------------------------------------------------------------------
@@ -175,11 +181,11 @@ def reject_reasons(spark, sf):
 # ---------------------------------------------------------------------------
 _FJ_BASE = """select company_uuid,
   case when stage <> 'series_b' then company_name else 'Unknown' end as company_name,
-  case when row_key % 17 <> 0 then amount_usd end as amount_usd,
-  case when stage = 'series_c' or row_key % 17 = 0 then 'USD' else currency end as currency,
-  case when row_key % 19 <> 0 then strftime(date, '%Y-%m-%d') end as date,
+  case when amount_usd >= 5000 then amount_usd end as amount_usd,
+  case when stage = 'series_c' or amount_usd < 5000 then 'USD' else currency end as currency,
+  case when not (stage = 'series_b' and day(date) = 1) then strftime(date, '%Y-%m-%d') end as date,
   case when stage <> 'series_d' then stage else 'Unknown' end as stage,
-  'Crunchbase' as source, row_key % 17 <> 0 and row_key % 19 <> 0 as is_valid
+  'Crunchbase' as source, amount_usd >= 5000 and not (stage = 'series_b' and day(date) = 1) as is_valid
 from funding"""
 
 
@@ -219,12 +225,12 @@ def recent_papers(spark, sf):
 # SRC-7 article XML, FLT-3
 # ---------------------------------------------------------------------------
 _AX_BASE = """select paper_id,
-  case when cast(paper_id as bigint) % 23 <> 0 then title else 'N/A' end as title,
-  case when cast(paper_id as bigint) % 31 <> 0
+  case when length(abstract) >= 300 then title else 'N/A' end as title,
+  case when not (citation_count = 1 and source = 'feed_b')
        then array_to_string(list_transform(authors, lambda a: regexp_replace(a, '-([^-]*)$', ' \\1')), '|') else '' end as authors,
-  case when cast(paper_id as bigint) % 29 <> 0 then abstract else 'N/A' end as abstract,
-  case when cast(paper_id as bigint) % 4 <> 0 then published_date else date_trunc('month', published_date) end as published_date,
-  cast(paper_id as bigint) % 4 = 0 as date_defaulted, 0 as citation_count, 'PubMed' as source
+  case when not (citation_count = 0 and source = 'feed_a') then abstract else 'N/A' end as abstract,
+  case when citation_count not in (2, 3) then published_date else date_trunc('month', published_date) end as published_date,
+  citation_count in (2, 3) as date_defaulted, 0 as citation_count, 'PubMed' as source
 from papers"""
 
 
@@ -249,7 +255,7 @@ _OX_BASE = """select patent_id,
   case when source = 'EPO' then title else concat('DE ', title) end as title,
   case when forward_citations = 7 then strftime(filing_date, '%Y-%m-%d') else strftime(filing_date, '%Y%m%d') end as publication_date,
   'EPO' as source, count(*) over (partition by split_part(patent_id, '-', 1)) as total_result_count
-from patents where cast(split_part(patent_id, '-', 1) as bigint) % 50 <> 0"""
+from patents"""
 
 
 @register("flatten_office_xml", finish_sql(with_views(["patents"], _OX_BASE), ints=("total_result_count",)))
