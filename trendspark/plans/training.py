@@ -1,10 +1,11 @@
 """Per-sector tree ensembles (ML-1 .. ML-4, TK-6, FLT-11).
 
 The training table is one row per (sector, month): small and bounded by the
-calendar. It is checkpointed once (reliable checkpoint in the cluster's
-checkpoint folder) and every fit reads that. Fits are independent Spark
-jobs submitted from a small thread pool; MLlib parallelises each fit over
-the partitions. Only sector names and fitted-model metadata live on the
+calendar. Its rows and folds are written once as tables in the cluster's
+checkpoint folder (``session.materialize``) and every fit reads those. Every
+(sector, model, grid point, fold) fit and every refit is an independent
+Spark job submitted from a small thread pool; MLlib parallelises each fit
+over the partitions. Only sector names and fitted-model metadata live on the
 driver. Folds are expanding windows (``timeseries.expanding_folds``);
 MLlib's CrossValidator folds are random, so they are looped here.
 """
