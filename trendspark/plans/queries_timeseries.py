@@ -388,8 +388,10 @@ where exists (select 1 from patents p where p.sector_label = r.sector_label
                 and p.citations >= 49)"""), ts=("published_date",)))
 def semi_recent(spark, sf):
     r = B.papers(spark, sf).withColumn("_m", ts.month_floor("published_date"))
+    # distinct keys first: partial aggregation collapses a hot (sector, month)
+    # on the map side, so the semi join never ships all of its rows to one task
     p = (B.patents(spark, sf).where(F.col("citations") >= 49)
-         .select("sector_label", ts.month_floor("filing_date").alias("_m")))
+         .select("sector_label", ts.month_floor("filing_date").alias("_m")).distinct())
     return present(r.join(p, on=["sector_label", "_m"], how="left_semi").select("paper_id", "sector_label",
                                                                                 "published_date"))
 
