@@ -134,3 +134,11 @@ def test_approximate_median_option(spark):
     assert exact.median_round_size_usd == 51.0
     assert abs(approx.median_round_size_usd - 51.0) <= 1.0
     assert approx.funding_amount_gini == pytest.approx(exact.funding_amount_gini)
+
+
+def test_approximate_distinct_option(spark):
+    rows = [("s", [f"inv{i % 40}", None]) for i in range(200)]
+    df = spark.createDataFrame(rows, "sector_label string, inventors array<string>")
+    exact = feat.distinct_exploded(df, ["sector_label"], "inventors", "n").first().n
+    approx = feat.distinct_exploded(df, ["sector_label"], "inventors", "n", approx=True).first().n
+    assert exact == 40 and abs(approx - 40) <= 4

@@ -69,9 +69,12 @@ def shannon_diversity(df: DataFrame, keys: list[str], category: str, explode: bo
         (-F.sum(F.col("_p") * F.log2(F.col("_p") + F.lit(eps)))).alias(name))
 
 
-def distinct_exploded(df: DataFrame, keys: list[str], list_col: str, name: str) -> DataFrame:
-    """AG-5: distinct non-null list elements per group (two-stage distinct)."""
+def distinct_exploded(df: DataFrame, keys: list[str], list_col: str, name: str, approx: bool = False) -> DataFrame:
+    """AG-5: distinct non-null list elements per group (two-stage distinct);
+    ``approx`` uses a HyperLogLog sketch (``approx_count_distinct``) instead."""
     items = df.select(*keys, F.explode(F.col(list_col)).alias("_it")).where(F.col("_it").isNotNull())
+    if approx:
+        return items.groupBy(*keys).agg(F.approx_count_distinct("_it").alias(name))
     return (items.groupBy(*keys, "_it").agg(F.lit(1).alias("_one"))
             .groupBy(*keys).agg(F.count(F.lit(1)).alias(name)))
 
@@ -107,7 +110,7 @@ def patent_features(df: DataFrame, *, keys: list[str], as_of: dt.datetime,
         international_ratio("source").alias("international_filing_ratio"))
     main = main.where(F.col("_n") > 0).drop("_n")
     div = shannon_diversity(df, keys, "tech_class", name="tech_diversity_shannon", eps=params.shannon_epsilon)
-    inv = distinct_exploded(df, keys, "inventors", "unique_inventor_count")
+    inv = distinct_exploded(df, keys, "inventors", "unique_inventor_count", approx=not params.exact_quantiles)
     out = join_keys(join_keys(main, div, keys), inv, keys)
     out = _fill0(out, ["tech_diversity_shannon", "unique_inventor_count"])
     cols = [f"filing_rate_{m}m" for m in params.patent_rate_months] + [

@@ -71,7 +71,7 @@ class FeatureParams:
     # FIXED VALUES: Shannon epsilon and average month length in days.
     shannon_epsilon: float = 1e-10
     days_per_month: float = 30.44
-    exact_quantiles: bool = True  # False → approx_percentile for median
+    exact_quantiles: bool = True  # False → approx_percentile (median), approx_count_distinct (inventors)
 
 
 @dataclass(frozen=True)
