@@ -47,3 +47,12 @@ def test_sample_matches_duckdb(spark, name):
     cols = rel.columns
     want = sorted(tuple(sorted(zip(cols, row))) for row in rel.fetchall())
     assert got == want
+
+
+def test_entry_runs_flagship_on_smallest_tables(spark):
+    if not os.path.isdir(SF):
+        pytest.skip("test tables not present")
+    df = _entry().entry(spark)
+    rows = df.collect()
+    assert len(rows) >= 1
+    assert {"sector_label", "emergence_score", "key_indicators", "risk_factors"} <= set(df.columns)
