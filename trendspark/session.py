@@ -13,8 +13,9 @@ from pyspark.sql import SparkSession
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint directory the cluster names in
-    ``spark.checkpoint.dir``; only when nothing is configured (local tests)
-    fall back to a fresh folder under /tmp."""
+    ``spark.checkpoint.dir``. Where nothing is configured, a local master
+    (tests) gets a fresh folder under /tmp; a cluster has no folder that all
+    its executors see, so that is an error."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -22,11 +23,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         sc.setCheckpointDir(configured)
-    else:
+    elif sc.master == "local" or sc.master.startswith("local["):
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="trendspark-ckpt-", dir="/tmp"))
+    else:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return sc.getCheckpointDir()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Let executors import this package wherever their Python starts: the
+    driver serves it to them as a zip file, once per application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_trendspark_shipped", False):
+        return
+    import shutil
+    root = os.path.dirname(os.path.abspath(__file__))
+    at = os.path.join(tempfile.mkdtemp(prefix="trendspark-zip-"), "trendspark")
+    sc.addPyFile(shutil.make_archive(at, "zip", os.path.dirname(root), os.path.basename(root)))
+    sc._trendspark_shipped = True
+
+
 def local_session(cpus: int | None = None, shuffle_partitions: int | None = None,
                   app: str = "trendspark") -> SparkSession:
     cpus = cpus or int(os.environ.get("BENCH_CPUS", "8"))
