@@ -103,16 +103,16 @@ links AS (SELECT a, b FROM p JOIN n na ON a = na.doc_id JOIN n nb ON b = nb.doc_
 SELECT d.doc_id, coalesce(n.n, 0) n_shingles, least(d.doc_id, coalesce(best.b, d.doc_id)) component_id
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN best ON d.doc_id = best.a""",
     "op8_top_k": """
-WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(1024 * CAST(x AS DOUBLE))) v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.vec_id query_id, x.vec_id, CAST(list_inner_product(q.v, x.v) AS BIGINT) score
   FROM v q JOIN v x ON q.vec_id % 100 = 0 AND q.vec_id <> x.vec_id),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
     "op10_embedding_dedup": f"""
 WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
-u AS (SELECT vec_id, v, sqrt(list_inner_product(v, v)) m FROM v WHERE len(list_filter(v, x -> x <> 0)) > 0),
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+u AS (SELECT vec_id, v, sqrt(list_inner_product(v, v)) m FROM v WHERE len(list_filter(v, lambda x: x <> 0)) > 0),
 links AS (SELECT x.vec_id a, y.vec_id b FROM u x JOIN u y ON x.vec_id <> y.vec_id AND list_inner_product(x.v, y.v) / (x.m * y.m) >= 0.95),
 {_REACH},
 c AS (SELECT a, count(*) n FROM links GROUP BY a)
