@@ -41,24 +41,24 @@ def forest(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``component`` (the smallest node reached) for every node of
     ``edges`` (a, b: not null). Alternating large-star and small-star steps:
-    aggregates and joins by node only, each step written to the shared
+    aggregates and joins by node only, each round written to the shared
     folder; a node with very many edges is aggregated before the shuffle and
     its join is split by AQE. An empty table gives no rows."""
-    e = materialize(forest(edges.filter(F.col("a") != F.col("b"))).distinct(), "cc")
-    before = None
-    while True:
+    e = materialize(forest(edges.filter("a <> b")).distinct(), "cc")
+    while not _stars(e):
         # large star: neighbours above a node move to the smallest of its neighbourhood
-        both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = e.union(e.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         e = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # small star: a node and its neighbours below move to the smallest of them
-        e = materialize(e, "cc")
         low = e.groupBy("a").agg(F.min("b").alias("m"))
         moved = e.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = materialize(moved.union(low.select("a", F.col("m").alias("b"))).distinct(), "cc")
-        now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h")).first()
-        if now == before:
-            break
-        before = now
+        e = materialize(forest(moved.union(low.select("a", F.col("m").alias("b")))).distinct(), "cc")
     ends = e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(ends)
+
+
+def _stars(e: DataFrame) -> bool:
+    """Whether every node but the smallest of its component points at it."""
+    sides = e.select(F.col("a").alias("x"), F.lit(1).alias("up")).union(e.select(F.col("b").alias("x"), F.lit(0).alias("up")))
+    return sides.groupBy("x").agg(F.sum("up").alias("ups"), F.min("up").alias("low")).filter("ups > 1 or (ups = 1 and low = 0)").isEmpty()

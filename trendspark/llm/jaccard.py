@@ -10,11 +10,14 @@ on only if its count in the short lists can still reach the overlap. The long
 lists are never merged: the remaining candidates are probed by binary search
 in the partner's sorted shingles, which gives the exact overlap.
 
-Only components are asked for, so pairs are tried in rounds: first every
-document with the partner next to it in its short lists, again for what is
-still apart, and at last all pairs that share a short list and lie in
-different components. Documents with equal shingle sets are one class from
-the start, so groups of copies cost one document.
+Only components are asked for, so a pair is probed only while it lies in two
+of them: first each document with the partner it meets most often, then the
+others. A short list that still holds more than MANY documents (a large group
+of near copies, a passage in very many documents) is not merged pair by pair:
+it counts as a bound for pairs met elsewhere, its documents are tried with
+their neighbours by size for a few rounds, and only then all pairs of it that
+are still apart. Documents with equal shingle sets are one class from the
+start, so groups of copies cost one document.
 """
 from __future__ import annotations
 
@@ -32,7 +35,8 @@ from .common import filter_slots, id_filter, id_and_text, may_hold, mix, prefix_
 from .components import components
 
 SKETCH_BITS = 18
-ROUNDS = 3
+MANY = 64     # lists of more classes are not merged pair by pair
+ROUNDS = 3    # of neighbours, before all pairs that are still apart are tried
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -189,6 +193,67 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def _class_texts(docs: DataFrame, rows: DataFrame, alive: DataFrame, words: int) -> DataFrame:
+    """cls and text: the whole text of one document of each class in ``alive``."""
+    no_id = F.lit(-(1 << 63))  # stands for a null id
+    reps = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep")).join(alive, "cls", "left_semi")
+    reps = materialize(reps.select("cls", F.coalesce("rep", no_id).alias("rep")), "join-reps")
+    bits = docs.sparkSession.sparkContext.broadcast(id_filter(reps, "rep"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = pa.array(np.flatnonzero(may_hold(bits.value, b)))
+            ids, texts = b.column("doc_id").take(at), b.column("text").take(at)
+            raw, offsets = string_bytes(texts)
+            for lo, hi in row_chunks(offsets):
+                keys, own = shingle_sets(raw[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], words)
+                cls = [_class_key(keys[x:y]) for x, y in zip(own[:-1].tolist(), own[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(cls, pa.int64()), texts.slice(lo, hi - lo)], ["doc_id", "cls", "text"])
+    near = id_and_text(docs).select(F.coalesce("doc_id", no_id).alias("doc_id"), "text")
+    near = near.select("doc_id", "text", *filter_slots("doc_id")).mapInArrow(run, "doc_id long, cls long, text string")
+    texts = near.join(reps, "cls").filter("doc_id = rep").select("cls", "text")
+    if not rows.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        texts = texts.dropDuplicates(["cls"])
+    return materialize(texts, "join-texts")
+
+
+class _Groups:
+    """Links found so far and the components they make."""
+
+    def __init__(self, texts: DataFrame, words: int, percent: int):
+        self.texts, self.words, self.percent = texts, words, percent
+        self.links: DataFrame | None = None
+        self.tried: DataFrame | None = None
+        self.group: DataFrame | None = None
+
+    def add(self, pairs: DataFrame) -> bool:
+        """Verify pairs (a, b); whether any of them links."""
+        pairs = materialize(pairs.select("a", "b"), "join-pairs")
+        if pairs.isEmpty():
+            return False
+        self.tried = pairs if self.tried is None else self.tried.union(pairs)
+        new = materialize(_verified(pairs, self.texts, self.words, self.percent), "join-links")
+        if new.isEmpty():
+            return False
+        self.links = new if self.links is None else self.links.union(new)
+        self.group = materialize(components(self.links), "join-components")
+        return True
+
+    def untried(self, pairs: DataFrame) -> DataFrame:
+        return pairs if self.tried is None else pairs.join(self.tried, ["a", "b"], "left_anti")
+
+    def named(self, rows: DataFrame, column: str, name: str) -> DataFrame:
+        """``rows`` with the component of a column of classes."""
+        if self.group is None:
+            return rows.withColumn(name, F.col(column))
+        group = self.group.select(F.col("node").alias(column), F.col("component").alias("__g"))
+        return rows.join(group, column, "left").withColumn(name, F.coalesce("__g", column)).drop("__g")
+
+    def apart(self, pairs: DataFrame) -> DataFrame:
+        """Pairs not tried yet whose components differ."""
+        return self.named(self.named(self.untried(pairs), "a", "ga"), "b", "gb").filter("ga <> gb").select("a", "b")
+
+
 def near_duplicate_groups(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles (size of the set) and component_id: the smallest
     doc_id reached by links, itself included. Two documents link when
@@ -200,7 +265,6 @@ def near_duplicate_groups(docs: DataFrame, words: int = 3, percent: int = 90) ->
     own. An empty table gives no rows; other columns are not read. Sets are
     keyed by 64-bit hashes together with their size.
     """
-    spark = docs.sparkSession
     scan = materialize(_scan(docs, words), "join-scan")
     rows = scan.filter("cls is not null").select("doc_id", "n", "cls")
     sketch = scan.filter("bucket is not null").groupBy("bucket").agg(F.sum("hits").alias("hits")).toPandas()
@@ -208,62 +272,50 @@ def near_duplicate_groups(docs: DataFrame, words: int = 3, percent: int = 90) ->
     hits[sketch["bucket"].to_numpy(np.int64)] = sketch["hits"].to_numpy(np.int64)
     lists = materialize(_shared_lists(_short_lists(docs, hits, words, percent)), "join-lists")
 
-    # whole texts of the classes that share a list, one document each
-    alive = lists.select("cls").distinct()
-    reps = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(alive, "cls", "left_semi")
-    reps = materialize(reps.filter("doc_id is not null"), "join-reps")
-    bits = spark.sparkContext.broadcast(id_filter(reps, "doc_id"))
+    # pairs by the lists that a few documents share; the lists of many are counted only as a bound
+    many = lists.groupBy("token").count().filter(F.col("count") > MANY).select("token")
+    few, crowd = lists.join(many, "token", "left_anti"), materialize(lists.join(many, "token", "left_semi"), "join-crowd")
+    crowds = crowd.groupBy("cls").agg(F.count("*").alias("crowds"))
+    fits = F.least("n", "n_b") * 100 >= F.greatest("n", "n_b") * percent
+    other = few.select("token", F.col("cls").alias("cls_b"), F.col("n").alias("n_b"))
+    pairs = few.join(other, "token").filter("n > n_b or (n = n_b and cls > cls_b)").filter(fits)
+    pairs = pairs.groupBy(F.col("cls").alias("a"), F.col("cls_b").alias("b")).agg(
+        F.count("*").alias("count"), F.first("n").alias("n"), F.first("n_b").alias("n_b"))
+    pairs = pairs.join(crowds.toDF("a", "more_a"), "a", "left").join(crowds.toDF("b", "more_b"), "b", "left")
+    more = F.least(F.coalesce("more_a", F.lit(0)), F.coalesce("more_b", F.lit(0)))
+    counted = materialize(pairs.filter(_enough(F.col("count") + more, F.col("n"), F.col("n_b"), percent)).select("a", "b", "count"), "join-counted")
 
-    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = pa.array(np.flatnonzero(may_hold(bits.value, b)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(at), b.column("text").take(at)], ["doc_id", "text"])
+    alive = counted.select(F.col("a").alias("cls")).union(counted.select("b")).union(crowd.select("cls")).distinct()
+    texts = _class_texts(docs, rows, alive, words)
+    groups = _Groups(texts, words, percent)
+    best = counted.groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b"))  # the partner met most often
+    groups.add(best)
+    groups.add(groups.apart(counted.select("a", "b")))
 
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            raw, offsets = string_bytes(b.column("text"))
-            cls = []
-            for lo, hi in row_chunks(offsets):
-                keys, at = shingle_sets(raw[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], words)
-                cls += [_class_key(keys[x:y]) for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
-            same = pa.array(np.flatnonzero(np.array(cls, np.int64) == b.column("cls").to_numpy()))
-            yield pa.RecordBatch.from_arrays([b.column("cls").take(same), b.column("text").take(same)], ["cls", "text"])
-    near = id_and_text(docs).filter("doc_id is not null").select("doc_id", "text", *filter_slots("doc_id")).mapInArrow(wanted, "doc_id long, text string")
-    texts = near.join(reps, "doc_id").select("cls", "text").mapInArrow(named, "cls long, text string")
-    texts = materialize(texts.dropDuplicates(["cls"]), "join-texts")
-
-    fits = (F.least("n", "n_b") * 100 >= F.greatest("n", "n_b") * percent)
-    done = links = spark.createDataFrame([], "a long, b long")
-    group = None
-    for number in range(ROUNDS + 1):
-        mine = lists.withColumn("g", F.col("cls")) if group is None else lists.join(group, "cls", "left").withColumn("g", F.coalesce("g", "cls"))
-        if number < ROUNDS:  # the neighbour by size in each list
-            order = W.partitionBy("token").orderBy("n", "cls")
-            pairs = mine.select("cls", "n", "g", *[F.lag(c).over(order).alias(f"{c}_b") for c in ("cls", "n", "g")]).filter("g <> g_b")
-        else:  # all pairs of a list that are still apart
-            other = mine.select("token", *[F.col(c).alias(f"{c}_b") for c in ("cls", "n", "g")])
-            step = np.log(100 / percent)
-            band = lambda c: F.floor(F.log(F.col(c).cast("double")) / F.lit(float(step))).cast("int")
-            mine = mine.withColumn("band", F.explode(F.array(band("n") - 1, band("n"), band("n") + 1)))
-            mixed = mine.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo <> hi").select("token")
-            pairs = mine.join(mixed, "token", "left_semi").join(other.withColumn("band", band("n_b")), ["token", "band"]).filter(
-                "(n > n_b or (n = n_b and cls > cls_b)) and g <> g_b")
-        pairs = pairs.filter(fits).groupBy(F.col("cls").alias("a"), F.col("cls_b").alias("b")).agg(
-            F.count("*").alias("count"), F.first("n").alias("n"), F.first("n_b").alias("n_b"))
-        if number < ROUNDS:  # the partner met most often
-            pairs = pairs.join(done, ["a", "b"], "left_anti").groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
-        else:
-            pairs = pairs.filter(_enough(F.col("count"), F.col("n"), F.col("n_b"), percent)).join(done, ["a", "b"], "left_anti")
-        pairs = materialize(pairs.select("a", "b"), "join-pairs")
-        new = materialize(_verified(pairs, texts, words, percent), "join-links")
-        done = done.union(pairs)
-        if new.isEmpty():
-            if number < ROUNDS and number > 0:
-                continue
-        else:
-            links = materialize(links.union(new), "join-all-links")
-            found = materialize(components(links), "join-components")
-            group = found.select(F.col("node").alias("cls"), F.col("component").alias("g"))
+    # documents that share the lists of many: neighbours by size, while that links anything, then all that are still apart
+    if not crowd.isEmpty():
+        order = W.partitionBy("token").orderBy("n", "cls")
+        for _ in range(ROUNDS):
+            mine = groups.named(crowd, "cls", "g")
+            mine = mine.select("cls", "n", "g", *[F.lag(c).over(order).alias(f"{c}_b") for c in ("cls", "n", "g")]).filter("g <> g_b").filter(fits)
+            pairs = mine.groupBy(F.col("cls").alias("a"), F.col("cls_b").alias("b")).agg(F.count("*").alias("count"))
+            pairs = groups.untried(pairs).groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
+            if not groups.add(pairs):
+                break
+        mine = groups.named(crowd, "cls", "g")
+        mixed = mine.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo <> hi").select("token")
+        mine = mine.join(mixed, "token", "left_semi")
+        step = float(np.log(100 / percent))
+        band = lambda c: F.floor(F.log(F.col(c).cast("double")) / F.lit(step)).cast("int")
+        other = mine.select("token", *[F.col(c).alias(f"{c}_b") for c in ("cls", "n", "g")]).withColumn("band", band("n_b"))
+        mine = mine.withColumn("band", F.explode(F.array(band("n") - 1, band("n"), band("n") + 1)))
+        pairs = mine.join(other, ["token", "band"]).filter("(n > n_b or (n = n_b and cls > cls_b)) and g <> g_b").filter(fits)
+        pairs = pairs.groupBy(F.col("cls").alias("a"), F.col("cls_b").alias("b")).agg(
+            F.count("*").alias("more"), F.first("n").alias("n"), F.first("n_b").alias("n_b"))
+        pairs = pairs.join(counted, ["a", "b"], "left").filter(
+            _enough(F.col("more") + F.coalesce("count", F.lit(0)), F.col("n"), F.col("n_b"), percent))
+        groups.add(groups.untried(pairs.select("a", "b")))
+    group = None if groups.group is None else groups.group.select(F.col("node").alias("cls"), F.col("component").alias("g"))
     classes = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("own"))
     if group is not None:
         classes = classes.join(group, "cls", "left")
