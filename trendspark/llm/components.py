@@ -28,37 +28,51 @@ def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             return nodes, nodes[root]
 
 
-def forest(edges: DataFrame) -> DataFrame:
-    """As many connections with fewer edges: each batch becomes stars."""
+SALTS = 8
+
+
+def _contract(by_key: bool):
+    """Batches of edges become stars. ``by_key``: rows come sorted by the node
+    ``key`` that their edges share; it is carried into the next batch, so all
+    edges of a key are contracted together however many there are."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            node, root = roots(b.column("a").to_numpy(), b.column("b").to_numpy())
+        key = root_of_key = None
+        for batch in batches:
+            a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
+            if not len(a):
+                continue
+            if key is not None:
+                a, b = np.append(a, key), np.append(b, root_of_key)
+            node, root = roots(a, b)
+            if by_key:
+                key = batch.column("key").to_numpy()[-1]
+                root_of_key = root[np.searchsorted(node, key)]
             keep = node != root
             yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(root[keep])], ["a", "b"])
-    return edges.select("a", "b").mapInArrow(run, EDGES)
+    return run
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``component`` (the smallest node reached) for every node of
-    ``edges`` (a, b: not null). Alternating large-star and small-star steps:
-    aggregates and joins by node only, each round written to the shared
-    folder; a node with very many edges is aggregated before the shuffle and
-    its join is split by AQE. An empty table gives no rows."""
-    e = materialize(forest(edges.filter("a <> b")).distinct(), "cc")
-    while not _stars(e):
-        # large star: neighbours above a node move to the smallest of its neighbourhood
-        both = e.union(e.select("b", "a"))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        e = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        # small star: a node and its neighbours below move to the smallest of them
-        low = e.groupBy("a").agg(F.min("b").alias("m"))
-        moved = e.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = materialize(forest(moved.union(low.select("a", F.col("m").alias("b")))).distinct(), "cc")
-    ends = e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(ends)
+    ``edges`` (a, b: not null). In each round every edge meets the other edges
+    of both its ends and is replaced by an edge to the smallest node known,
+    until all are stars; a round is one shuffle, written to the shared folder.
+    The edges into a node (very many for the centre of a large group) are
+    salted, its own edges go to every salt. An empty table gives no rows."""
+    e = edges.select("a", "b").filter("a <> b").mapInArrow(_contract(False), EDGES)
+    while True:
+        up = e.select("a", "b", F.col("a").alias("key"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        down = e.select("a", "b", F.col("b").alias("key"), F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int").alias("salt"))
+        met = up.union(down).repartition("key", "salt").sortWithinPartitions("key", "salt")
+        e = materialize(met.mapInArrow(_contract(True), EDGES), "cc")
+        if _stars(e):
+            break
+    ends = e.select(F.col("b").alias("node"), F.col("b").alias("component"))
+    return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(ends).distinct()
 
 
 def _stars(e: DataFrame) -> bool:
     """Whether every node but the smallest of its component points at it."""
-    sides = e.select(F.col("a").alias("x"), F.lit(1).alias("up")).union(e.select(F.col("b").alias("x"), F.lit(0).alias("up")))
-    return sides.groupBy("x").agg(F.sum("up").alias("ups"), F.min("up").alias("low")).filter("ups > 1 or (ups = 1 and low = 0)").isEmpty()
+    sides = e.select(F.col("a").alias("x"), "b").union(e.select(F.col("b").alias("x"), F.lit(None).cast("long").alias("b")))
+    of = sides.groupBy("x").agg(F.min("b").alias("lo"), F.max("b").alias("hi"), F.count_if(F.col("b").isNull()).alias("into"))
+    return of.filter("lo < hi or (lo is not null and `into` > 0)").isEmpty()

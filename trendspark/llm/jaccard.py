@@ -10,14 +10,13 @@ on only if its count in the short lists can still reach the overlap. The long
 lists are never merged: the remaining candidates are probed by binary search
 in the partner's sorted shingles, which gives the exact overlap.
 
-Only components are asked for, so a pair is probed only while it lies in two
-of them: first each document with the partner it meets most often, then the
-others. A short list that still holds more than MANY documents (a large group
-of near copies, a passage in very many documents) is not merged pair by pair:
-it counts as a bound for pairs met elsewhere, its documents are tried with
-their neighbours by size for a few rounds, and only then all pairs of it that
-are still apart. Documents with equal shingle sets are one class from the
-start, so groups of copies cost one document.
+A short list that still holds more than MANY documents (a large group of near
+copies, a passage in very many documents) is not merged with the others: it
+counts as a bound for pairs met elsewhere. Only components are asked for, so
+its documents are first tried with a neighbour by size, and then only pairs
+that still lie in different components and whose long lists could make up the
+overlap alone. Documents with equal shingle sets are one class from the start,
+so groups of copies cost one document.
 """
 from __future__ import annotations
 
@@ -36,7 +35,6 @@ from .components import components
 
 SKETCH_BITS = 18
 MANY = 64     # lists of more classes are not merged pair by pair
-ROUNDS = 3    # of neighbours, before all pairs that are still apart are tried
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,9 +105,13 @@ def _scan(docs: DataFrame, words: int) -> DataFrame:
     return id_and_text(docs).mapInArrow(run, "doc_id long, n long, cls long, bucket long, hits long")
 
 
+LISTS = "token long, cls long, n int, place int"
+
+
 def _short_lists(docs: DataFrame, hits: np.ndarray, words: int, percent: int) -> DataFrame:
-    """(token, cls, n): each class in its shortest lists, all but the T - 1
-    longest, where T is the least overlap with any partner."""
+    """(token, cls, n, place): each class in its shortest lists, all but the
+    T - 1 longest, where T is the least overlap with any partner; place: the
+    list's number in the class's order."""
     model = docs.sparkSession.sparkContext.broadcast(hits)  # 2**SKETCH_BITS counts at any size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,9 +132,10 @@ def _short_lists(docs: DataFrame, hits: np.ndarray, words: int, percent: int) ->
                 short = n + (-percent * n // 100) + 1  # n - ceil(percent * n / 100) + 1
                 place = np.arange(len(of)) - np.repeat(at[:-1], n)
                 keep = (place < short[of]) & new[of]
-                of, token = of[keep], keys[order][keep]
-                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(cls[of]), pa.array(n[of].astype(np.int32))], ["token", "cls", "n"])
-    return id_and_text(docs).select("text").mapInArrow(run, "token long, cls long, n int")
+                of, token, place = of[keep], keys[order][keep], place[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(cls[of]), pa.array(n[of].astype(np.int32)),
+                                                  pa.array(place.astype(np.int32))], ["token", "cls", "n", "place"])
+    return id_and_text(docs).select("text").mapInArrow(run, LISTS)
 
 
 def _shared_lists(lists: DataFrame) -> DataFrame:
@@ -140,33 +143,41 @@ def _shared_lists(lists: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, held_out = None, False  # the last row, and whether it has been passed on
         for b in batches:
-            t, c, n = (b.column(x).to_numpy() for x in ("token", "cls", "n"))
+            t, c, n, p = (b.column(x).to_numpy() for x in ("token", "cls", "n", "place"))
             if not len(t):
                 continue
             if held is not None:
-                t, c, n = np.append(held[0], t), np.append(held[1], c), np.append(held[2], n)
+                t, c, n, p = (np.append(x, y) for x, y in zip(held, (t, c, n, p)))
             new = np.ones(len(t), bool)
             new[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1]) | (n[1:] != n[:-1])
-            t, c, n = t[new], c[new], n[new]
+            t, c, n, p = t[new], c[new], n[new], p[new]
             same = np.zeros(len(t) + 1, bool)
             same[1:-1] = t[1:] == t[:-1]
             out = same[:-1] | same[1:]
             done = held is not None and held_out
-            held, held_out = (t[-1:], c[-1:], n[-1:]), bool(out[-1]) or (done and len(t) == 1)
+            held, held_out = (t[-1:], c[-1:], n[-1:], p[-1:]), bool(out[-1]) or (done and len(t) == 1)
             out[0] &= not done
             out = np.flatnonzero(out)
-            yield pa.RecordBatch.from_arrays([pa.array(t[out]), pa.array(c[out]), pa.array(n[out].astype(np.int32))], ["token", "cls", "n"])
-    return lists.repartition("token").sortWithinPartitions("token", "n", "cls").mapInArrow(run, "token long, cls long, n int")
+            yield pa.RecordBatch.from_arrays([pa.array(t[out]), pa.array(c[out]), pa.array(n[out].astype(np.int32)),
+                                              pa.array(p[out].astype(np.int32))], ["token", "cls", "n", "place"])
+    return lists.repartition("token").sortWithinPartitions("token", "n", "cls").mapInArrow(run, LISTS)
+
+
+def _ceil(x: Column, p: int, q: int) -> Column:
+    return F.floor((x * p + (q - 1)) / q)
+
+
+def _overlap(a: Column, b: Column, percent: int) -> Column:
+    """The least overlap at which sets of sizes a and b link."""
+    return _ceil(a + b, percent, 100 + percent)
 
 
 def _enough(count: Column, a: Column, b: Column, percent: int) -> Column:
     """Whether two classes of sizes a and b with ``count`` shared short lists
     can reach the overlap: of the two ranges of short lists the one that ends
     first holds no other shared shingle."""
-    def ceil_of(x: Column, p: int, q: int) -> Column:
-        return F.floor((x * p + (q - 1)) / q)
-    need = ceil_of(a + b, percent, 100 + percent)
-    least = [need - x + (x - ceil_of(x, percent, 100) + 1) for x in (a, b)]
+    need = _overlap(a, b, percent)
+    least = [need - x + (x - _ceil(x, percent, 100) + 1) for x in (a, b)]
     return count >= F.least(*least)
 
 
@@ -222,7 +233,6 @@ class _Groups:
 
     def __init__(self, texts: DataFrame, words: int, percent: int):
         self.texts, self.words, self.percent = texts, words, percent
-        self.links: DataFrame | None = None
         self.tried: DataFrame | None = None
         self.group: DataFrame | None = None
 
@@ -235,8 +245,9 @@ class _Groups:
         new = materialize(_verified(pairs, self.texts, self.words, self.percent), "join-links")
         if new.isEmpty():
             return False
-        self.links = new if self.links is None else self.links.union(new)
-        self.group = materialize(components(self.links), "join-components")
+        if self.group is not None:  # the stars found so far stand for their links
+            new = new.union(self.group.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        self.group = materialize(components(new), "join-components")
         return True
 
     def untried(self, pairs: DataFrame) -> DataFrame:
@@ -288,33 +299,33 @@ def near_duplicate_groups(docs: DataFrame, words: int = 3, percent: int = 90) ->
     alive = counted.select(F.col("a").alias("cls")).union(counted.select("b")).union(crowd.select("cls")).distinct()
     texts = _class_texts(docs, rows, alive, words)
     groups = _Groups(texts, words, percent)
-    best = counted.groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b"))  # the partner met most often
-    groups.add(best)
+    groups.add(counted.groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b")))  # the partner met most often
     groups.add(groups.apart(counted.select("a", "b")))
 
-    # documents that share the lists of many: neighbours by size, while that links anything, then all that are still apart
+    # documents that share the lists of many: the neighbour by size met most often, then all that are still apart;
+    # they share no list of few (such pairs have been tried), so the lists of many alone must reach the overlap
     if not crowd.isEmpty():
+        crowd = crowd.join(crowds, "cls")
+        possible = _enough(F.least("crowds", "crowds_b"), F.col("n"), F.col("n_b"), percent)
+        side = ("cls", "n", "g", "crowds")
         order = W.partitionBy("token").orderBy("n", "cls")
-        for _ in range(ROUNDS):
-            mine = groups.named(crowd, "cls", "g")
-            mine = mine.select("cls", "n", "g", *[F.lag(c).over(order).alias(f"{c}_b") for c in ("cls", "n", "g")]).filter("g <> g_b").filter(fits)
-            pairs = mine.groupBy(F.col("cls").alias("a"), F.col("cls_b").alias("b")).agg(F.count("*").alias("count"))
-            pairs = groups.untried(pairs).groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
-            if not groups.add(pairs):
-                break
+        mine = groups.named(crowd, "cls", "g")
+        mine = mine.select(*side, *[F.lag(c).over(order).alias(f"{c}_b") for c in side]).filter("g <> g_b").filter(fits).filter(possible)
+        pairs = groups.untried(mine.groupBy(F.col("cls").alias("a"), F.col("cls_b").alias("b")).agg(F.count("*").alias("count")))
+        groups.add(pairs.groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b")))
         mine = groups.named(crowd, "cls", "g")
         mixed = mine.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo <> hi").select("token")
-        mine = mine.join(mixed, "token", "left_semi")
+        side = (*side, "place")
+        mine = mine.join(mixed, "token", "left_semi").select("token", *side)
         step = float(np.log(100 / percent))
         band = lambda c: F.floor(F.log(F.col(c).cast("double")) / F.lit(step)).cast("int")
-        other = mine.select("token", *[F.col(c).alias(f"{c}_b") for c in ("cls", "n", "g")]).withColumn("band", band("n_b"))
+        other = mine.select("token", *[F.col(c).alias(f"{c}_b") for c in side]).withColumn("band", band("n_b"))
         mine = mine.withColumn("band", F.explode(F.array(band("n") - 1, band("n"), band("n") + 1)))
-        pairs = mine.join(other, ["token", "band"]).filter("(n > n_b or (n = n_b and cls > cls_b)) and g <> g_b").filter(fits)
-        pairs = pairs.groupBy(F.col("cls").alias("a"), F.col("cls_b").alias("b")).agg(
-            F.count("*").alias("more"), F.first("n").alias("n"), F.first("n_b").alias("n_b"))
-        pairs = pairs.join(counted, ["a", "b"], "left").filter(
-            _enough(F.col("more") + F.coalesce("count", F.lit(0)), F.col("n"), F.col("n_b"), percent))
-        groups.add(groups.untried(pairs.select("a", "b")))
+        # after the first list that two documents share, enough lists must follow in both
+        early = F.least(F.col("n") - F.col("place"), F.col("n_b") - F.col("place_b")) >= _overlap(F.col("n"), F.col("n_b"), percent)
+        apart = F.expr("(n > n_b or (n = n_b and cls > cls_b)) and g <> g_b") & fits & possible & early
+        pairs = mine.join(other, ["token", "band"]).filter(apart)
+        groups.add(groups.untried(pairs.select(F.col("cls").alias("a"), F.col("cls_b").alias("b")).distinct()))
     group = None if groups.group is None else groups.group.select(F.col("node").alias("cls"), F.col("component").alias("g"))
     classes = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("own"))
     if group is not None:
