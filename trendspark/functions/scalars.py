@@ -88,11 +88,8 @@ def title_words(c: Column | str) -> Column:
 def iso_ts(c: Column | str) -> Column:
     """SC-14: ISO text → timestamp_ntz, bad text → null."""
     c = col_(c)
-    return F.coalesce(F.try_to_timestamp(c, F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSSSS")),
-                      F.try_to_timestamp(c, F.lit("yyyy-MM-dd'T'HH:mm:ss")),
-                      F.try_to_timestamp(c, F.lit("yyyy-MM-dd HH:mm:ss.SSSSSS")),
-                      F.try_to_timestamp(c, F.lit("yyyy-MM-dd HH:mm:ss")),
-                      F.try_to_timestamp(c, F.lit("yyyy-MM-dd"))).cast("timestamp_ntz")
+    whole = c.rlike(r"^\d{4}-\d\d-\d\d([T ]\d\d:\d\d:\d\d(\.\d{1,6})?)?$")
+    return F.when(whole, c.try_cast("timestamp_ntz"))  # no time zone on the way
 
 
 def is_domestic(c: Column | str, domestic: tuple[str, ...]) -> Column:

@@ -12,6 +12,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trendspark.functions.scalars import finite
 from trendspark.functions.text import keyword_count
 from trendspark.operators.common import join_keys, months_before, ts_lit
 from trendspark.operators.ranked import exact_median, gini, value_ranks
@@ -38,7 +39,8 @@ def citation_rate(date_col: str, cites_col: str, as_of: dt.datetime, days_per_mo
     """AG-6 per row: citations / months since filing, whole days / 30.44, 0 → 1."""
     days = F.floor(F.timestamp_diff("SECOND", F.col(date_col), ts_lit(as_of)) / F.lit(86400))
     months = days / F.lit(days_per_month)
-    return F.col(cites_col) / F.when(months == 0, F.lit(1.0)).otherwise(months)
+    rate = F.col(cites_col).cast("double") / F.when(months == 0, F.lit(1.0)).otherwise(months)
+    return F.when(finite(rate), rate)
 
 
 def international_ratio(source_col: str, domestic: tuple[str, ...] = DOMESTIC_SOURCES) -> Column:
@@ -96,17 +98,28 @@ def _fill0(df: DataFrame, cols: list[str]) -> DataFrame:
 # --------------------------------------------------------------------------
 
 
+def with_optional(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Columns that a record set may lack, as typed nulls where it does: the
+    metrics of a missing column are 0."""
+    for name, kind in columns.items():
+        if name not in df.columns:
+            df = df.withColumn(name, F.lit(None).cast(kind))
+    return df
+
+
 def patent_features(df: DataFrame, *, keys: list[str], as_of: dt.datetime,
                     params: FeatureParams = FeatureParams()) -> DataFrame:
     """AG-16: filing_rate_{3,6,12}m, tech_diversity_shannon,
     unique_inventor_count, citation_velocity_avg, forward_citation_rate_avg,
-    international_filing_ratio. Empty input → no rows."""
+    international_filing_ratio. Empty input → no rows; missing columns → 0."""
+    df = with_optional(df, {"citations": "int", "forward_citations": "int", "inventors": "array<string>",
+                            "tech_class": "string", "source": "string"})
     rates = [event_rate("filing_date", as_of, m).alias(f"filing_rate_{m}m") for m in params.patent_rate_months]
     vel = F.coalesce(F.avg(citation_rate("filing_date", "citations", as_of, params.days_per_month)), F.lit(0.0))
     main = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), *rates,
         vel.alias("citation_velocity_avg"),
-        F.avg("forward_citations").alias("forward_citation_rate_avg"),
+        F.coalesce(F.avg("forward_citations"), F.lit(0.0)).alias("forward_citation_rate_avg"),
         international_ratio("source").alias("international_filing_ratio"))
     main = main.where(F.col("_n") > 0).drop("_n")
     div = shannon_diversity(df, keys, "tech_class", name="tech_diversity_shannon", eps=params.shannon_epsilon)
@@ -141,6 +154,7 @@ def funding_features(df: DataFrame, *, keys: list[str], as_of: dt.datetime,
                      params: FeatureParams = FeatureParams()) -> DataFrame:
     """AG-17: funding_deals_velocity_{3,6}m, funding_amount_velocity_{3,6}m_usd,
     avg/median_round_size_usd, funding_amount_gini, seed/series_a/late_stage ratios."""
+    df = with_optional(df, {"stage": "string"})
     months = params.funding_rate_months
     aggs = ([event_rate("date", as_of, m).alias(f"funding_deals_velocity_{m}m") for m in months]
             + [sum_rate("date", "amount_usd", as_of, m).alias(f"funding_amount_velocity_{m}m_usd") for m in months]
@@ -166,12 +180,13 @@ def research_features(df: DataFrame, *, keys: list[str], as_of: dt.datetime,
                       params: FeatureParams = FeatureParams()) -> DataFrame:
     """AG-18: publication_rate_{3,6}m, avg_citation_count, avg_authors_per_paper,
     category_diversity_shannon, avg_abstract_length, avg/sum_keyword_count."""
+    df = with_optional(df, {"abstract": "string", "authors": "array<string>", "categories": "array<string>", "citation_count": "int"})
     kw = F.col("_kw")
     main = df.withColumn("_kw", keyword_count("abstract", params.keywords, params.stop_words)).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"),
         *[event_rate("published_date", as_of, m).alias(f"publication_rate_{m}m") for m in params.research_rate_months],
-        F.avg("citation_count").alias("avg_citation_count"),
-        F.avg(F.when(F.col("authors").isNotNull(), F.size("authors"))).alias("avg_authors_per_paper"),
+        F.coalesce(F.avg("citation_count"), F.lit(0.0)).alias("avg_citation_count"),
+        F.coalesce(F.avg(F.when(F.col("authors").isNotNull(), F.size("authors"))), F.lit(0.0)).alias("avg_authors_per_paper"),
         F.avg(F.length(F.coalesce(F.col("abstract"), F.lit("")))).alias("avg_abstract_length"),
         F.avg(kw).alias("avg_keyword_count"),
         F.sum(kw).alias("sum_keyword_count"),

@@ -74,7 +74,7 @@ def pipeline_health(lookup: DataFrame, now: dt.datetime) -> DataFrame:
     ts = F.col("last_run_timestamp")
     limit = ts_lit(now) - F.make_dt_interval(F.col("max_delay_days"))
     delayed = ts.isNull() | (ts < limit)
-    failed = F.col("status") != "SUCCESS"
+    failed = ~F.col("status").eqNullSafe("SUCCESS")
     per = lookup.select("pipeline_name", "last_run_timestamp", "status", delayed.alias("delayed"),
                         failed.alias("failed"), (~delayed & ~failed).alias("healthy"))
     overall = per.agg(F.bool_and("healthy").alias("all_healthy"))  # one row over the configured pipelines
@@ -96,6 +96,12 @@ def drift_check(current: DataFrame, keys: list[str], baseline: DataFrame, p: Mon
     baseline mean; above the feature's threshold → DRIFT. Null means are
     skipped. Adds the group's overall flag."""
     feats = [r for r in p.drift_thresholds if r in current.columns]
+    if not feats:
+        none = current.select(*keys).limit(0)
+        for name, kind in (("feature", "string"), ("current_mean", "double"), ("baseline_mean", "double"), ("change", "double"),
+                           ("status", "string"), ("drift_detected", "boolean")):
+            none = none.withColumn(name, F.lit(None).cast(kind))
+        return none
     long = current.select(*keys, F.explode(F.array(*[
         F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in feats])).alias("_kv")) \
         .select(*keys, "_kv.*")

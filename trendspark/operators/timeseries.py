@@ -121,11 +121,16 @@ def growth_target(monthly_counts: DataFrame, keys: list[str], spine: DataFrame,
 
 
 def outer_align(frames: list[DataFrame], keys: list[str]) -> DataFrame:
-    """JN-1: full outer join of feature panels on (keys, ts)."""
+    """JN-1: full outer join of feature panels on (keys, ts); a null key
+    matches a null key."""
     on = keys + [TS]
     out = frames[0]
     for f in frames[1:]:
-        out = out.join(f, on=on, how="full")
+        r = f.select(*[F.col(k).alias(f"__r_{k}") for k in on], *[c for c in f.columns if c not in on])
+        match = [out[k].eqNullSafe(r[f"__r_{k}"]) for k in on]
+        both = out.join(r, match, "full")
+        out = both.select(*[F.coalesce(F.col(k), F.col(f"__r_{k}")).alias(k) for k in on],
+                          *[c for c in both.columns if c not in on and not c.startswith("__r_")])
     return out
 
 

@@ -77,9 +77,11 @@ def research_panel(spark: SparkSession, sf: str, end: dt.datetime = B.AS_OF) ->
 
 
 def targets(spark: SparkSession, sf: str, end: dt.datetime = B.AS_OF) -> DataFrame:
-    """EX-2: six-month growth of the monthly deal count."""
+    """EX-2: six-month growth of the monthly deal count, up to the last month
+    that is complete at ``end`` (a month in progress is no target)."""
     m = funding_monthly(B.funding(spark, sf))
-    return ts.growth_target(m, K, _spine_from_monthly(m, end), "n", 6, "target_growth_6m")
+    complete = end.replace(day=1, hour=0, minute=0, second=0, microsecond=0) - dt.timedelta(days=1)
+    return ts.growth_target(m, K, _spine_from_monthly(m, complete), "n", 6, "target_growth_6m")
 
 
 def feature_columns(df: DataFrame, exclude: tuple[str, ...] = ("target_growth_6m",)) -> list[str]:

@@ -17,14 +17,11 @@ K = ["sector_label"]
 
 # ----------------------------------------------------------------- SRC-1
 @register("scan_orders", finish_sql("""
-select o_orderkey, o_custkey, o_totalprice, o_orderdate
-from orders where o_orderdate >= TIMESTAMP '1998-01-01 00:00:00' and o_orderstatus = 'F'
+select o_orderkey, o_custkey, o_totalprice, o_orderdate, o_orderstatus, o_orderpriority from orders
 """, d6=("o_totalprice",), ts=("o_orderdate",)))
 def scan_orders(spark, sf):
     o = B.table(spark, sf, "orders")
-    return present(o.where((F.col("o_orderdate") >= F.lit("1998-01-01 00:00:00").cast("timestamp_ntz"))
-                           & (F.col("o_orderstatus") == "F"))
-                   .select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate"))
+    return present(o.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderstatus", "o_orderpriority"))
 
 
 # ----------------------------------------------------------------- AG-1

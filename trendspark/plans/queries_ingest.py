@@ -118,7 +118,10 @@ def article_xml_docs(spark, sf) -> DataFrame:
         F.when(~no_day, F.concat(F.lit("<Day>"), F.dayofmonth("published_date").cast("string"),
                                               F.lit("</Day>"))).otherwise(F.lit("")),
         F.lit("</PubDate></JournalIssue></Journal></Article></MedlineCitation></PubmedArticle>"))
-    return r.select(xml.alias("payload"))
+    # sets of several articles, as the feed returns them
+    sets = r.select(F.pmod(F.xxhash64("paper_id"), F.greatest(F.lit(1), F.lit(r.count() // 5))).alias("page"), xml.alias("x"))
+    sets = sets.groupBy("page").agg(F.array_join(F.collect_list("x"), "").alias("x"))
+    return sets.select(F.concat(F.lit("<PubmedArticleSet>"), F.col("x"), F.lit("</PubmedArticleSet>")).alias("payload"))
 
 
 def office_xml_pages(spark, sf) -> DataFrame:
@@ -139,9 +142,10 @@ def office_xml_pages(spark, sf) -> DataFrame:
         F.lit("</bibliographic-data></exchange-document>"))
     order = F.split("patent_id", "-")[0].cast("long")
     pages = p.groupBy(order.alias("page")).agg(F.collect_list(doc).alias("docs"))
-    ok = F.concat(F.lit('<world-patent-data><biblio-search total-result-count="'), F.size("docs").cast("string"),
-                  F.lit('"><search-result><exchange-documents>'), F.array_join("docs", ""),
-                  F.lit("</exchange-documents></search-result></biblio-search></world-patent-data>"))
+    ok = F.concat(F.lit('<ops:world-patent-data xmlns:ops="http://ops.epo.org" xmlns="http://www.epo.org/exchange">'
+                        '<ops:biblio-search><ops:search-result total-result-count="'), F.size("docs").cast("string"),
+                  F.lit('"><exchange-documents>'), F.array_join("docs", ""),
+                  F.lit("</exchange-documents></ops:search-result></ops:biblio-search></ops:world-patent-data>"))
     return pages.select(ok.alias("payload"))
 
 
@@ -279,7 +283,7 @@ OFFICE_QUERY_LABEL = "AUTOMOBILE, BUILDING"
 @register("conform_patents", finish_sql(with_views(["patents"], f"""
 select patent_id, title, strptime(publication_date, '%Y%m%d') as filing_date, CAST(NULL AS VARCHAR) as assignee,
        CAST(NULL AS VARCHAR) as inventors, CAST(NULL AS VARCHAR) as tech_class, CAST(NULL AS VARCHAR) as abstract,
-       CAST(NULL AS BIGINT) as citations, source, '{OFFICE_QUERY_LABEL}' as sector_label
+       CAST(NULL AS BIGINT) as citations, CAST(NULL AS BIGINT) as forward_citations, source, '{OFFICE_QUERY_LABEL}' as sector_label
 from ({_OX_BASE}) o where publication_date not like '%-%'"""), ts=("filing_date",)))
 def conform_patents(spark, sf):
     flat = PL.flatten_office_xml(office_xml_pages(spark, sf))

@@ -78,7 +78,7 @@ def aligned_sql_ctes() -> str:
   select sector_label, ts, target_growth_6m from (
     select sector_label, ts,
       CAST(lead(n, 6) over (partition by sector_label order by ts) AS DOUBLE) / nullif(n, 0) - 1 as target_growth_6m
-    from funding_grid) t
+    from funding_grid where ts < date_trunc('month', {ASOF})) t
   where target_growth_6m is not null)"""
     merged = f"""merged as (
   select coalesce(pf.sector_label, r.sector_label) as sector_label, coalesce(pf.ts, r.ts) as ts,
@@ -385,12 +385,12 @@ def left_reindex(spark, sf):
 select paper_id, sector_label, published_date from papers r
 where exists (select 1 from patents p where p.sector_label = r.sector_label
                 and date_trunc('month', p.filing_date) = date_trunc('month', r.published_date)
-                and p.citations >= 49)"""), ts=("published_date",)))
+                )"""), ts=("published_date",)))
 def semi_recent(spark, sf):
     r = B.papers(spark, sf).withColumn("_m", ts.month_floor("published_date"))
     # distinct keys first: partial aggregation collapses a hot (sector, month)
     # on the map side, so the semi join never ships all of its rows to one task
-    p = (B.patents(spark, sf).where(F.col("citations") >= 49)
+    p = (B.patents(spark, sf)
          .select("sector_label", ts.month_floor("filing_date").alias("_m")).distinct())
     return present(r.join(p, on=["sector_label", "_m"], how="left_semi").select("paper_id", "sector_label",
                                                                                 "published_date"))
@@ -488,7 +488,8 @@ tgt as (
           from (select distinct sector_label from funding) g cross join spine s
           left join (select sector_label, CAST(date_trunc('month', date) AS TIMESTAMP) as ts, count(*) as n
                      from funding group by 1, 2) m
-            on m.sector_label is not distinct from g.sector_label and m.ts = s.ts) x) t
+            on m.sector_label is not distinct from g.sector_label and m.ts = s.ts
+          where s.ts < date_trunc('month', {ASOF})) x) t
   where target_growth_6m is not null),
 whole as ({whole}),
 hist as (

@@ -10,6 +10,7 @@ PATENT_SCHEMA = T.StructType([
     T.StructField("filing_date", T.TimestampNTZType()), T.StructField("assignee", T.StringType()),
     T.StructField("inventors", T.ArrayType(T.StringType())), T.StructField("tech_class", T.StringType()),
     T.StructField("abstract", T.StringType()), T.StructField("citations", T.IntegerType()),
+    T.StructField("forward_citations", T.IntegerType()),
     T.StructField("source", T.StringType()), T.StructField("sector_label", T.StringType()),
 ])
 FUNDING_SCHEMA = T.StructType([

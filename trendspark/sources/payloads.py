@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trendspark.functions.scalars import date_from_parts, name_join, one_line
+from trendspark.functions.scalars import date_from_parts, iso_ts, name_join, one_line
 
 # ---------------------------------------------------------------------------
 # Patent search JSON (SRC-4)
@@ -58,6 +58,7 @@ def flatten_funding_json(df: DataFrame, payload: str = "payload") -> DataFrame:
     e = df.select(F.explode(F.from_json(F.col(payload), FUNDING_JSON_SCHEMA)["entities"]).alias("e"))
     p = "e.properties"
     value = F.col(f"{p}.money_raised.value_usd")
+    value = F.when(~F.isnan(value), value)  # a NaN amount is a missing one
     org = F.col(f"{p}.funded_organization_identifier.value")
     ann = F.col(f"{p}.announced_on")
     valid = (value.isNotNull() & (value != 0) & ann.isNotNull() & (ann != "") & org.isNotNull() & (org != ""))
@@ -82,11 +83,7 @@ PAPER_FEED_SCHEMA = """entry_id string, title string, authors array<struct<name:
 def naive_wall_clock(text: Column) -> Column:
     """PRJ-2: ISO text with an optional zone suffix → timestamp_ntz keeping
     the wall clock (the offset text is cut, not applied)."""
-    stripped = F.regexp_replace(text, r"(Z|[+-]\d\d:?\d\d)$", "")
-    return F.coalesce(F.try_to_timestamp(stripped, F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSSSS")),
-                      F.try_to_timestamp(stripped, F.lit("yyyy-MM-dd'T'HH:mm:ss")),
-                      F.try_to_timestamp(stripped, F.lit("yyyy-MM-dd HH:mm:ss")),
-                      F.try_to_timestamp(stripped, F.lit("yyyy-MM-dd"))).cast("timestamp_ntz")
+    return iso_ts(F.regexp_replace(text, r"(?<=\d\d:\d\d(?::\d\d(?:\.\d{1,9})?)?)(Z|[+-]\d\d:?\d\d)$", ""))
 
 
 def flatten_paper_feed(df: DataFrame, payload: str = "payload") -> DataFrame:
@@ -111,19 +108,26 @@ XML_OPTIONS = {"ignoreSurroundingSpaces": "false"}
 # ---------------------------------------------------------------------------
 # Article XML (SRC-7)
 # ---------------------------------------------------------------------------
-ARTICLE_XML_SCHEMA = """MedlineCitation struct<PMID: string, Article: struct<ArticleTitle: string,
+_CITATION = """struct<PMID: string, Article: struct<ArticleTitle: string,
   Abstract: struct<AbstractText: array<string>>,
   AuthorList: struct<Author: array<struct<LastName: string, ForeName: string>>>,
+  PubDate: struct<Year: string, Month: string, Day: string>,
   Journal: struct<JournalIssue: struct<PubDate: struct<Year: string, Month: string, Day: string>>>>>"""
+ARTICLE_XML_SCHEMA = f"MedlineCitation {_CITATION}, PubmedArticle array<struct<MedlineCitation: {_CITATION}>>"
 
 
 def flatten_article_xml(df: DataFrame, payload: str = "payload") -> DataFrame:
-    """One ``PubmedArticle`` per payload: title 'N/A' when absent, first
-    abstract text, authors 'LastName ForeName', date from parts (year 1900,
-    month Jan, day 1 by default) plus whether a default was used."""
-    a = df.select(F.from_xml(F.col(payload), ARTICLE_XML_SCHEMA, XML_OPTIONS).alias("x")).select("x.MedlineCitation.*")
-    pub = "Article.Journal.JournalIssue.PubDate"
-    year, month, day = F.col(f"{pub}.Year"), F.col(f"{pub}.Month"), F.col(f"{pub}.Day")
+    """One row per article of a ``PubmedArticleSet`` (or of a payload that is
+    one ``PubmedArticle``): title 'N/A' when absent, first abstract text,
+    authors 'LastName ForeName', date from the parts of the article's or its
+    journal's ``PubDate`` (year 1900, month Jan, day 1 by default) plus whether
+    a default was used."""
+    x = df.select(F.from_xml(F.col(payload), ARTICLE_XML_SCHEMA, XML_OPTIONS).alias("x"))
+    one = F.when(F.col("x.MedlineCitation").isNotNull(), F.array("x.MedlineCitation"))
+    every = F.transform("x.PubmedArticle", lambda p: p["MedlineCitation"])
+    a = x.select(F.explode(F.coalesce(every, one)).alias("c")).select("c.*")
+    pub = F.coalesce(F.col("Article.PubDate"), F.col("Article.Journal.JournalIssue.PubDate"))
+    year, month, day = pub["Year"], pub["Month"], pub["Day"]
     return a.select(
         F.col("PMID").alias("paper_id"),
         F.coalesce(F.col("Article.ArticleTitle"), F.lit("N/A")).alias("title"),
@@ -139,18 +143,20 @@ def flatten_article_xml(df: DataFrame, payload: str = "payload") -> DataFrame:
 # Patent-office XML (SRC-8)
 # ---------------------------------------------------------------------------
 OFFICE_XML_SCHEMA = """`biblio-search` struct<`_total-result-count`: string, `search-result`: struct<
-  `exchange-documents`: struct<`exchange-document`: array<struct<`bibliographic-data`: struct<
+  `_total-result-count`: string, `exchange-documents`: struct<`exchange-document`: array<struct<`bibliographic-data`: struct<
     `publication-reference`: struct<`document-id`: array<struct<`_document-id-type`: string,
                                                               `doc-number`: string, `date`: string>>>,
     `invention-title`: array<struct<`_lang`: string, `_VALUE`: string>>>>>>>>"""
 
 
 def flatten_office_xml(df: DataFrame, payload: str = "payload") -> DataFrame:
-    """One row per exchange document: number and date of the 'epodoc'
+    """One row per exchange document of a response, with or without namespace
+    prefixes; the count is the search result's or else the search's. Number and date of the 'epodoc'
     document id, English title else the first title else 'N/A'. A fault
     document has no search result and yields no rows."""
-    p = df.select(F.from_xml(F.col(payload), OFFICE_XML_SCHEMA, XML_OPTIONS).alias("p"))
-    docs = p.select(F.col("p.`biblio-search`.`_total-result-count`").cast("long").alias("total_result_count"),
+    p = df.select(F.from_xml(F.col(payload), OFFICE_XML_SCHEMA, XML_OPTIONS | {"ignoreNamespace": "true"}).alias("p"))
+    counts = [F.col(f"p.`biblio-search`.{at}`_total-result-count`") for at in ("`search-result`.", "")]
+    docs = p.select(F.coalesce(*counts).try_cast("long").alias("total_result_count"),
                     F.explode(F.col("p.`biblio-search`.`search-result`.`exchange-documents`.`exchange-document`"))
                     .alias("d"))
     ids = F.filter(F.col("d.`bibliographic-data`.`publication-reference`.`document-id`"),

@@ -26,9 +26,10 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 def load_or_build(spark: SparkSession, path: str, builder: Callable[[], DataFrame],
                   force: bool = False, partition_by: list[str] | None = None) -> DataFrame:
-    """Use the Parquet at ``path`` when present, otherwise build, write, and
-    read back (the read-back cuts the lineage of the build)."""
-    if force or not path_exists(spark, path):
+    """Use the Parquet at ``path`` when it is there and whole (its writer left
+    ``_SUCCESS``), otherwise build, write, and read back (the read-back cuts
+    the lineage of the build)."""
+    if force or not path_exists(spark, f"{path}/_SUCCESS"):
         writer = builder().write.mode("overwrite")
         if partition_by:
             writer = writer.partitionBy(*partition_by)

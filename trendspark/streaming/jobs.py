@@ -11,13 +11,14 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trendspark.operators import monitor as mo
 from trendspark.params import MonitorParams
 from trendspark.session import ensure_checkpoint_dir
+from trendspark.sources.scan import path_exists
 
 
 def _locations(spark: SparkSession, name: str) -> tuple[str, str]:
@@ -58,13 +59,33 @@ def _run(query_df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.parquet(sink)
 
 
-def land_events(stream: DataFrame, delay: str = "1 day") -> DataFrame:
-    """ST-1: validate (id, time and type present, value non-negative), drop
-    re-delivered events within the watermark, land as Parquet."""
+def land_events(stream: DataFrame) -> DataFrame:
+    """ST-1: validate (id, time and type present, value non-negative) and land
+    every valid event once, however late it comes. A batch drops events that
+    earlier batches have landed: an anti join on the id with the landed dates
+    that the batch holds (a re-delivered event has its date again). Each batch
+    owns a folder and overwrites it, so a replayed batch lands nothing twice."""
+    spark = stream.sparkSession
+    sink, ckpt = _locations(spark, "landing")
     valid = stream.where(F.col("event_id").isNotNull() & F.col("event_time").isNotNull()
                          & F.col("event_type").isNotNull() & (F.coalesce(F.col("value"), F.lit(0.0)) >= 0))
-    deduped = valid.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["event_id"])
-    return _run(deduped.drop("event_time"), "landing")
+    valid = valid.withColumn("event_date", F.to_date("ts"))
+    landed_schema = T.StructType([*valid.drop("event_time").schema.fields, T.StructField("batch_id", T.LongType())])
+
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        new = batch.drop("event_time").dropDuplicates(["event_id"])
+        if path_exists(spark, sink):
+            days = batch.agg(F.min("event_date").alias("lo"), F.max("event_date").alias("hi")).first()
+            before = spark.read.schema(landed_schema).parquet(sink).where(
+                (F.col("batch_id") != batch_id) & F.col("event_date").between(F.lit(days["lo"]), F.lit(days["hi"])))
+            new = new.join(before.select("event_id"), "event_id", "left_anti")
+        new.select(*landed_schema.names[:-1]).write.mode("overwrite").partitionBy("event_date").parquet(f"{sink}/batch_id={batch_id}")
+
+    q = (valid.writeStream.foreachBatch(on_batch).option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    q.awaitTermination()
+    if not path_exists(spark, sink):
+        return spark.createDataFrame([], landed_schema).drop("event_date", "batch_id")
+    return spark.read.schema(landed_schema).parquet(sink).drop("event_date", "batch_id")
 
 
 def rolling_rates(stream: DataFrame, length: str = "7 days", slide: str = "1 day", delay: str = "1 day") -> DataFrame:
@@ -81,16 +102,25 @@ def rolling_rates(stream: DataFrame, length: str = "7 days", slide: str = "1 day
 
 
 def health_per_batch(stream: DataFrame, now: dt.datetime, params: MonitorParams = MonitorParams()) -> DataFrame:
-    """ST-3: on every micro-batch of status rows, the pipeline health of that
-    batch (MO-2), appended with the batch id."""
+    """ST-3: after every micro-batch of status rows, the pipeline health (MO-2)
+    by the latest status of each pipeline seen so far, with the batch id. The
+    latest-status table (a row a pipeline) and the report of a batch are
+    written to folders of the batch, so a replayed batch repeats its result."""
     spark = stream.sparkSession
     sink, ckpt = _locations(spark, "health")
+    states = f"{sink}-latest"
     expected = mo.expected_pipelines(spark, params)
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        latest = mo.latest_status(batch, tie="row_key")
+        rows, before = batch, f"{states}/{batch_id - 1}"
+        if batch_id and path_exists(spark, before):
+            rows = batch.unionByName(spark.read.schema(batch.schema).parquet(before))
+        last = Window.partitionBy("pipeline_name").orderBy(F.col("last_run_timestamp").desc_nulls_last(), F.col("row_key").desc())
+        state = rows.withColumn("_rank", F.row_number().over(last)).where("_rank = 1").drop("_rank")
+        state.write.mode("overwrite").parquet(f"{states}/{batch_id}")
+        latest = mo.latest_status(spark.read.schema(batch.schema).parquet(f"{states}/{batch_id}"), tie="row_key")
         health = mo.pipeline_health(mo.status_lookup(latest, expected), now)
-        health.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("append").parquet(sink)
+        health.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
 
     q = (stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", ckpt)
          .trigger(availableNow=True).start())
