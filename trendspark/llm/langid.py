@@ -61,6 +61,7 @@ def gram_counts(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> pd.DataFrame
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     chosen = rows.groupBy("lang", "doc_id").agg(F.lit(1).alias("one")).withColumn("rank", rank).filter(F.col("rank") <= sample_docs)
     sample = rows.join(F.broadcast(chosen.select("lang", "doc_id")), ["lang", "doc_id"], "left_semi").dropDuplicates(["lang", "doc_id"])
+    sample = sample.coalesce(4)  # bounded by the sample; fewer partial counts of the same grams
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
