@@ -121,3 +121,11 @@ def test_drift_zero_baseline_is_infinite(spark):
     base = spark.createDataFrame([("filing_rate_3m_patent", 0.0, 0.0)], "feature string, mean double, std double")
     r = mo.drift_check(cur, ["sector_label"], base).first()
     assert r.change == float("inf") and r.status == "DRIFT" and r.drift_detected
+
+
+def test_gate_counts_a_sector_without_a_model_as_degraded(spark):
+    metrics = spark.createDataFrame([("a", "m", 0.1, 0.9), ("b", "m", 0.9, 0.9), (None, "m", 0.1, 0.9)],
+                                    "sector_label string, model string, mae double, direction_accuracy double")
+    groups = spark.createDataFrame([("a",), ("b",), ("c",), (None,), ("c",)], "sector_label string")
+    got = {r.sector_label: (r.degraded, r.n_models) for r in mo.performance_gate(metrics, ["sector_label"], groups=groups).collect()}
+    assert got == {"a": (False, 1), "b": (True, 1), "c": (True, 0), None: (False, 1)}

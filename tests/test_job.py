@@ -1,5 +1,6 @@
 """End-to-end job on the smallest tables: every output written, cached
 inputs reused on a second run, status rows appended."""
+import datetime as dt
 import os
 import tempfile
 
@@ -20,5 +21,20 @@ def test_run_job_writes_outputs_and_status(spark):
     assert spark.read.parquet(f"{out}/funding_features").count() == 5
     run_job(spark, SF, out)  # features are loaded, not rebuilt
     log = mo.read_status_log(spark, f"{out}/pipeline_status")
-    assert log.count() == 4
-    assert mo.latest_status(log).first().status == "COMPLETED"
+    assert log.count() == 10  # a run: started, three sources, completed
+    assert {r.pipeline_name: r.status for r in mo.latest_status(log).collect()} == {
+        "main_run": "COMPLETED", "patents_pipeline": "SUCCESS", "funding_pipeline": "SUCCESS", "research_pipeline": "SUCCESS"}
+    # health is judged on that log, so the sector checks run
+    report = spark.read.parquet(f"{out}/maintenance_report").collect()
+    assert all(r.healthy and r.maintenance_status == "COMPLETED" and r.retrain == r.degraded for r in report)
+
+
+def test_run_job_is_as_of_one_date(spark):
+    if not os.path.isdir(SF):
+        pytest.skip("test tables not present")
+    out = tempfile.mkdtemp(prefix="trendspark-job-", dir="/tmp")
+    as_of = dt.datetime(2000, 9, 1)
+    run_job(spark, SF, out, as_of=as_of)
+    last = spark.read.parquet(f"{out}/aligned_panel").agg({"ts": "max"}).first()[0]
+    assert last < as_of
+    assert {r[0] for r in spark.read.parquet(f"{out}/sector_forecasts").select("generated_at").distinct().collect()} == {as_of}

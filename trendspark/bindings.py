@@ -87,7 +87,7 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     second_author = F.concat(F.col("source"), F.lit("-"), (doc % 11).cast("string"))
     return d.select(
         doc.cast("string").alias("paper_id"),
-        F.substring("text", 1, 60).alias("title"),
+        F.substring_index("text", "\n", 1).alias("title"),
         F.when(doc % 3 == 0, F.array(first_author)).otherwise(F.array(first_author, second_author)).alias("authors"),
         F.col("text").alias("abstract"),
         F.array(F.col("lang"), F.col("source")).alias("categories"),

@@ -120,11 +120,16 @@ def drift_check(current: DataFrame, keys: list[str], baseline: DataFrame, p: Mon
     return join_keys(per, flags, keys, "left")
 
 
-def performance_gate(metrics: DataFrame, keys: list[str], p: MonitorParams = MonitorParams()) -> DataFrame:
+def performance_gate(metrics: DataFrame, keys: list[str], p: MonitorParams = MonitorParams(),
+                     groups: DataFrame | None = None) -> DataFrame:
     """MO-5: a group is degraded when any model has MAE above the limit or
-    direction accuracy below it (or a metric is missing)."""
+    direction accuracy below it (or a metric is missing). ``groups``: all
+    groups there should be; one without a model is degraded, with 0 models."""
     bad = ((F.col("mae") > p.max_mae) | (F.col("direction_accuracy") < p.min_direction_accuracy)
            | F.col("mae").isNull() | F.col("direction_accuracy").isNull())
-    return metrics.groupBy(*keys).agg(F.bool_or(bad).alias("degraded"), F.count(F.lit(1)).alias("n_models"),
+    gate = metrics.groupBy(*keys).agg(F.bool_or(bad).alias("degraded"), F.count(F.lit(1)).alias("n_models"),
                                       F.max("mae").alias("worst_mae"),
                                       F.min("direction_accuracy").alias("worst_direction_accuracy"))
+    if groups is None:
+        return gate
+    return join_keys(groups.select(*keys).distinct(), gate, keys, "left").fillna({"degraded": True, "n_models": 0})

@@ -35,12 +35,12 @@ FEATURE_INDICATORS = {"filing_rate_3m_patent": 0.3, "funding_deals_velocity_3m_f
                       "international_share_12m_patent": 0.1}
 
 
-def split_panel(spark: SparkSession, sf: str) -> DataFrame:
-    """Aligned panel with the chronological split, computed once per job:
+def split_panel(spark: SparkSession, sf: str, as_of: dt.datetime = B.AS_OF) -> DataFrame:
+    """Aligned panel up to ``as_of`` with the chronological split, computed once per job:
     sectors × months rows (bounded), so its lineage is cut with a reliable
     checkpoint and every downstream step reads it."""
     ensure_checkpoint_dir(spark)
-    return ts.chrono_split(P.aligned_panel(spark, sf), K, 0.7).checkpoint(eager=True)
+    return ts.chrono_split(P.aligned_panel(spark, sf, as_of), K, 0.7).checkpoint(eager=True)
 
 
 def _sp(spark: SparkSession, sf: str, sp: DataFrame | None) -> DataFrame:
@@ -66,9 +66,10 @@ def validation_metrics(spark: SparkSession, sf: str, sp: DataFrame | None = None
     return fc.validation_metrics(preds, test, K, TARGET)
 
 
-def forecasts(spark: SparkSession, sf: str, p: ForecastParams = TREND_FORECAST, sp: DataFrame | None = None) -> DataFrame:
+def forecasts(spark: SparkSession, sf: str, p: ForecastParams = TREND_FORECAST, sp: DataFrame | None = None,
+              as_of: dt.datetime = B.AS_OF) -> DataFrame:
     return fc.sector_forecasts(current_predictions(spark, sf, sp), K, p.weights, p.horizons, p.quality_score, p.levels,
-                               generated_at=B.AS_OF)
+                               generated_at=as_of)
 
 
 def summary(spark: SparkSession, sf: str, preferred: int = 12, sp: DataFrame | None = None) -> DataFrame:
@@ -166,8 +167,9 @@ def final_predictions(spark: SparkSession, sf: str, up: UncertaintyParams = Unce
 
 
 def pipeline_health(spark: SparkSession, sf: str, now: dt.datetime = B.STATUS_AS_OF,
-                    mp: MonitorParams = MonitorParams()) -> DataFrame:
-    latest = mo.latest_status(B.status_log(spark, sf), tie="row_key")
+                    mp: MonitorParams = MonitorParams(), log: DataFrame | None = None) -> DataFrame:
+    """Health of the expected pipelines by ``log``, or by the events of the tables."""
+    latest = mo.latest_status(B.status_log(spark, sf), tie="row_key") if log is None else mo.latest_status(log)
     return mo.pipeline_health(mo.status_lookup(latest, mo.expected_pipelines(spark, mp)), now)
 
 
@@ -186,22 +188,25 @@ def drift_check(spark: SparkSession, sf: str, mp: MonitorParams = MonitorParams(
 
 def performance_gate(spark: SparkSession, sf: str, mp: MonitorParams = MonitorParams(),
                      sp: DataFrame | None = None) -> DataFrame:
-    return mo.performance_gate(validation_metrics(spark, sf, sp), K, mp)
+    sp = _sp(spark, sf, sp)
+    return mo.performance_gate(validation_metrics(spark, sf, sp), K, mp, groups=sp)
 
 
 def maintenance_report(spark: SparkSession, sf: str, now: dt.datetime = B.STATUS_AS_OF,
-                       mp: MonitorParams = MonitorParams()) -> DataFrame:
+                       mp: MonitorParams = MonitorParams(), sp: DataFrame | None = None,
+                       log: DataFrame | None = None) -> DataFrame:
     """MO-6: health gate, then drift and performance per sector and the
-    retrain request; when unhealthy the sector checks are not run (null)."""
-    sp = split_panel(spark, sf)
-    health = pipeline_health(spark, sf, now, mp).agg(F.bool_and("healthy").alias("healthy"))
+    retrain request; when unhealthy the sector checks are not run (null). A
+    sector without a model is degraded and asks for a retrain."""
+    sp = _sp(spark, sf, sp)
+    health = pipeline_health(spark, sf, now, mp, log).agg(F.bool_and("healthy").alias("healthy"))
     drift = drift_check(spark, sf, mp, sp).groupBy(*K).agg(F.bool_or(F.col("status") == "DRIFT").alias("drifted"))
     perf = performance_gate(spark, sf, mp, sp).select(*K, "degraded")
     sectors = join_keys(drift, perf, K, "full")
     j = sectors.crossJoin(F.broadcast(health))
-    ok = F.col("healthy")
+    ok, degraded = F.col("healthy"), F.coalesce("degraded", F.lit(True))
     return j.select(*K, "healthy",
                     F.when(ok, F.col("drifted")).alias("drifted"),
-                    F.when(ok, F.col("degraded")).alias("degraded"),
-                    (ok & F.coalesce(F.col("degraded"), F.lit(False)) & F.lit(mp.auto_retraining_enabled)).alias("retrain"),
+                    F.when(ok, degraded).alias("degraded"),
+                    (ok & degraded & F.lit(mp.auto_retraining_enabled)).alias("retrain"),
                     F.when(ok, F.lit("COMPLETED")).otherwise(F.lit("ABORTED")).alias("maintenance_status"))

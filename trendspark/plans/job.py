@@ -1,6 +1,7 @@
 """End-to-end trend job: features → panel → forecasts → rankings →
 monitoring → uncertainty, written as Parquet tables under ``out_dir``, with
-status rows appended to a status log (SNK-1..3, SRC-2)."""
+status rows appended to a status log (SNK-1..3, SRC-2). All figures are as of
+one date; health is judged on the job's own log."""
 from __future__ import annotations
 
 import datetime as dt
@@ -43,16 +44,20 @@ def run_job(spark: SparkSession, sf_dir: str, out_dir: str, as_of: dt.datetime =
     }
     for name, build in feats.items():
         load_or_build(spark, f"{out}/{name}", build, force=force)
-    sp = FC.split_panel(spark, sf_dir)  # the aligned panel once, lineage cut
+    sp = FC.split_panel(spark, sf_dir, as_of)  # the aligned panel once, lineage cut
+    for source, name in (("patents", "patent_features"), ("funding", "funding_features"), ("research", "research_features")):
+        done = not spark.read.parquet(f"{out}/{name}").isEmpty()
+        mo.append_status(spark, status_path, f"{source}_pipeline", "SUCCESS" if done else "FAILED", name)
+    status, now = mo.read_status_log(spark, status_path), dt.datetime.now()
     tables = {
         "aligned_panel": lambda: sp,
-        "sector_forecasts": lambda: FC.forecasts(spark, sf_dir, sp=sp),
+        "sector_forecasts": lambda: FC.forecasts(spark, sf_dir, sp=sp, as_of=as_of),
         "emerging_technologies": lambda: FC.emerging_technologies(spark, sf_dir, sp=sp),
         "investment_opportunities": lambda: FC.opportunities(spark, sf_dir, sp=sp),
-        "pipeline_health": lambda: FC.pipeline_health(spark, sf_dir),
+        "pipeline_health": lambda: FC.pipeline_health(spark, sf_dir, now, log=status),
         "drift_check": lambda: FC.drift_check(spark, sf_dir, sp=sp),
         "final_predictions": lambda: FC.final_predictions(spark, sf_dir, sp=sp),
-        "maintenance_report": lambda: FC.maintenance_report(spark, sf_dir),
+        "maintenance_report": lambda: FC.maintenance_report(spark, sf_dir, now, sp=sp, log=status),
     }
     written = {name: write_if_any(build(), f"{out}/{name}") for name, build in tables.items()}
     mo.append_status(spark, status_path, "main_run", "COMPLETED", "Run finished successfully.")

@@ -208,14 +208,14 @@ def join_target(spark, sf):
 
 
 @register("fill_gaps", finish_sql(aligned_sql_ctes() + f"""
-select sector_label, ts, {', '.join(f'{_ff(c)} as {c}' for c in RES_COLS + PAT_COLS)}
-from merged""", ts=("ts",), d6=tuple(RES_COLS + PAT_COLS)))
+select sector_label, ts, {', '.join(f'{_ff(c)} as {c}' for c in FEATS)}
+from merged""", ts=("ts",), d6=_FEATS6, d4=_MONEY))
 def fill_gaps(spark, sf):
     frames = [ts.suffixed(P.patent_panel(spark, sf), K, "_patent"),
+              ts.suffixed(P.funding_panel(spark, sf), K, "_funding"),
               ts.suffixed(P.research_panel(spark, sf), K, "_research")]
-    # the patent grid starts in 1995, the research grid in 2000: leading gaps get back-filled
-    merged = ts.outer_align([frames[0], frames[1]], K)
-    return present(ts.ffill_bfill(merged, K, RES_COLS + PAT_COLS))
+    # the grids start in different years: leading gaps get back-filled
+    return present(ts.ffill_bfill(ts.outer_align(frames, K), K, FEATS), d4=_MONEY)
 
 
 @register("aligned_panel", finish_sql(aligned_sql_ctes() + "\nselect * from aligned",
@@ -232,15 +232,16 @@ _FP6 = ("funding_deals_velocity_3m", "funding_deals_velocity_6m", "avg_round_siz
 _FPM = ("funding_amount_velocity_3m_usd", "funding_amount_velocity_6m_usd")
 
 
+def _lags(cols) -> tuple[str, ...]:
+    return tuple(f"{c}_lag{k}" for c in cols for k in P.LAGS)
+
+
 @register("lagged_features", finish_sql(with_views(["funding"], f"with {panel_ctes('funding')}\n" + f"""
 select *, {', '.join(f'lag({c}, {k}) over (partition by sector_label order by ts) as {c}_lag{k}'
-                     for c in ('funding_deals_velocity_3m', 'avg_round_size_6m_usd') for k in P.LAGS)}
-from funding_panel"""), ts=("ts",), d6=_FP6 + tuple(f"{c}_lag{k}" for c in ("funding_deals_velocity_3m",
-                                                                        "avg_round_size_6m_usd") for k in P.LAGS),
-    d4=_FPM))
+                     for c in _FP for k in P.LAGS)}
+from funding_panel"""), ts=("ts",), d6=_FP6 + _lags(_FP6), d4=_FPM + _lags(_FPM)))
 def lagged_features(spark, sf):
-    return present(ts.lagged(P.funding_panel(spark, sf), K, ["funding_deals_velocity_3m", "avg_round_size_6m_usd"]),
-                   d4=_FPM)
+    return present(ts.lagged(P.funding_panel(spark, sf), K, _FP), d4=_FPM + _lags(_FPM))
 
 
 @register("zscore_features", finish_sql(with_views(["funding"], f"with {panel_ctes('funding')}\n" + f"""
@@ -258,14 +259,13 @@ def minmax_features(spark, sf):
 
 
 @register("median_impute", finish_sql(aligned_sql_ctes() + f"""
-select sector_label, ts, {', '.join(f'coalesce({c}, median({c}) over (partition by sector_label)) as {c}' for c in RES_COLS + PAT_COLS)}
-from (select * from merged) m""", ts=("ts",), d6=tuple(RES_COLS + PAT_COLS)))
+select sector_label, ts, {', '.join(f'coalesce({c}, median({c}) over (partition by sector_label)) as {c}' for c in FEATS)}
+from (select * from merged) m""", ts=("ts",), d6=_FEATS6, d4=_MONEY))
 def median_impute(spark, sf):
     frames = [ts.suffixed(P.patent_panel(spark, sf), K, "_patent"),
               ts.suffixed(P.funding_panel(spark, sf), K, "_funding"),
               ts.suffixed(P.research_panel(spark, sf), K, "_research")]
-    merged = ts.outer_align(frames, K).select(*K, TS, *RES_COLS, *PAT_COLS)
-    return present(ts.median_impute(merged, K, RES_COLS + PAT_COLS))
+    return present(ts.median_impute(ts.outer_align(frames, K), K, FEATS), d4=_MONEY)
 
 
 @register("drop_incomplete", finish_sql(aligned_sql_ctes() + f"""
@@ -396,33 +396,50 @@ def semi_recent(spark, sf):
                                                                                 "published_date"))
 
 
+_WHOLE_FUNDING = f"""select count_if(date >= {ASOF} - INTERVAL 3 MONTH) / 3::DOUBLE as funding_deals_velocity_3m_funding,
+      count_if(date >= {ASOF} - INTERVAL 6 MONTH) / 6::DOUBLE as funding_deals_velocity_6m_funding,
+      coalesce(sum(case when date >= {ASOF} - INTERVAL 3 MONTH then amount_usd end), 0) / 3::DOUBLE as funding_amount_velocity_3m_usd_funding,
+      coalesce(sum(case when date >= {ASOF} - INTERVAL 6 MONTH then amount_usd end), 0) / 6::DOUBLE as funding_amount_velocity_6m_usd_funding,
+      avg(amount_usd) as avg_round_size_usd_funding, median(amount_usd) as median_round_size_usd_funding,
+      (select case when max(n) >= 2 and sum(x) <> 0 then sum((2 * i - n - 1) * x) / (max(n) * sum(x)) else 0 end
+         from (select amount_usd as x, row_number() over (order by amount_usd) as i, count(*) over () as n
+               from funding where amount_usd is not null and amount_usd >= 0) r) as funding_amount_gini_funding,
+      case when count_if(stage = 'seed') > 0 then count_if(stage = 'seed') / count(stage)
+           else count_if(stage = 'Seed') / count(stage) end as seed_ratio_funding,
+      case when count_if(stage = 'series_a') > 0 then count_if(stage = 'series_a') / count(stage)
+           else count_if(stage = 'Series A') / count(stage) end as series_a_ratio_funding,
+      count_if(stage in ('series_c', 'series_d', 'series_e', 'late_stage_venture', 'Series C', 'Series D', 'Series E'))
+        / count(stage) as late_stage_ratio_funding
+    from funding"""
+_HIST_D2 = ("funding_amount_velocity_3m_usd_funding", "funding_amount_velocity_6m_usd_funding")
+_HIST_D6 = ("funding_deals_velocity_3m_funding", "funding_deals_velocity_6m_funding", "avg_round_size_usd_funding",
+            "median_round_size_usd_funding", "funding_amount_gini_funding", "seed_ratio_funding",
+            "series_a_ratio_funding", "late_stage_ratio_funding")
+
+
 @register("broadcast_features", finish_sql(with_views(["funding"], f"""
 with spine as (select unnest(generate_series(TIMESTAMP '2000-01-01 00:00:00', {ASOF}, INTERVAL 1 MONTH)) as ts),
-w as (select count_if(date >= {ASOF} - INTERVAL 3 MONTH) / 3::DOUBLE as funding_deals_velocity_3m_funding,
-             avg(amount_usd) as avg_round_size_usd_funding from funding)
-select spine.ts, w.* from spine cross join w"""), ts=("ts",),
-    d6=("funding_deals_velocity_3m_funding", "avg_round_size_usd_funding")))
+w as ({_WHOLE_FUNDING})
+select spine.ts, w.* from spine cross join w"""), ts=("ts",), d4=_HIST_D2, d6=_HIST_D6))
 def broadcast_features(spark, sf):
     import datetime as dt
-    from trendspark.operators.features import event_rate
-    f = B.funding(spark, sf)
-    one = f.agg(event_rate("date", B.AS_OF, 3).alias("funding_deals_velocity_3m_funding"),
-                F.avg("amount_usd").alias("avg_round_size_usd_funding"))
+    from trendspark.operators.features import funding_features
+    one = ts.suffixed(funding_features(B.funding(spark, sf), keys=[], as_of=B.AS_OF), [], "_funding")
     spine = ts.month_spine(spark, dt.datetime(2000, 1, 1), B.AS_OF)
-    return present(spine.crossJoin(F.broadcast(one)))  # one aggregate row: size bounded
+    return present(spine.crossJoin(F.broadcast(one)), d4=_HIST_D2)  # one aggregate row: size bounded
 
 
 # ---------------------------------------------------------------------------
 # AG-20 latest non-null per sector, TK-8 first row per sector
 # ---------------------------------------------------------------------------
 @register("latest_features", finish_sql(aligned_sql_ctes() + f"""
-select sector_label, {', '.join(f'arg_max({c}, case when {c} is not null then ts end) as {c}' for c in RES_COLS + PAT_COLS)}
-from merged group by sector_label""", d6=tuple(RES_COLS + PAT_COLS)))
+select sector_label, {', '.join(f'arg_max({c}, case when {c} is not null then ts end) as {c}' for c in FEATS)}
+from merged group by sector_label""", d6=_FEATS6, d4=_MONEY))
 def latest_features(spark, sf):
     frames = [ts.suffixed(P.patent_panel(spark, sf), K, "_patent"),
+              ts.suffixed(P.funding_panel(spark, sf), K, "_funding"),
               ts.suffixed(P.research_panel(spark, sf), K, "_research")]
-    merged = ts.outer_align(frames, K)
-    return present(ts.latest_non_null(merged, K, RES_COLS + PAT_COLS))
+    return present(ts.latest_non_null(ts.outer_align(frames, K), K, FEATS), d4=_MONEY)
 
 
 @register("first_row_per_sector", finish_sql(aligned_sql_ctes() + """
@@ -463,21 +480,6 @@ def fill_unknown(spark, sf):
 # WN-15 history table
 # ---------------------------------------------------------------------------
 def _history_sql() -> str:
-    whole = f"""select count_if(date >= {ASOF} - INTERVAL 3 MONTH) / 3::DOUBLE as funding_deals_velocity_3m_funding,
-      count_if(date >= {ASOF} - INTERVAL 6 MONTH) / 6::DOUBLE as funding_deals_velocity_6m_funding,
-      coalesce(sum(case when date >= {ASOF} - INTERVAL 3 MONTH then amount_usd end), 0) / 3::DOUBLE as funding_amount_velocity_3m_usd_funding,
-      coalesce(sum(case when date >= {ASOF} - INTERVAL 6 MONTH then amount_usd end), 0) / 6::DOUBLE as funding_amount_velocity_6m_usd_funding,
-      avg(amount_usd) as avg_round_size_usd_funding, median(amount_usd) as median_round_size_usd_funding,
-      (select case when max(n) >= 2 and sum(x) <> 0 then sum((2 * i - n - 1) * x) / (max(n) * sum(x)) else 0 end
-         from (select amount_usd as x, row_number() over (order by amount_usd) as i, count(*) over () as n
-               from funding where amount_usd is not null and amount_usd >= 0) r) as funding_amount_gini_funding,
-      case when count_if(stage = 'seed') > 0 then count_if(stage = 'seed') / count(stage)
-           else count_if(stage = 'Seed') / count(stage) end as seed_ratio_funding,
-      case when count_if(stage = 'series_a') > 0 then count_if(stage = 'series_a') / count(stage)
-           else count_if(stage = 'Series A') / count(stage) end as series_a_ratio_funding,
-      count_if(stage in ('series_c', 'series_d', 'series_e', 'late_stage_venture', 'Series C', 'Series D', 'Series E'))
-        / count(stage) as late_stage_ratio_funding
-    from funding"""
     return with_views(["funding"], f"""with {_ASOF_CTES},
 lr as (select sector_label, ts, {_ff('amount_usd')} as last_round_usd, {_ff('stage')} as last_stage from asof_v),
 tgt as (
@@ -491,7 +493,7 @@ tgt as (
             on m.sector_label is not distinct from g.sector_label and m.ts = s.ts
           where s.ts < date_trunc('month', {ASOF})) x) t
   where target_growth_6m is not null),
-whole as ({whole}),
+whole as ({_WHOLE_FUNDING}),
 hist as (
   select t.sector_label, t.ts, t.target_growth_6m, l.last_round_usd, coalesce(l.last_stage, 'Unknown') as last_stage, w.*
   from tgt t left join lr l on l.sector_label is not distinct from t.sector_label and l.ts = t.ts cross join whole w)
@@ -501,15 +503,10 @@ select sector_label, ts, target_growth_6m,
 from hist""")
 
 
-_HIST_D2 = ("funding_amount_velocity_3m_usd_funding", "funding_amount_velocity_6m_usd_funding")
-
 
 @register("history_table", finish_sql(_history_sql(),
                                       ts=("ts",), d4=_HIST_D2,
-                                      d6=("target_growth_6m", "last_round_usd", "funding_deals_velocity_3m_funding",
-                                          "funding_deals_velocity_6m_funding", "avg_round_size_usd_funding",
-                                          "median_round_size_usd_funding", "funding_amount_gini_funding",
-                                          "seed_ratio_funding", "series_a_ratio_funding", "late_stage_ratio_funding")))
+                                      d6=("target_growth_6m", "last_round_usd") + _HIST_D6))
 def history_table(spark, sf):
     return present(P.history_table(spark, sf), d4=_HIST_D2)
 

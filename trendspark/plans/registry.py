@@ -99,7 +99,7 @@ select concat_ws('-', cast(l_orderkey as varchar), cast(l_linenumber as varchar)
 from lineitem join part on l_partkey = p_partkey join supplier on l_suppkey = s_suppkey
      join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey""",
     "papers": """
-select cast(doc_id as varchar) paper_id, substring(text, 1, 60) title,
+select cast(doc_id as varchar) paper_id, split_part(text, chr(10), 1) title,
        case when doc_id % 3 = 0
             then list_value(concat(lang,'-',cast(doc_id % 7 as varchar)))
             else list_value(concat(lang,'-',cast(doc_id % 7 as varchar)),

@@ -89,7 +89,7 @@ def train_sector_models(train: DataFrame, params: TrainParams = TrainParams()) -
                 [(sector, name, features[i], float(v)) for i, v in enumerate(imp)]
         except Exception as e:  # noqa: BLE001
             log.warning("training %s/%s failed: %s", sector, name, e)
-            return sector, name, None, (sector, name, None, None, n, "FAILED", str(e)[:500]), []
+            return sector, name, None, (sector, name, None, None, n, "FAILED", str(e)), []
 
     eligible = []
     for sector, n in sorted(counts.items(), key=lambda kv: str(kv[0])):
