@@ -56,11 +56,12 @@ def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``component`` (the smallest node reached) for every node of
     ``edges`` (a, b: not null). In each round every edge meets the other edges
     of both its ends and is replaced by an edge to the smallest node known,
-    until all are stars; a round is one shuffle, written to the shared folder.
+    until all are stars; a round is written to the shared folder.
     The edges into a node (very many for the centre of a large group) are
     salted, its own edges go to every salt. An empty table gives no rows."""
     e = edges.select("a", "b").filter("a <> b").mapInArrow(_contract(False), EDGES)
     while True:
+        e = e.distinct()  # an edge comes back from every salt
         up = e.select("a", "b", F.col("a").alias("key"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
         down = e.select("a", "b", F.col("b").alias("key"), F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int").alias("salt"))
         met = up.union(down).repartition("key", "salt").sortWithinPartitions("key", "salt")
