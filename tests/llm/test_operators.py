@@ -7,6 +7,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -207,6 +208,31 @@ def test_vector_dedup_against_brute_force(spark):
     assert got[301] == (0, 301, True) and got[303] == (0, 303, True) and got[None][2] is False
 
 
+def test_vector_dedup_finds_pairs_in_a_common_direction(spark, monkeypatch):
+    """Isolated pairs among many vectors that point the same way without linking."""
+    monkeypatch.setattr(vector_dedup, "TILE", 256, raising=False)
+    rng = np.random.default_rng(3)
+    common = np.zeros(64)
+    common[0] = 1
+
+    def sideways(n):
+        x = rng.standard_normal((n, 64))
+        x[:, 0] = 0
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = 0.9 ** 0.5 * common + 0.1 ** 0.5 * sideways(6000)  # cosine 0.9 on average
+    near = x[:300] + 0.31 * sideways(300)  # cosine about 0.955
+    x = np.concatenate([x, near / np.linalg.norm(near, axis=1, keepdims=True)])
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": x.tolist()}))
+    got = vector_dedup.near_duplicates(df).toPandas().sort_values("vec_id")
+    hit = x @ x.T >= 0.95
+    np.fill_diagonal(hit, False)
+    a, b = np.nonzero(hit)
+    comp = dict(zip(*[v.tolist() for v in components.roots(a, b)]))
+    assert len(a) > 300
+    assert got.n_links.tolist() == hit.sum(axis=1).tolist()
+    assert got.component_id.tolist() == [comp.get(i, i) for i in range(len(x))]
+
+
 def test_top_k_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK", 32)
     rows = vectors(400)
