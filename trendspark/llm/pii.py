@@ -3,7 +3,9 @@
 Method: Feistel networks keyed by ``key``. Found values are validated first
 (card: Luhn; IBAN: remainder 97; social security number: its ranges; address
 of four octets; calendar date; phone and mail by form) and then permuted
-within their format, so a pseudonym is again a valid value of the same form,
+within their format (where a match as long as possible fails its check, the
+values inside it are tried: IBANs by the length of their country, cards of 13 to
+19 digits at every group), so a pseudonym is again a valid value of the same form,
 equal values get equal pseudonyms in all documents, and different values
 different ones. Two networks are used:
 
@@ -32,7 +34,30 @@ PHONE = (r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4
          r"|(?<![0-9A-Za-z+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9A-Za-z])"
          r"|(?<![0-9A-Za-z.+-])[0-9]{3}([ .-])[0-9]{3}\2[0-9]{4}(?![0-9A-Za-z-])")
 CARD = r"(?<![0-9A-Za-z-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z-])"
-FORMS = "|".join(f"(?:{x})" for x in (MAIL, IBAN, ISO_DATE, DAY_DATE, OCTETS, SOCIAL, PHONE, CARD))
+# fixed values: IBAN lengths by country
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR",
+    27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
+
+
+def _iban_of_length(n: int, countries: str) -> str:
+    rest = f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else ""
+    return f"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{n // 4 - 1}}}{rest}"
+
+
+KNOWN_IBAN = (r"(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9]{2})(?:" + "|".join(_iban_of_length(n, c) for n, c in IBAN_LENGTHS.items()) + r")(?![A-Za-z0-9])")
+# a value of another form, which no run of groups takes in
+OTHER = (r"[A-Za-z0-9_%+-][A-Za-z0-9._%+-]{0,63}@|[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])|[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4}(?![0-9])"
+         r"|[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z])|[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"
+         r"|[0-9]{3}(?: [0-9]{3} |\.[0-9]{3}\.|-[0-9]{3}-)[0-9]{4}(?![0-9A-Za-z-])")
+DIGITS = r"[0-9]++(?:-[0-9]++)*+(?![0-9A-Za-z-])"
+MORE_DIGITS = f"(?: (?!{OTHER}){DIGITS})*+"
+CARDS = f"(?<![0-9A-Za-z-])(?=[0-9](?:[ -]?[0-9]){{12}}){DIGITS}{MORE_DIGITS}"
+ANY_IBAN = (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}" f"(?:(?: (?!{OTHER}|{KNOWN_IBAN}))?[A-Z0-9]{{4}}){{2,7}}(?: (?!{OTHER})[A-Z0-9]{{1,3}}|[A-Z0-9]{{1,3}})?"
+            r"(?![A-Za-z0-9])")
+IBANS = f"(?:{KNOWN_IBAN}|{ANY_IBAN}){MORE_DIGITS}"
+FORMS = "|".join(f"(?:{x})" for x in (MAIL, IBANS, ISO_DATE, DAY_DATE, OCTETS, SOCIAL, PHONE, CARDS))
 
 
 def is_form(x: Column, form: str) -> Column:
@@ -172,13 +197,18 @@ def social(key: str, x: Column) -> Column:
 
 
 def _moved_day(key: str, day: Column) -> Column:
-    """The pseudonym of a date, null outside 1800-2199."""
-    first = F.to_date(F.lit(FIRST_DAY))
+    """The pseudonym of a date: 1800-2199 is permuted in itself, and so are the
+    other days of the years 0-9999 (24 times 400 years)."""
+    first, zero = F.to_date(F.lit(FIRST_DAY)), F.to_date(F.lit("0000-01-01"))
     n = F.datediff(day, first)
     a, b = DAYS
-    moved = F.transform(F.array(feistel_pair(key, "date", F.floor(n / b), F.pmod(n, F.lit(b)), a, b)),
-                        lambda s: F.date_add(first, (s["l"] * b + s["r"]).cast("int")))[0]
-    return F.when((n >= 0) & (n < a * b), moved)
+    before = F.datediff(first, zero)
+    near = F.transform(F.array(feistel_pair(key, "date", F.floor(n / b), F.pmod(n, F.lit(b)), a, b)),
+                       lambda s: F.date_add(first, (s["l"] * b + s["r"]).cast("int")))[0]
+    m = F.datediff(day, zero) - F.when(n < 0, 0).otherwise(a * b)
+    far = F.transform(F.array(feistel_pair(key, "far date", F.floor(m / b), F.pmod(m, F.lit(b)), 24 * a, b)), lambda s: F.transform(
+        F.array((s["l"] * b + s["r"]).cast("int")), lambda d: F.date_add(zero, d + F.when(d < before, 0).otherwise(a * b)))[0])[0]
+    return F.when((n >= 0) & (n < a * b), near).otherwise(far)
 
 
 def iso_date(key: str, x: Column) -> Column:
@@ -215,6 +245,33 @@ def pseudonym(key: str, x: Column) -> Column:
             .otherwise(x))
 
 
+def inner_pseudonyms(key: str, x: Column) -> Column:
+    """A struct (t, n) of a match that is no value itself: its text with the
+    values inside it replaced, and their number. IBANs come first, then cards, long
+    ones first; a value that overlaps one already replaced is no longer there. All
+    groups of such a card but the last have three digits at least."""
+    ibans = F.filter(F.regexp_extract_all(x, F.lit(f"(?=({KNOWN_IBAN}))"), F.lit(1)), lambda c: _mod97(F.replace(c, F.lit(" "), F.lit(""))) == 1)
+    cards = F.flatten(F.array(*[F.regexp_extract_all(x, F.lit(f"(?=((?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){{{n - 1}}}(?![0-9A-Za-z])))"), F.lit(1))
+                                for n in range(19, 12, -1)]))
+    cards = F.filter(cards, lambda c: ~F.regexp_like(c, F.lit("(?:^|[ -])[0-9]{1,2}[ -]")) & (_luhn(_chars(_only(c, "0-9"))) % 10 == 0))
+
+    def put(s: Column, c: Column) -> Column:
+        new = F.when(F.regexp_like(c, F.lit("^[A-Z]")), iban(key, c)).otherwise(card(key, c))
+        place = F.concat(F.lit("(?<![0-9A-Za-z])"), c, F.lit("(?![0-9A-Za-z])"))
+        return F.transform(F.array(F.regexp_replace(s["t"], place, new)),
+                           lambda t: F.struct(t.alias("t"), (s["n"] + (t != s["t"]).cast("long")).alias("n")))[0]
+    return F.aggregate(F.concat(ibans, cards), F.struct(x.alias("t"), F.lit(0).cast("long").alias("n")), put)
+
+
+def replaced(key: str, x: Column) -> Column:
+    """A struct (t, n): a match with its values replaced and their number."""
+    def of(whole: Column) -> Column:
+        may_hold = F.regexp_like(x, F.lit("^[A-Z]{2}[0-9]{2}|^[0-9](?:[ -]?[0-9]){12}"))
+        return F.when(whole != x, F.struct(whole.alias("t"), F.lit(1).cast("long").alias("n"))).when(
+            may_hold, inner_pseudonyms(key, x)).otherwise(F.struct(x.alias("t"), F.lit(0).cast("long").alias("n")))
+    return F.transform(F.array(pseudonym(key, x)), of)[0]
+
+
 def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``docs`` with its text replaced and a column ``n_pseudonyms``: how many
     values were changed.
@@ -227,9 +284,9 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     """
     text = F.col(f"`{text_col}`")
     found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(FORMS), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    rows = docs.withColumn("__found", found).withColumn("__moved", F.transform("__found", lambda x: pseudonym(key, x)))
-    pieces = F.zip_with(F.split(text, FORMS, -1), F.concat("__moved", F.array(F.lit(""))), lambda a, b: F.concat(a, b))
-    changed = F.aggregate(F.zip_with("__found", "__moved", lambda a, b: (a != b).cast("long")), F.lit(0).cast("long"), lambda n, x: n + x)
+    rows = docs.withColumn("__found", found).withColumn("__moved", F.transform("__found", lambda x: replaced(key, x)))
+    pieces = F.zip_with(F.split(text, FORMS, -1), F.concat(F.transform("__moved", lambda m: m["t"]), F.array(F.lit(""))), lambda a, b: F.concat(a, b))
+    changed = F.aggregate("__moved", F.lit(0).cast("long"), lambda n, m: n + m["n"])
     rows = rows.withColumn("n_pseudonyms", F.coalesce(changed, F.lit(0).cast("long")))
     rows = rows.withColumn(text_col, F.when(F.size("__found") > 0, F.array_join(pieces, "")).otherwise(text))
     return rows.drop("__found", "__moved")
