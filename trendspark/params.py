@@ -183,22 +183,20 @@ class UncertaintyParams:
     conflict_low: float = -0.5
 
 
+# FIXED VALUES: the searched grids. min_samples_split (2, 5) has no MLlib parameter, so the
+# 16 points of the forests are 8; the grids' sizes and depths replace the blueprints' own.
+RF_GRID = tuple({"numTrees": n, "maxDepth": d, "minInstancesPerNode": leaf}
+                for n in (50, 100) for d in (5, 10) for leaf in (1, 2))
+GBT_GRID = tuple({"maxIter": n, "stepSize": lr, "maxDepth": d, "subsamplingRate": ss}
+                 for n in (50, 100) for lr in (0.05, 0.1) for d in (3, 5) for ss in (0.8, 1.0))
+
+
 @dataclass(frozen=True)
 class TrainParams:
-    """Tree ensembles per sector. The default grid is one point per model; the
-    full grids are ``full_grid()``."""
+    """Tree ensembles per sector. The default is the full grids."""
     min_samples: int = 20
     n_folds: int = 3
-    rf_grid: tuple[dict, ...] = ({"numTrees": 20, "maxDepth": 5, "minInstancesPerNode": 1},)
-    gbt_grid: tuple[dict, ...] = ({"maxIter": 5, "stepSize": 0.1, "maxDepth": 3, "subsamplingRate": 1.0},)
+    rf_grid: tuple[dict, ...] = RF_GRID
+    gbt_grid: tuple[dict, ...] = GBT_GRID
     seed: int = 42
     parallelism: int = 8
-
-    @staticmethod
-    def full_grid() -> "TrainParams":
-        # FIXED VALUES: the searched grids (min_samples_split has no MLlib parameter).
-        rf = tuple({"numTrees": n, "maxDepth": d, "minInstancesPerNode": leaf}
-                   for n in (50, 100) for d in (5, 10) for leaf in (1, 2))
-        gbt = tuple({"maxIter": n, "stepSize": lr, "maxDepth": d, "subsamplingRate": ss}
-                    for n in (50, 100) for lr in (0.05, 0.1) for d in (3, 5) for ss in (0.8, 1.0))
-        return TrainParams(rf_grid=rf, gbt_grid=gbt)
