@@ -318,6 +318,20 @@ def test_escape_round_trip(spark):
         assert chat.parse(p.piece) == (rows[p.msg][1], rows[p.msg][0])
 
 
+def test_language_with_long_texts_only(spark):
+    """Learned from long documents where there are no others, up to a number of bytes."""
+    rows = [(i, "the anding tion er " * 5, "en") for i in range(20)] + [(100 + i, "der ung sch ein " * 6000, "de") for i in range(8)]
+    rows += [(200, "sch ein der ung ung", None), (201, "anding the er", None)]
+    docs = spark.createDataFrame(rows, DOCS + ", lang string")
+    got = {r.doc_id: r.lang_pred for r in langid.predict(docs).collect()}
+    assert all(got[i] == lang for i, _, lang in rows if lang) and got[200] == "de" and got[201] == "en"
+    learned = [r for r in rows if r[2] and zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    whole = langid.gram_counts(docs).groupby("lang").n.sum()
+    assert whole.to_dict() == {x: sum(len(t) for _, t, lang in learned if lang == x) for x in ("de", "en")}
+    part = langid.gram_counts(docs, sample_bytes=100).groupby("lang").n.sum()
+    assert part.to_dict() == {"de": len(rows[20][1]), "en": 2 * len(rows[0][1])}
+
+
 def test_pseudonyms_keep_forms(spark):
     text = ("a.b7@mail3.example.com 16.195.23.156 256.1.1.1 4349000490986231 4349000490986232 +1 (269) 555-3296 1984-02-29 25/12/2020 2021-02-30 "
             "123-45-6789 000-12-3456 GB82WEST12345698765432")

@@ -27,7 +27,9 @@ from .common import HashTable, row_chunks, spread, string_bytes
 
 ORDER = 3
 SAMPLE_DOCS = 300        # documents of each language that the trees are learned from, at most
-SAMPLE_BYTES = 1 << 16   # longer documents are not learned from
+LONG = 1 << 16           # longer documents are learned from only where a language has no shorter ones
+SAMPLE_BYTES = SAMPLE_DOCS * LONG  # bytes of each language that the trees are learned from, but for the last document
+PIECE = 1 << 22          # bytes counted at once
 UNKNOWN = "und"
 
 
@@ -52,15 +54,21 @@ def _grams(data: np.ndarray, at: np.ndarray, order: int) -> np.ndarray:
     return key
 
 
-def gram_counts(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> pd.DataFrame:
+def gram_counts(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES, long: int = LONG) -> pd.DataFrame:
     """lang, gram (context and byte), n of the learning sample: the
     ``sample_docs`` documents of each language that come first by a hash of
-    their id. Bounded by the sample's bytes, so the driver can hold it."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").filter(
-        F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out() & (F.octet_length("text") <= SAMPLE_BYTES))
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = rows.groupBy("lang", "doc_id").agg(F.lit(1).alias("one")).withColumn("rank", rank).filter(F.col("rank") <= sample_docs)
-    sample = rows.join(F.broadcast(chosen.select("lang", "doc_id")), ["lang", "doc_id"], "left_semi").dropDuplicates(["lang", "doc_id"])
+    their id, until they have ``sample_bytes``. Those of more than ``long``
+    bytes are taken, and whole, where a language has no shorter ones. Bounded
+    by the sample's bytes, so the driver can hold it."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text", F.octet_length("text").alias("size")).filter(
+        F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+    rows = rows.withColumn("long", F.col("size") > long)
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("long", F.xxhash64("doc_id"), "doc_id"))
+    first = rows.groupBy("lang", "long", "doc_id").agg(F.max("size").alias("size")).withColumn("rank", rank).filter(F.col("rank") <= sample_docs)
+    before = F.coalesce(F.sum("size").over(W.partitionBy("lang").orderBy("rank").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    only_long = F.min("long").over(W.partitionBy("lang"))
+    chosen = first.withColumns({"before": before, "only_long": only_long}).filter((F.col("long") == F.col("only_long")) & (F.col("before") < sample_bytes))
+    sample = rows.join(F.broadcast(chosen.select("lang", "doc_id", "long")), ["lang", "doc_id", "long"], "left_semi").dropDuplicates(["lang", "doc_id"])
     sample = sample.coalesce(4)  # bounded by the sample; fewer partial counts of the same grams
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,8 +79,9 @@ def gram_counts(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> pd.DataFrame
                 mine = np.flatnonzero(langs == lang)
                 lens = np.diff(offsets)[mine]
                 data, at = _padded(raw[spread(offsets[mine], lens)], np.concatenate([[0], np.cumsum(lens)]))
-                keys, n = np.unique(_grams(data, at, ORDER), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.astype(np.int64)), pa.array(n)], ["lang", "gram", "n"])
+                for lo in range(0, len(at), PIECE):
+                    keys, n = np.unique(_grams(data, at[lo:lo + PIECE], ORDER), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.astype(np.int64)), pa.array(n)], ["lang", "gram", "n"])
     return sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
 
 
@@ -137,7 +146,8 @@ def _has_letter(text: str) -> bool:
 PREDICTION = "held_out boolean, lang_pred string, score double, bits_per_byte double"
 
 
-def with_language(docs: DataFrame, learn_from: DataFrame | None = None, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+def with_language(docs: DataFrame, learn_from: DataFrame | None = None, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES,
+                  long: int = LONG) -> DataFrame:
     """``docs`` with held_out, lang_pred, score (probability of the language
     among the learned ones, all equally likely before) and bits_per_byte; input
     columns of these names are replaced.
@@ -148,7 +158,7 @@ def with_language(docs: DataFrame, learn_from: DataFrame | None = None, sample_d
     go to the language that comes first by name. Null ids and repeated rows
     are kept; an empty table gives no rows.
     """
-    trees = Trees(gram_counts(docs if learn_from is None else learn_from, sample_docs))
+    trees = Trees(gram_counts(docs if learn_from is None else learn_from, sample_docs, sample_bytes, long))
     model = docs.sparkSession.sparkContext.broadcast(trees)  # bounded by the sample
     new = [x.split()[0] for x in PREDICTION.split(", ")]
     rows = docs.drop(*new).withColumn(new[0], held_out())
@@ -177,7 +187,8 @@ def with_language(docs: DataFrame, learn_from: DataFrame | None = None, sample_d
     return rows.mapInArrow(run, schema)
 
 
-def predict(docs: DataFrame, learn_from: DataFrame | None = None, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+def predict(docs: DataFrame, learn_from: DataFrame | None = None, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES,
+            long: int = LONG) -> DataFrame:
     """doc_id and the columns of ``with_language``."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "lang")
-    return with_language(rows, rows if learn_from is None else learn_from, sample_docs).drop("text", "lang")
+    return with_language(rows, rows if learn_from is None else learn_from, sample_docs, sample_bytes, long).drop("text", "lang")
