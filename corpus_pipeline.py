@@ -32,8 +32,12 @@ def _with_row(docs: DataFrame) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language go: null texts, texts without a letter,
-    and those for which no language is likelier than all others together."""
-    rows = langid.with_language(docs.withColumnsRenamed({c: f"__{c}" for c in ("held_out", "lang_pred", "score", "bits_per_byte") if c in docs.columns}))
+    and those for which no language is likelier than all others together. Where
+    no language can be learned, only null texts and texts without a letter go."""
+    trees = langid.learn(docs)
+    if not trees.langs:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    rows = langid.with_language(docs.withColumnsRenamed({c: f"__{c}" for c in ("held_out", "lang_pred", "score", "bits_per_byte") if c in docs.columns}), trees=trees)
     kept = rows.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") > 0.5)).drop("held_out", "lang_pred", "score", "bits_per_byte")
     return kept.withColumnsRenamed({f"__{c}": c for c in ("held_out", "lang_pred", "score", "bits_per_byte") if c in docs.columns})
 

@@ -412,6 +412,16 @@ def test_token_file_reads_back(spark, tmp_path):
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
+def test_pipeline_keeps_texts_where_no_language_is_learned(spark):
+    held = next(i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 4 == 2)
+    texts = [(1, "some words", None), (2, None, None), (3, "12 34 !", None), (4, "", None), (5, "漢字", None), (None, "no id", None)]
+    for rows in (texts, [*texts, (held, "held out words", "en")]):
+        docs = spark.createDataFrame(rows, DOCS + ", lang string")
+        out = corpus_pipeline.language(spark, docs, "")
+        assert out.columns == docs.columns
+        assert {r.doc_id for r in out.collect()} == {1, 5, None} | ({held} if len(rows) > 6 else set())
+
+
 def test_pipeline_stages_on_odd_rows(spark):
     prose = "the quick brown fox jumps over the lazy dog and runs far away from the old farm "
     rows = [(1, prose * 4, "en", "s", 0, "x"), (2, prose * 4, "en", "s", 0, "x"), (2, prose * 4, "en", "s", 0, "x"), (None, "another text " * 9, None, None, None, "x"),

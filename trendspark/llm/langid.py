@@ -139,6 +139,12 @@ class Trees:
         return out
 
 
+def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES, long: int = LONG) -> Trees:
+    """The trees of the labelled documents, see ``gram_counts``; without
+    languages where there are none to learn from."""
+    return Trees(gram_counts(docs, sample_docs, sample_bytes, long))
+
+
 def _has_letter(text: str) -> bool:
     return any(c.isalpha() for c in text)
 
@@ -147,18 +153,19 @@ PREDICTION = "held_out boolean, lang_pred string, score double, bits_per_byte do
 
 
 def with_language(docs: DataFrame, learn_from: DataFrame | None = None, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES,
-                  long: int = LONG) -> DataFrame:
+                  long: int = LONG, trees: Trees | None = None) -> DataFrame:
     """``docs`` with held_out, lang_pred, score (probability of the language
     among the learned ones, all equally likely before) and bits_per_byte; input
     columns of these names are replaced.
 
-    Learns from ``learn_from`` (default: ``docs``), see ``gram_counts``; only
+    Learns from ``learn_from`` (default: ``docs``), see ``gram_counts``, unless
+    learned ``trees`` are given; only
     the text is used to predict. Null texts and texts without a letter get
     ``und`` and score 0, as all do when no document can be learned from. Ties
     go to the language that comes first by name. Null ids and repeated rows
     are kept; an empty table gives no rows.
     """
-    trees = Trees(gram_counts(docs if learn_from is None else learn_from, sample_docs, sample_bytes, long))
+    trees = trees or learn(docs if learn_from is None else learn_from, sample_docs, sample_bytes, long)
     model = docs.sparkSession.sparkContext.broadcast(trees)  # bounded by the sample
     new = [x.split()[0] for x in PREDICTION.split(", ")]
     rows = docs.drop(*new).withColumn(new[0], held_out())
