@@ -83,8 +83,8 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     doc = F.col("doc_id")
     sector = F.element_at(F.array(*[F.lit(s) for s in PAPER_SECTORS]), (doc % 5 + 1).cast("int"))
-    first_author = F.concat(F.col("lang"), F.lit("-"), (doc % 7).cast("string"))
-    second_author = F.concat(F.col("source"), F.lit("-"), (doc % 11).cast("string"))
+    first_author = F.concat(F.coalesce("lang", F.lit("")), F.lit("-"), (doc % 7).cast("string"))
+    second_author = F.concat(F.coalesce("source", F.lit("")), F.lit("-"), (doc % 11).cast("string"))
     return d.select(
         doc.cast("string").alias("paper_id"),
         F.substring_index("text", "\n", 1).alias("title"),

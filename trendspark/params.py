@@ -200,3 +200,8 @@ class TrainParams:
     gbt_grid: tuple[dict, ...] = GBT_GRID
     seed: int = 42
     parallelism: int = 8
+
+
+# One point per model: the headline bench's grid (not a default of the library).
+SMALL_GRID = TrainParams(rf_grid=({"numTrees": 20, "maxDepth": 5, "minInstancesPerNode": 1},),
+                         gbt_grid=({"maxIter": 5, "stepSize": 0.1, "maxDepth": 3, "subsamplingRate": 1.0},))

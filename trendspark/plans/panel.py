@@ -94,7 +94,7 @@ def aligned_panel(spark: SparkSession, sf: str, end: dt.datetime = B.AS_OF) -> D
     frames = [ts.suffixed(patent_panel(spark, sf, end), K, "_patent"),
               ts.suffixed(funding_panel(spark, sf, end), K, "_funding"),
               ts.suffixed(research_panel(spark, sf, end), K, "_research")]
-    merged = ts.outer_align(frames, K).join(targets(spark, sf, end), on=K + [TS], how="inner")
+    merged = join_keys(ts.outer_align(frames, K), targets(spark, sf, end), K + [TS], "inner")
     return ts.ffill_bfill(merged, K, feature_columns(merged))
 
 

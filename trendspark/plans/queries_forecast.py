@@ -350,10 +350,8 @@ def investment_opportunities(spark, sf):
 @register("eligible_sectors", finish_sql(aligned_sql_ctes() + """
 select sector_label, count(*) as n_rows from aligned group by 1 having count(*) >= 20""", ints=("n_rows",)))
 def eligible_sectors(spark, sf):
-    from pyspark.sql import Window
-    a = P.aligned_panel(spark, sf)
-    n = F.count(F.lit(1)).over(Window.partitionBy(*K))
-    return present(a.select(*K, n.alias("n_rows")).where(F.col("n_rows") >= 20).distinct())
+    counts = P.aligned_panel(spark, sf).groupBy(*K).agg(F.count(F.lit(1)).alias("n_rows"))
+    return present(counts.where(F.col("n_rows") >= 20))
 
 
 @register("sectors_without_model", finish_sql(FC_CTES + """
@@ -364,7 +362,7 @@ def sectors_without_model(spark, sf):
     # registry of accepted models: linear-trend fits within the MAE acceptance limit
     registry = FC.validation_metrics(spark, sf).where((F.col("model") == "linear_trend") & (F.col("mae") <= MP.max_mae))
     sectors = P.aligned_panel(spark, sf).select(*K).distinct()
-    return present(sectors.join(registry.select(*K), on=K, how="left_anti"))
+    return present(join_keys(sectors, registry.select(*K), K, "left_anti"))
 
 
 # ---------------------------------------------------------------------------

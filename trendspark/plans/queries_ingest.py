@@ -96,8 +96,8 @@ def _month_text() -> Column:
 
 def article_xml_docs(spark, sf) -> DataFrame:
     r = B.papers(spark, sf)
-    no_title = F.length("abstract") < 300
-    no_abstract = (F.col("citation_count") == 0) & (F.col("source") == "feed_a")
+    no_title = F.coalesce(F.length("abstract") < 300, F.lit(True)) | F.col("title").isNull()
+    no_abstract = F.col("abstract").isNull() | ((F.col("citation_count") == 0) & (F.col("source") == "feed_a"))
     no_authors = (F.col("citation_count") == 1) & (F.col("source") == "feed_b")
     no_day = F.col("citation_count").isin(2, 3)
     author = F.transform("authors", lambda a: F.concat(
@@ -232,7 +232,7 @@ _AX_BASE = """select paper_id,
   case when length(abstract) >= 300 then title else 'N/A' end as title,
   case when not (citation_count = 1 and source = 'feed_b')
        then array_to_string(list_transform(authors, lambda a: regexp_replace(a, '-([^-]*)$', ' \\1')), '|') else '' end as authors,
-  case when not (citation_count = 0 and source = 'feed_a') then abstract else 'N/A' end as abstract,
+  case when not (citation_count = 0 and source = 'feed_a') then coalesce(abstract, 'N/A') else 'N/A' end as abstract,
   case when citation_count not in (2, 3) then published_date else date_trunc('month', published_date) end as published_date,
   citation_count in (2, 3) as date_defaulted, 0 as citation_count, 'PubMed' as source
 from papers"""

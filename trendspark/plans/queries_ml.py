@@ -11,18 +11,26 @@ from trendspark.operators.common import join_keys
 from trendspark.params import ForecastParams, TrainParams
 from trendspark.plans import panel as P
 from trendspark.plans import training as TR
+from trendspark.plans.model_store import ModelStore
 from trendspark.plans.registry import present, register
+from trendspark.session import ensure_checkpoint_dir
 
 K = ["sector_label"]
 
 
+def _store(spark) -> ModelStore:
+    """Fitted models of this application, shared by its queries."""
+    return ModelStore(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/trendspark-models")
+
+
 @register("train_sector_models")
-def train_sector_models(spark, sf):
-    """Fit on the chronological 70% of each sector, validate on the rest."""
+def train_sector_models(spark, sf, params: TrainParams = TrainParams(), reuse: bool = True):
+    """Fit on the chronological 70% of each sector, validate on the rest.
+    ``reuse``: models already fitted on these rows are taken from the store."""
     split = ts.chrono_split(P.training_table(spark, sf), K, 0.7)
     train = split.where(F.col("split") == "train").drop("split")
     test = split.where(F.col("split") == "test").drop("split")
-    sm = TR.train_sector_models(train, TrainParams())
+    sm = TR.train_sector_models(train, params, _store(spark) if reuse else None)
     metrics = fc.validation_metrics(TR.predict(sm, test), test, K, TR.TARGET, samples=3).select(
         *K, "model", F.col("mae").alias("test_mae"), F.col("rmse").alias("test_rmse"),
         F.col("direction_accuracy").alias("test_direction_accuracy"), "n_test",
@@ -32,7 +40,7 @@ def train_sector_models(spark, sf):
 
 @register("feature_importances")
 def feature_importances(spark, sf):
-    sm = TR.train_sector_models(P.training_table(spark, sf), TrainParams())
+    sm = TR.train_sector_models(P.training_table(spark, sf), TrainParams(), _store(spark))
     return present(TR.importances_frame(spark, sm))
 
 
@@ -41,7 +49,7 @@ def ml_sector_forecasts(spark, sf):
     """Tree models fitted on every row, applied to each sector's latest row,
     combined with the configured 0.6 / 0.4 weights into forecasts."""
     table = P.training_table(spark, sf)
-    sm = TR.train_sector_models(table, TrainParams())
+    sm = TR.train_sector_models(table, TrainParams(), _store(spark))
     latest = ts.first_row(table.withColumn("_neg", -F.unix_micros(F.col(ts.TS).cast("timestamp"))), K, ["_neg"]).drop("_neg")
     preds = TR.predict(sm, latest)
     p = ForecastParams()

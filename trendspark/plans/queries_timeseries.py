@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from trendspark import bindings as B
 from trendspark.operators import timeseries as ts
+from trendspark.operators.common import join_keys
 from trendspark.plans import panel as P
 from trendspark.plans.registry import AS_OF_SQL as ASOF, finish_sql, present, register, with_views
 
@@ -204,7 +205,7 @@ def join_target(spark, sf):
     frames = [ts.suffixed(P.patent_panel(spark, sf), K, "_patent"),
               ts.suffixed(P.funding_panel(spark, sf), K, "_funding"),
               ts.suffixed(P.research_panel(spark, sf), K, "_research")]
-    return present(ts.outer_align(frames, K).join(P.targets(spark, sf), on=K + [TS], how="inner"), d4=_MONEY)
+    return present(join_keys(ts.outer_align(frames, K), P.targets(spark, sf), K + [TS], "inner"), d4=_MONEY)
 
 
 @register("fill_gaps", finish_sql(aligned_sql_ctes() + f"""
