@@ -91,23 +91,25 @@ def drift_baseline(df: DataFrame, features: list[str]) -> DataFrame:
     return long.groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
 
 
-def drift_check(current: DataFrame, keys: list[str], baseline: DataFrame, p: MonitorParams = MonitorParams()) -> DataFrame:
-    """MO-4: per group and feature, relative change of the mean against the
-    baseline mean; above the feature's threshold → DRIFT. Null means are
-    skipped. Adds the group's overall flag."""
-    feats = [r for r in p.drift_thresholds if r in current.columns]
-    if not feats:
-        none = current.select(*keys).limit(0)
-        for name, kind in (("feature", "string"), ("current_mean", "double"), ("baseline_mean", "double"), ("change", "double"),
-                           ("status", "string"), ("drift_detected", "boolean")):
-            none = none.withColumn(name, F.lit(None).cast(kind))
-        return none
-    long = current.select(*keys, F.explode(F.array(*[
-        F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in feats])).alias("_kv")) \
-        .select(*keys, "_kv.*")
-    means = long.groupBy(*keys, "feature").agg(F.avg("value").alias("current_mean"))
-    thr = current.sparkSession.createDataFrame([(k, float(v)) for k, v in p.drift_thresholds.items()],
-                                               "feature string, threshold double")
+def _long(df: DataFrame, keys: list[str], feats: list[str]) -> DataFrame:
+    """One row per group row and feature: keys, feature, value."""
+    kv = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in feats]))
+    return df.select(*keys, kv.alias("_kv")).select(*keys, "_kv.*")
+
+
+def _no_drift(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The empty drift report: none of the watched features is there."""
+    none = df.select(*keys).limit(0)
+    for name, kind in (("feature", "string"), ("current_mean", "double"), ("baseline_mean", "double"), ("change", "double"),
+                       ("status", "string"), ("drift_detected", "boolean")):
+        none = none.withColumn(name, F.lit(None).cast(kind))
+    return none
+
+
+def _drift_report(means: DataFrame, keys: list[str], baseline: DataFrame, p: MonitorParams, more: tuple[str, ...] = ()) -> DataFrame:
+    thr = means.sparkSession.createDataFrame([(k, float(v)) for k, v in p.drift_thresholds.items()],
+                                             "feature string, threshold double")
+    # a row per watched feature on either side: bounded by the configuration
     j = (means.join(F.broadcast(baseline.select("feature", F.col("mean").alias("baseline_mean"))), "feature")
          .join(F.broadcast(thr), "feature", "left")
          .where(F.col("current_mean").isNotNull() & F.col("baseline_mean").isNotNull()
@@ -115,11 +117,52 @@ def drift_check(current: DataFrame, keys: list[str], baseline: DataFrame, p: Mon
     thr_c = F.coalesce(F.col("threshold"), F.lit(p.default_drift_threshold))
     change = relative_change("current_mean", "baseline_mean")
     per = j.select(*keys, "feature", "current_mean", "baseline_mean", change.alias("change"),
-                   F.when(change > thr_c, "DRIFT").otherwise("STABLE").alias("status"))
+                   F.when(change > thr_c, "DRIFT").otherwise("STABLE").alias("status"), *more)
     flags = per.groupBy(*keys).agg(F.bool_or(F.col("status") == "DRIFT").alias("drift_detected"))
     return join_keys(per, flags, keys, "left")
 
 
+def drift_check(current: DataFrame, keys: list[str], baseline: DataFrame, p: MonitorParams = MonitorParams()) -> DataFrame:
+    """MO-4: per group and feature, relative change of the mean against the
+    baseline mean; above the feature's threshold → DRIFT. Null means are
+    skipped. Adds the group's overall flag."""
+    feats = [r for r in p.drift_thresholds if r in current.columns]
+    if not feats:
+        return _no_drift(current, keys)
+    means = _long(current, keys, feats).groupBy(*keys, "feature").agg(F.avg("value").alias("current_mean"))
+    return _drift_report(means, keys, baseline, p)
+
+
+def moments(df: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
+    """Mergeable moments per group and feature: n, mean and m2 (sum of squared
+    distances from the mean) of the values that are not null."""
+    long = _long(df, keys, features) if features else _no_drift(df, keys).withColumn("value", F.lit(None).cast("double"))
+    n = F.count("value")
+    return long.groupBy(*keys, "feature").agg(n.alias("n"), F.avg("value").alias("mean"),
+                                              (F.var_pop("value") * n).alias("m2"))
+
+
+def merge_moments(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Moments of several disjoint sets of rows as those of their union: the
+    means weighted by their counts, and M2 with the spread between the means.
+    ``parts`` holds one row per set, group and feature."""
+    sets = F.collect_list(F.when(F.col("n") > 0, F.struct("n", "mean", "m2")))
+    j = parts.groupBy(*keys, "feature").agg(F.sum("n").alias("n"), sets.alias("_s"))
+    zero = F.lit(0.0)
+    mean = F.try_divide(F.aggregate("_s", zero, lambda a, x: a + x["n"] * x["mean"]), F.col("n"))
+    j = j.select(*keys, "feature", "n", mean.alias("mean"), "_s")
+    m2 = F.aggregate("_s", zero, lambda a, x: a + x["m2"] + x["n"] * (x["mean"] - F.col("mean")) * (x["mean"] - F.col("mean")))
+    return j.select(*keys, "feature", "n", "mean", F.when(F.col("n") > 0, m2).alias("m2"))
+
+
+def drift_of_moments(state: DataFrame, keys: list[str], baseline: DataFrame, p: MonitorParams = MonitorParams()) -> DataFrame:
+    """MO-4 on moments: the report of ``drift_check``, with the number of
+    values behind each mean (``n_values``) and their sample deviation (``std``)."""
+    std = F.when(F.col("n") > 1, F.sqrt(F.col("m2") / (F.col("n") - 1)))
+    means = state.select(*keys, "feature", F.col("mean").alias("current_mean"), F.col("n").alias("n_values"), std.alias("std"))
+    return _drift_report(means, keys, baseline, p, ("n_values", "std"))
+
+
 def performance_gate(metrics: DataFrame, keys: list[str], p: MonitorParams = MonitorParams(),
                      groups: DataFrame | None = None) -> DataFrame:
     """MO-5: a group is degraded when any model has MAE above the limit or

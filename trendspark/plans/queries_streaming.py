@@ -4,8 +4,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trendspark import bindings as B
-from trendspark.plans.queries_forecast import _HEALTH_SQL, _LATEST_SQL, _LOOKUP_SQL
+from trendspark.plans import forecasting as FC
+from trendspark.plans.queries_forecast import _DRIFT_CTES, _HEALTH_SQL, _LATEST_SQL, _LOOKUP_SQL, _WATCH, FC_CTES
 from trendspark.plans.registry import finish_sql, present, register, with_views
+from trendspark.session import materialize_files
 from trendspark.streaming import jobs as J
 
 
@@ -47,3 +49,23 @@ def stream_health(spark, sf):
                        F.when(F.col("value") >= 20, "SUCCESS").otherwise("FAILED").alias("status"),
                        F.col("props").alias("details"), F.col("event_id").alias("row_key"))
     return present(J.health_per_batch(status, B.STATUS_AS_OF))
+
+
+_COUNTS = " union all ".join(f"select sector_label, '{f}' as feature, count({f}) as n_values from test_rows group by 1" for f in _WATCH)
+
+
+@register("stream_drift", finish_sql(FC_CTES + _DRIFT_CTES + f""",
+n_of as ({_COUNTS})
+select d.*, n.n_values from drift d join n_of n on n.sector_label is not distinct from d.sector_label and n.feature = d.feature""",
+    d4=("current_mean", "baseline_mean"), d6=("change",), ints=("n_values",)))
+def stream_drift(spark, sf):
+    """The panel's test rows come as a file a quarter of the time, a batch
+    each; the report after the last batch."""
+    sp = FC.split_panel(spark, sf)
+    test = sp.where("split = 'test'").drop("split")
+    folder = materialize_files(test.repartitionByRange(4, "ts"), "drift-rows")
+    rows = spark.readStream.schema(test.schema).option("maxFilesPerTrigger", "1").parquet(folder)
+    reports = J.drift_per_batch(rows, ["sector_label"], FC.drift_baseline(spark, sf, sp=sp))
+    last = reports.agg(F.max("batch_id").alias("_last"))
+    return present(reports.join(F.broadcast(last), F.col("batch_id") == F.col("_last")).drop("batch_id", "_last", "std"),
+                   d4=("current_mean", "baseline_mean"))

@@ -64,14 +64,18 @@ def local_session(cpus: int | None = None, shuffle_partitions: int | None = None
     return spark
 
 
-def materialize(df, name: str):
-    """Cut lineage with a written table in the cluster's checkpoint folder
-    and read it back. Used for wide frames, where ``checkpoint()`` would carry
-    the source plan's (large) constraint set into the new relation."""
+def materialize_files(df, name: str) -> str:
+    """Write a table into the cluster's checkpoint folder; its path."""
     import uuid
 
-    spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark).rstrip("/")
+    base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
     path = f"{base}/trendspark-tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return path
+
+
+def materialize(df, name: str):
+    """Cut lineage with a written table in the cluster's checkpoint folder
+    and read it back. Used for wide frames, where ``checkpoint()`` would carry
+    the source plan's (large) constraint set into the new relation."""
+    return df.sparkSession.read.parquet(materialize_files(df, name))
