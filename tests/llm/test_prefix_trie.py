@@ -16,6 +16,17 @@ def shipped(spark):
     ship_package(spark)
 
 
+@pytest.fixture
+def small_partitions(spark):
+    """Conversations and stretches of the sorted order lie in many partitions."""
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "11")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", was)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def brute(rows):
     own = {}
     for c, turn, role, text in rows:
@@ -62,7 +73,7 @@ def random_rows(seed, n, texts=3, most=9):
     return rows
 
 
-def test_trie_against_brute_force(spark):
+def test_trie_against_brute_force(spark, small_partitions):
     rows = random_rows(1, 260)
     rows += [(None, 0, "user", "no id"), (500, None, "user", "null turn"), (500, None, "user", "null turn"), (500, 3, "bot", "tie b"), (500, 3, "bot", "tie a"),
              (1 << 40, 0, "u", "x"), ((1 << 40) + 5, 0, "u", "x"), (-100, 1, "u", "y"), (-105, 1, "u", "z")]
@@ -70,10 +81,12 @@ def test_trie_against_brute_force(spark):
     check(spark, rows)
 
 
-def test_hot_and_long_conversations_lie_across_partitions(spark):
+def test_hot_and_long_conversations_lie_across_partitions(spark, small_partitions):
     rows = [(100, t, "user", f"turn {t % 7}") for t in range(3000)] + [(101 + i, t, "user", f"turn {t % 7}") for i in range(40) for t in range(0, 5 + 11 * i)]
     rows += [(300, 0, "user", "equal")] * 900   # equal rows are turns
     check(spark, rows, 8)
+    df = spark.createDataFrame(rows, CONV)
+    assert prefix_trie._sorted_rows(prefix_trie.turn_rows(df)).where("conv_id = 100").select("part").distinct().count() > 2
 
 
 def test_empty_and_single(spark):
