@@ -44,6 +44,80 @@ def test_bpe_is_the_library(spark):
     assert bpe.encode_decode(df.limit(0), WORDS).count() == 0
 
 
+def mirrored(n):
+    """Two words that any polynomial hash modulo 2**64 takes for one."""
+    one = "".join("ab"[i.bit_count() % 2] for i in range(n))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+def test_mirrored_words_are_told_apart(spark):
+    a, b = mirrored(2048)
+    rows = [(1, f"{a[:1024]} x y"), (2, f"{b[:1024]} x y"), (3, f"{a} x y"), (4, f"{b} x y")]
+    df = spark.createDataFrame(rows, DOCS)
+    for path, ids_of in ((WORDS, lambda: {r.doc_id: r.ids_sha256 for r in bpe.encode_decode(df, WORDS).collect()}),):
+        tok = Tokenizer.from_file(path)
+        want = {i: hashlib.sha256(np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()).hexdigest() for i, t in rows}
+        assert ids_of() == want
+    tok = Tokenizer.from_file(BYTES)
+    want = {i: zlib.crc32(np.array(tok.encode(t, add_special_tokens=False).ids + [0], "<u4").tobytes()) for i, t in rows}
+    got = {r.doc_id: (r.ids_crc32, r.doc_tokens) for r in packing.pack(df, BYTES, size=4096).collect()}
+    assert {i: c for i, (c, _) in got.items()} == want
+    groups = jaccard.near_duplicate_groups(df).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in groups} == {(i, 1, i) for i in (1, 2, 3, 4)}
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_words_of_one_key_are_still_right(path, monkeypatch):
+    from trendspark.llm import words
+    real = words.word_hash
+
+    def weak(values, s, e):  # three keys for all words, so most lookups meet another word's entry
+        one, two = real(values, s, e)
+        return one % np.uint64(3) + np.uint64(1), two
+    monkeypatch.setattr(words, "word_hash", weak)
+    tok = Tokenizer.from_file(path)
+    monkeypatch.setattr(words, "_encoders", {})
+    enc = words.byte_encoder(path) if path == BYTES else bpe.WordBpe(path).encoder
+    texts = [t or "" for _, t in odd_texts(9, 60)]
+    ids, counts = enc.encode(texts)
+    want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert counts.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
+
+
+def test_a_large_group_of_near_copies_is_whole(spark):
+    """Copies of one text with up to five words changed each: most pairs are
+    below the threshold, and all lists are crowded."""
+    rnd = random.Random(12)
+    base = [f"w{i}" for i in range(80)]
+    docs = []
+    for i in range(400):
+        w = list(base)
+        for _ in range(rnd.randint(0, 5)):
+            w[rnd.randrange(80)] = f"z{rnd.randrange(300)}"
+        docs.append((i, " ".join(w)))
+    df = spark.createDataFrame(docs, DOCS).repartition(3)
+    for words, percent in ((3, 90), (5, 80)):
+        got = {r.doc_id: r.component_id for r in jaccard.near_duplicate_groups(df, words, percent).collect()}
+        sets = [frozenset(tuple(t.split()[k:k + words]) for k in range(80 - words + 1)) for _, t in docs]
+        root = list(range(400))
+        for a in range(400):
+            for b in range(a):
+                c = len(sets[a] & sets[b])
+                if 100 * c >= percent * (len(sets[a]) + len(sets[b]) - c):
+                    x, y = a, b
+                    while root[x] != x:
+                        x = root[x]
+                    while root[y] != y:
+                        y = root[y]
+                    root[max(x, y)] = min(x, y)
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+        assert got == {i: find(i) for i in range(400)}
+
+
 def test_pair_tree_takes_the_leftmost_lowest():
     tree = bpe.PairTree([5, 2, 2, 9])
     assert tree.lowest() == (2, 1)

@@ -85,6 +85,42 @@ def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
 
 
+def word_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of every span [start, end), none empty: sums of the
+    mixed pairs of value and place in the span, so a span's hash does not
+    follow from the hashes of its parts (a polynomial's would)."""
+    lens = ends - starts
+    at = spread(starts, lens)
+    first = np.cumsum(lens) - lens
+    place = (np.arange(len(at)) - np.repeat(first, lens)).astype(np.uint64)
+    m = mix((values[at].astype(np.uint64) + np.uint64(1)) * np.uint64(0xA0761D6478BD642F) + place * np.uint64(0x9E3779B97F4A7C15))
+    if not len(first):
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    size = lens.astype(np.uint64)
+    one = mix(np.add.reduceat(m, first) + size)
+    m ^= m >> np.uint64(29)
+    m *= np.uint64(0xC2B2AE3D27D4EB4F)
+    m ^= m >> np.uint64(31)
+    return one, mix(np.add.reduceat(m, first) ^ size)
+
+
+def tidied(run):
+    """An Arrow function that hands its worker's free memory back at the end
+    of a task (workers are used again by other steps)."""
+    def tidy(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+            import gc
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+    return tidy
+
+
 class HashTable:
     """Open-addressing map from 64-bit keys to 0, 1, 2, ... in order of ``add``."""
 

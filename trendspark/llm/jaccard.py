@@ -13,10 +13,12 @@ in the partner's sorted shingles, which gives the exact overlap.
 A short list that still holds more than MANY documents (a large group of near
 copies, a passage in very many documents) is not merged with the others: it
 counts as a bound for pairs met elsewhere. Only components are asked for, so
-its documents are first tried with a neighbour by size, and then only pairs
-that still lie in different components and whose long lists could make up the
-overlap alone. Documents with equal shingle sets are one class from the start,
-so groups of copies cost one document.
+its documents are first tried with the list's leader, the one with most of its
+short lists crowded (the text the others are copies of has no shingle of its
+own), and those of other components with a second leader; then only pairs are
+compared that still lie in different components and whose crowded lists could
+make up the overlap alone. Documents with equal shingle sets are one class from
+the start, so groups of copies cost one document.
 """
 from __future__ import annotations
 
@@ -25,12 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..session import materialize
-from .common import filter_slots, id_filter, id_and_text, may_hold, mix, prefix_hash, row_chunks, span_hash, string_bytes
+from .common import filter_slots, id_filter, id_and_text, may_hold, mix, row_chunks, string_bytes, tidied, word_hash
 from .components import components
 
 SKETCH_BITS = 18
@@ -57,7 +59,7 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.n
     last[:-1] &= ~inside[1:]
     last[first[1:] - 1] = inside[first[1:] - 1]
     s, e = np.flatnonzero(begin), np.flatnonzero(last) + 1
-    h = span_hash(prefix_hash(low), s, e)
+    h, _ = word_hash(low, s, e)
     doc = np.searchsorted(offsets, s, "right") - 1
     count = np.bincount(doc, minlength=docs)
     start = np.cumsum(count) - count
@@ -102,20 +104,20 @@ def _scan(docs: DataFrame, words: int) -> DataFrame:
         some = np.flatnonzero(hits)
         none = pa.nulls(len(some), pa.int64())
         yield pa.RecordBatch.from_arrays([none, none, none, pa.array(some), pa.array(hits[some])], names)
-    return id_and_text(docs).mapInArrow(run, "doc_id long, n long, cls long, bucket long, hits long")
+    return id_and_text(docs).mapInArrow(tidied(run), "doc_id long, n long, cls long, bucket long, hits long")
 
 
 LISTS = "token long, cls long, n int, place int"
 
 
-def _short_lists(docs: DataFrame, hits: np.ndarray, words: int, percent: int) -> DataFrame:
+def _short_lists(docs: DataFrame, hits: np.ndarray, words: int, percent: int) -> tuple[DataFrame, Broadcast]:
     """(token, cls, n, place): each class in its shortest lists, all but the
     T - 1 longest, where T is the least overlap with any partner; place: the
-    list's number in the class's order."""
-    model = docs.sparkSession.sparkContext.broadcast(hits)  # 2**SKETCH_BITS counts at any size
+    list's number in the class's order. And the broadcast that this reads."""
+    model = docs.sparkSession.sparkContext.broadcast(hits)  # 2**SKETCH_BITS counts at any size; released by the caller
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight, seen = model.value, set()
+        weight, seen = model.value, set()  # classes met lately; what is passed on twice is one row later
         for b in batches:
             raw, offsets = string_bytes(b.column("text"))
             for lo, hi in row_chunks(offsets):
@@ -127,6 +129,8 @@ def _short_lists(docs: DataFrame, hits: np.ndarray, words: int, percent: int) ->
                     if n[i] and c not in seen:
                         new[i] = True
                         seen.add(c)
+                if len(seen) > 1 << 18:
+                    seen.clear()
                 of = np.repeat(np.arange(hi - lo), n)
                 order = np.lexsort((keys, weight[(keys >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], of))
                 short = n + (-percent * n // 100) + 1  # n - ceil(percent * n / 100) + 1
@@ -135,7 +139,7 @@ def _short_lists(docs: DataFrame, hits: np.ndarray, words: int, percent: int) ->
                 of, token, place = of[keep], keys[order][keep], place[keep]
                 yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(cls[of]), pa.array(n[of].astype(np.int32)),
                                                   pa.array(place.astype(np.int32))], ["token", "cls", "n", "place"])
-    return id_and_text(docs).select("text").mapInArrow(run, LISTS)
+    return id_and_text(docs).select("text").mapInArrow(tidied(run), LISTS), model
 
 
 def _shared_lists(lists: DataFrame) -> DataFrame:
@@ -160,7 +164,7 @@ def _shared_lists(lists: DataFrame) -> DataFrame:
             out = np.flatnonzero(out)
             yield pa.RecordBatch.from_arrays([pa.array(t[out]), pa.array(c[out]), pa.array(n[out].astype(np.int32)),
                                               pa.array(p[out].astype(np.int32))], ["token", "cls", "n", "place"])
-    return lists.repartition("token").sortWithinPartitions("token", "n", "cls").mapInArrow(run, LISTS)
+    return lists.repartition("token").sortWithinPartitions("token", "n", "cls").mapInArrow(tidied(run), LISTS)
 
 
 def _ceil(x: Column, p: int, q: int) -> Column:
@@ -201,7 +205,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
             yield pa.RecordBatch.from_arrays([b.column("a").take(at), b.column("b").take(at)], ["a", "b"])
     a = texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b"))
-    return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(tidied(run), "a long, b long")
 
 
 def _class_texts(docs: DataFrame, rows: DataFrame, alive: DataFrame, words: int) -> DataFrame:
@@ -221,11 +225,29 @@ def _class_texts(docs: DataFrame, rows: DataFrame, alive: DataFrame, words: int)
                 cls = [_class_key(keys[x:y]) for x, y in zip(own[:-1].tolist(), own[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(cls, pa.int64()), texts.slice(lo, hi - lo)], ["doc_id", "cls", "text"])
     near = id_and_text(docs).select(F.coalesce("doc_id", no_id).alias("doc_id"), "text")
-    near = near.select("doc_id", "text", *filter_slots("doc_id")).mapInArrow(run, "doc_id long, cls long, text string")
+    near = near.select("doc_id", "text", *filter_slots("doc_id")).mapInArrow(tidied(run), "doc_id long, cls long, text string")
     texts = near.join(reps, "cls").filter("doc_id = rep").select("cls", "text")
     if not rows.groupBy("doc_id").count().filter("count > 1").isEmpty():
         texts = texts.dropDuplicates(["cls"])
-    return materialize(texts, "join-texts")
+    texts = materialize(texts, "join-texts")
+    bits.unpersist()
+    return texts
+
+
+def _leader_pairs(rows: DataFrame, side: tuple[str, ...], may_link: Column) -> DataFrame:
+    """Pairs (a, b) of each list's members with its leader, and of those of
+    other components than the leader's with a second one: at most two pairs a
+    row. A pair's first is the larger one (ties: by class)."""
+    def with_leader(rows: DataFrame) -> DataFrame:
+        top = rows.groupBy("token").agg(F.max_by(F.struct(*side), F.struct("crowds", "n", "cls")).alias("t"))
+        met = rows.join(top, "token").filter("g <> t.g")
+        return met.select(*rows.columns, *[F.col(f"t.{c}").alias(f"{c}_b") for c in side])
+    rows = materialize(rows.select("token", *side), "join-leaders")
+    first = with_leader(rows)
+    second = with_leader(first.select("token", *side))
+    both = first.filter(may_link).union(second.filter(may_link))
+    larger = F.expr("n > n_b or (n = n_b and cls > cls_b)")
+    return both.select(F.when(larger, F.col("cls")).otherwise(F.col("cls_b")).alias("a"), F.when(larger, F.col("cls_b")).otherwise(F.col("cls")).alias("b")).distinct()
 
 
 class _Groups:
@@ -281,7 +303,9 @@ def near_duplicate_groups(docs: DataFrame, words: int = 3, percent: int = 90) ->
     sketch = scan.filter("bucket is not null").groupBy("bucket").agg(F.sum("hits").alias("hits")).toPandas()
     hits = np.zeros(1 << SKETCH_BITS, np.int64)
     hits[sketch["bucket"].to_numpy(np.int64)] = sketch["hits"].to_numpy(np.int64)
-    lists = materialize(_shared_lists(_short_lists(docs, hits, words, percent)), "join-lists")
+    short, model = _short_lists(docs, hits, words, percent)
+    lists = materialize(_shared_lists(short), "join-lists")
+    model.unpersist()
 
     # pairs by the lists that a few documents share; the lists of many are counted only as a bound
     many = lists.groupBy("token").count().filter(F.col("count") > MANY).select("token")
@@ -308,11 +332,7 @@ def near_duplicate_groups(docs: DataFrame, words: int = 3, percent: int = 90) ->
         crowd = crowd.join(crowds, "cls")
         possible = _enough(F.least("crowds", "crowds_b"), F.col("n"), F.col("n_b"), percent)
         side = ("cls", "n", "g", "crowds")
-        order = W.partitionBy("token").orderBy("n", "cls")
-        mine = groups.named(crowd, "cls", "g")
-        mine = mine.select(*side, *[F.lag(c).over(order).alias(f"{c}_b") for c in side]).filter("g <> g_b").filter(fits).filter(possible)
-        pairs = groups.untried(mine.groupBy(F.col("cls").alias("a"), F.col("cls_b").alias("b")).agg(F.count("*").alias("count")))
-        groups.add(pairs.groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b")))
+        groups.add(groups.untried(_leader_pairs(groups.named(crowd, "cls", "g"), side, fits & possible)))
         mine = groups.named(crowd, "cls", "g")
         mixed = mine.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo <> hi").select("token")
         side = (*side, "place")

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
-from .common import HashTable, row_chunks, spread, string_bytes
+from .common import HashTable, row_chunks, spread, string_bytes, tidied
 
 ORDER = 3
 SAMPLE_DOCS = 300        # documents of each language that the trees are learned from, at most
@@ -191,7 +191,7 @@ def with_language(docs: DataFrame, learn_from: DataFrame | None = None, sample_d
                 yield pa.RecordBatch.from_arrays([*some.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()),
                                                   pa.array(rates, pa.float64())], [*names, *new[1:]])
     schema = T.StructType([*rows.schema.fields, *[T.StructField(n, T.StringType() if n == "lang_pred" else T.DoubleType()) for n in new[1:]]])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidied(run), schema)
 
 
 def predict(docs: DataFrame, learn_from: DataFrame | None = None, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES,

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..session import materialize
-from .common import id_and_text, row_chunks, string_bytes
+from .common import id_and_text, row_chunks, string_bytes, tidied
 from .words import byte_encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -111,7 +111,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [doc_ids.slice(lo, hi - lo).take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(crc), pa.array(n[doc])],
                     ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-    return id_and_text(docs).mapInArrow(run, PIECES)
+    return id_and_text(docs).mapInArrow(tidied(run), PIECES)
 
 
 def pack(docs: DataFrame, tokenizer: str, size: int = 1024, shard_rows: int = 32768) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..session import materialize
-from .common import filter_slots, id_and_text, id_filter, may_hold, mix, prefix_hash, row_chunks, span_hash, spread, string_bytes
+from .common import filter_slots, id_and_text, id_filter, may_hold, mix, prefix_hash, row_chunks, span_hash, spread, string_bytes, tidied
 
 GRAM = 32
 HOT = 4096
@@ -128,7 +128,7 @@ def _contexts(rows: DataFrame, length: int) -> DataFrame:
                 [pa.array(np.concatenate([a[first], spread_key]).view(np.int64)), pa.array(np.concatenate([c[first], np.zeros(len(rd), np.uint64)]).view(np.int64)),
                  pa.array(ids[d]), pa.array(subs[d].astype(np.int32)), pa.array(np.concatenate([s[first], rs])),
                  pa.array(np.concatenate([n[first], -rn]).astype(np.int32))], ["anchor", "context", "doc", "sub", "s", "n"])
-    return rows.mapInArrow(run, CONTEXTS)
+    return rows.mapInArrow(tidied(run), CONTEXTS)
 
 
 def _compare_hashes(contexts: DataFrame) -> DataFrame:
@@ -179,7 +179,7 @@ def _compare_hashes(contexts: DataFrame) -> DataFrame:
                 pick = pa.array(out)
                 yield pa.RecordBatch.from_arrays([*[rows.column(x).take(pick) for x in names], pa.array(live[out])], [*names, "live"])
             last = (a[-1], c[-1])
-    return contexts.repartition("anchor").sortWithinPartitions("anchor", "context", "doc", "sub", "s").mapInArrow(run, FOUND)
+    return contexts.repartition("anchor").sortWithinPartitions("anchor", "context", "doc", "sub", "s").mapInArrow(tidied(run), FOUND)
 
 
 def _row(rows: pa.RecordBatch, k: int, names: list[str]) -> pa.RecordBatch:
@@ -266,7 +266,7 @@ def _cut_contexts(texts: DataFrame, length: int) -> DataFrame:
                 cols = list(zip(*out[lo:lo + 20000]))
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [x.split()[0] for x in CUT.split(", ")])
-    return texts.mapInArrow(run, CUT)
+    return texts.mapInArrow(tidied(run), CUT)
 
 
 REPEATS = "doc long, sub int, s long, n int"
@@ -326,7 +326,7 @@ def _compare_bytes(cut: DataFrame, length: int) -> DataFrame:
                 held, size, b = [], 0, b.slice(cut)
         if held:
             yield solve(pa.Table.from_batches(held))
-    return cut.repartition("key").sortWithinPartitions("key").mapInArrow(run, REPEATS)
+    return cut.repartition("key").sortWithinPartitions("key").mapInArrow(tidied(run), REPEATS)
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -359,7 +359,7 @@ def _passing(rows: DataFrame, ids: DataFrame, holds: bool) -> DataFrame:
         for b in batches:
             at = pa.array(np.flatnonzero(may_hold(bits.value, b) == holds))
             yield pa.RecordBatch.from_arrays([b.column(x).take(at) for x in ("doc", "sub", "text")], ["doc", "sub", "text"])
-    return rows.select("doc", "sub", "text", *filter_slots("doc")).mapInArrow(run, "doc long, sub int, text string")
+    return rows.select("doc", "sub", "text", *filter_slots("doc")).mapInArrow(tidied(run), "doc long, sub int, text string")
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -389,7 +389,7 @@ def _removed(texts: DataFrame, length: int, keep: bool) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)],
                                                  [x.split()[0] for x in RESULT.split(", ")] + ["kept"] * keep)
-    return texts.select("doc", "text", "cut").mapInArrow(run, RESULT + ", kept string" * keep)
+    return texts.select("doc", "text", "cut").mapInArrow(tidied(run), RESULT + ", kept string" * keep)
 
 
 def _whole_characters(raw: np.ndarray, gone: np.ndarray) -> str:

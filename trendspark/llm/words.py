@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-from .common import HashTable, prefix_hash, span_hash, spread
+from .common import HashTable, spread, word_hash
 
 LETTER, NUMBER, SPACE, OTHER, UNSURE = range(5)
 _SAFE_END = 0x3000
@@ -52,7 +52,8 @@ class WordEncoder:
 
     def _reset(self) -> None:
         self.table = HashTable()
-        self.start, self.len, self.flat, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1 << 16, np.uint32), 0
+        self.start, self.len, self.check = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
 
     def _cut(self, cp: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of words. ``first``: where texts begin."""
@@ -94,7 +95,10 @@ class WordEncoder:
             ends = np.cumsum(sizes)
             firsts = ends - sizes
             s, e = self._cut(cp, firsts[sizes > 0])
-            at = self._lookup(cp, s, e)
+            at, other = self._lookup(cp, s, e)
+            if len(other):  # words whose key another word holds: their texts are encoded whole
+                plain = set(np.unique(np.searchsorted(ends, s[other], "right")).tolist())
+                return self._mixed(texts, plain)
             lens = self.len[at]
             ids = self.flat[spread(self.start[at], lens)]
             before = np.zeros(len(s) + 1, np.int64)
@@ -112,8 +116,24 @@ class WordEncoder:
                 at += int(counts[i])
         return np.concatenate(parts), counts
 
-    def _lookup(self, cp: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-        h = span_hash(prefix_hash(cp), s, e)
+    def _mixed(self, texts: list[str], plain: set[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and counts of the texts, those numbered in ``plain`` by the
+        plain path and the others as ever."""
+        rest, rest_counts = self.encode([t for i, t in enumerate(texts) if i not in plain])
+        parts, counts, at, k = [np.zeros(0, np.uint32)], np.zeros(len(texts), np.int64), 0, 0
+        for i, t in enumerate(texts):
+            if i in plain:
+                parts.append(np.array(self.encode_text(t), np.uint32))
+            else:
+                parts.append(rest[at:at + rest_counts[k]])
+                at, k = at + int(rest_counts[k]), k + 1
+            counts[i] = len(parts[-1])
+        return np.concatenate(parts), counts
+
+    def _lookup(self, cp: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The entry of every word, and the numbers of words that are not
+        their entry's: an entry is told by 128 bits of its word."""
+        h, check = word_hash(cp, s, e)
         at = self.table.find(h)
         missing = np.flatnonzero(at < 0)
         if len(missing):
@@ -126,10 +146,11 @@ class WordEncoder:
             self.flat[self.used:self.used + len(flat)] = flat
             self.start = np.concatenate([self.start, self.used + np.cumsum(lens) - lens])
             self.len = np.concatenate([self.len, lens])
+            self.check = np.concatenate([self.check, check[where]])
             self.used += len(flat)
             self.table.add(new)
             at[missing] = self.table.find(h[missing])
-        return at
+        return at, np.flatnonzero(self.check[at] != check)
 
 
 def _code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
