@@ -112,7 +112,7 @@ def patent_features(df: DataFrame, *, keys: list[str], as_of: dt.datetime,
     """AG-16: filing_rate_{3,6,12}m, tech_diversity_shannon,
     unique_inventor_count, citation_velocity_avg, forward_citation_rate_avg,
     international_filing_ratio. Empty input → no rows; missing columns → 0."""
-    df = with_optional(df, {"citations": "int", "forward_citations": "int", "inventors": "array<string>",
+    df = with_optional(df, {"filing_date": "timestamp_ntz", "citations": "int", "forward_citations": "int", "inventors": "array<string>",
                             "tech_class": "string", "source": "string"})
     rates = [event_rate("filing_date", as_of, m).alias(f"filing_rate_{m}m") for m in params.patent_rate_months]
     vel = F.coalesce(F.avg(citation_rate("filing_date", "citations", as_of, params.days_per_month)), F.lit(0.0))
@@ -154,7 +154,7 @@ def funding_features(df: DataFrame, *, keys: list[str], as_of: dt.datetime,
                      params: FeatureParams = FeatureParams()) -> DataFrame:
     """AG-17: funding_deals_velocity_{3,6}m, funding_amount_velocity_{3,6}m_usd,
     avg/median_round_size_usd, funding_amount_gini, seed/series_a/late_stage ratios."""
-    df = with_optional(df, {"stage": "string"})
+    df = with_optional(df, {"date": "timestamp_ntz", "amount_usd": "double", "stage": "string"})
     months = params.funding_rate_months
     aggs = ([event_rate("date", as_of, m).alias(f"funding_deals_velocity_{m}m") for m in months]
             + [sum_rate("date", "amount_usd", as_of, m).alias(f"funding_amount_velocity_{m}m_usd") for m in months]
@@ -180,7 +180,7 @@ def research_features(df: DataFrame, *, keys: list[str], as_of: dt.datetime,
                       params: FeatureParams = FeatureParams()) -> DataFrame:
     """AG-18: publication_rate_{3,6}m, avg_citation_count, avg_authors_per_paper,
     category_diversity_shannon, avg_abstract_length, avg/sum_keyword_count."""
-    df = with_optional(df, {"abstract": "string", "authors": "array<string>", "categories": "array<string>", "citation_count": "int"})
+    df = with_optional(df, {"published_date": "timestamp_ntz", "abstract": "string", "authors": "array<string>", "categories": "array<string>", "citation_count": "int"})
     kw = F.col("_kw")
     main = df.withColumn("_kw", keyword_count("abstract", params.keywords, params.stop_words)).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"),

@@ -181,10 +181,12 @@ def minmax(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
     return j.select(*[out[c].alias(c) if c in out else F.col(c) for c in df.columns])
 
 
-def median_impute(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
-    """WN-5: nulls replaced by the group median of the column. Groups here are
-    panel rows (months per sector), so the exact median aggregate is bounded."""
-    stats = df.groupBy(*keys).agg(*[F.median(c).alias(f"_med_{c}") for c in cols])
+def median_impute(df: DataFrame, keys: list[str], cols: list[str], fit_on: Column | None = None) -> DataFrame:
+    """WN-5: nulls replaced by the group median of the column (of the rows that
+    ``fit_on`` selects, if given). Groups here are panel rows (months per
+    sector), so the exact median aggregate is bounded."""
+    fit = df if fit_on is None else df.where(fit_on)
+    stats = fit.groupBy(*keys).agg(*[F.median(c).alias(f"_med_{c}") for c in cols])
     j = _stats_join(df, keys, stats)
     return j.select(*[F.coalesce(F.col(c), F.col(f"_med_{c}")).alias(c) if c in cols else F.col(c)
                       for c in df.columns])

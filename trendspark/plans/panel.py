@@ -15,8 +15,8 @@ from trendspark import bindings as B
 from trendspark.functions.scalars import is_domestic
 from trendspark.operators import timeseries as ts
 from trendspark.operators.common import join_keys
-from trendspark.operators.features import funding_features
-from trendspark.params import DOMESTIC_SOURCES
+from trendspark.operators.features import funding_features, patent_features, research_features
+from trendspark.params import DOMESTIC_SOURCES, FeatureParams
 from trendspark.session import ensure_checkpoint_dir, materialize
 
 K = ["sector_label"]
@@ -116,19 +116,23 @@ def training_table(spark: SparkSession, sf: str, end: dt.datetime = B.AS_OF,
     return materialize(table, "training-table")
 
 
-def history_table(spark: SparkSession, sf: str, end: dt.datetime = B.AS_OF) -> DataFrame:
+def history_table(spark: SparkSession, sf: str, end: dt.datetime = B.AS_OF, params: FeatureParams = FeatureParams()) -> DataFrame:
     """WN-15: target rows + as-of latest funding round (JN-3) + the one-row
-    whole-table funding features repeated over all rows (JN-7) + median fill
-    of numbers, 'Unknown' for text, drop rows without target or without any
-    feature."""
+    whole-table features of patents, funding and research repeated over all
+    rows (JN-7) + median fill of numbers, 'Unknown' for text, drop rows without
+    target or without any feature."""
     f = B.funding(spark, sf)
     tg = targets(spark, sf, end)
     spine = _spine_from(f, "date", end)
     last_round = ts.asof_monthly(f, K, "date", ["amount_usd", "stage"], spine, tie=["row_key"])
     last_round = last_round.select(*K, TS, F.col("amount_usd").alias("last_round_usd"),
                                    F.col("stage").alias("last_stage"))
-    whole = ts.suffixed(funding_features(f, keys=[], as_of=end), [], "_funding")
-    hist = join_keys(tg, last_round, K + [TS], "left").crossJoin(F.broadcast(whole))
+    whole = (ts.suffixed(patent_features(B.patents(spark, sf), keys=[], as_of=end, params=params), [], "_patent"),
+             ts.suffixed(funding_features(f, keys=[], as_of=end, params=params), [], "_funding"),
+             ts.suffixed(research_features(B.papers(spark, sf), keys=[], as_of=end, params=params), [], "_research"))
+    hist = join_keys(tg, last_round, K + [TS], "left")
+    for one_row in whole:  # an aggregate without keys
+        hist = hist.crossJoin(F.broadcast(one_row))
     numeric = [c for c in ts.numeric_columns(hist) if c != "target_growth_6m"]
     hist = ts.median_impute(hist, K, numeric).fillna("Unknown", subset=["last_stage"])
     hist = hist.dropna(subset=["target_growth_6m"]).dropna(how="all", subset=numeric + ["last_stage"])

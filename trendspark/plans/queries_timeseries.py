@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 from trendspark import bindings as B
 from trendspark.operators import timeseries as ts
 from trendspark.operators.common import join_keys
+from trendspark.plans import frames as FR
 from trendspark.plans import panel as P
+from trendspark.plans.queries_features import _PATENT_FEATURES_BODY, _RESEARCH_FEATURES_BODY, PAPER_PARAMS, _as_ctes
 from trendspark.plans.registry import AS_OF_SQL as ASOF, finish_sql, present, register, with_views
 
 K = ["sector_label"]
@@ -480,8 +482,15 @@ def fill_unknown(spark, sf):
 # ---------------------------------------------------------------------------
 # WN-15 history table
 # ---------------------------------------------------------------------------
+_WHOLE_PATENT = ("filing_rate_3m", "filing_rate_6m", "filing_rate_12m", "tech_diversity_shannon", "unique_inventor_count",
+                 "citation_velocity_avg", "forward_citation_rate_avg", "international_filing_ratio")
+_WHOLE_RESEARCH = ("publication_rate_3m", "publication_rate_6m", "avg_citation_count", "avg_authors_per_paper",
+                   "category_diversity_shannon", "avg_abstract_length", "avg_keyword_count", "sum_keyword_count")
+_HIST_MORE = tuple([f"{c}_patent" for c in _WHOLE_PATENT] + [f"{c}_research" for c in _WHOLE_RESEARCH])  # counts too: an imputed column is a double
+
+
 def _history_sql() -> str:
-    return with_views(["funding"], f"""with {_ASOF_CTES},
+    return with_views(["funding", "patents", "papers"], f"""with {_ASOF_CTES},
 lr as (select sector_label, ts, {_ff('amount_usd')} as last_round_usd, {_ff('stage')} as last_stage from asof_v),
 tgt as (
   select sector_label, ts, target_growth_6m from (
@@ -494,7 +503,14 @@ tgt as (
             on m.sector_label is not distinct from g.sector_label and m.ts = s.ts
           where s.ts < date_trunc('month', {ASOF})) x) t
   where target_growth_6m is not null),
-whole as ({_WHOLE_FUNDING}),
+whole_funding as ({_WHOLE_FUNDING}),
+one_patents as (select * replace (0 as sector_label) from patents),
+{_as_ctes(_PATENT_FEATURES_BODY.replace('from patents', 'from one_patents'), "wp")},
+one_papers as (select * replace (0 as sector_label) from papers),
+{_as_ctes(_RESEARCH_FEATURES_BODY.replace('from papers', 'from one_papers'), "wr")},
+whole as (
+  select {', '.join(f'wp.{c} as {c}_patent' for c in _WHOLE_PATENT)}, whole_funding.*, {', '.join(f'wr.{c} as {c}_research' for c in _WHOLE_RESEARCH)}
+  from whole_funding cross join wp cross join wr),
 hist as (
   select t.sector_label, t.ts, t.target_growth_6m, l.last_round_usd, coalesce(l.last_stage, 'Unknown') as last_stage, w.*
   from tgt t left join lr l on l.sector_label is not distinct from t.sector_label and l.ts = t.ts cross join whole w)
@@ -507,9 +523,9 @@ from hist""")
 
 @register("history_table", finish_sql(_history_sql(),
                                       ts=("ts",), d4=_HIST_D2,
-                                      d6=("target_growth_6m", "last_round_usd") + _HIST_D6))
+                                      d6=("target_growth_6m", "last_round_usd") + _HIST_D6 + _HIST_MORE))
 def history_table(spark, sf):
-    return present(P.history_table(spark, sf), d4=_HIST_D2)
+    return present(P.history_table(spark, sf, params=PAPER_PARAMS), d4=_HIST_D2)
 
 
 # ---------------------------------------------------------------------------
@@ -526,3 +542,44 @@ from split"""), ts=("ts",), d6=tuple(_FP)))
 def zscore_train_fit(spark, sf):
     sp = ts.chrono_split(P.funding_panel(spark, sf), K, 0.7)
     return present(ts.zscore(sp, K, _FP, fit_on=F.col("split") == "train").select(*K, TS, "split", *_FP))
+
+
+# ---------------------------------------------------------------------------
+# PRJ-7, WN-13, WN-14 on frames as a caller has them
+# ---------------------------------------------------------------------------
+def _caller_frames(spark, sf):
+    """The panels with the date columns of their records, one of them as text,
+    and a target frame."""
+    return (P.patent_panel(spark, sf).withColumn("filing_date", F.col(TS).cast("string")).drop(TS),
+            P.funding_panel(spark, sf).withColumnRenamed(TS, "date"),
+            P.research_panel(spark, sf).withColumnRenamed(TS, "published_date"))
+
+
+@register("frames_aligned", finish_sql(aligned_sql_ctes() + "\nselect * rename (target_growth_6m as growth) from aligned",
+                                       ts=("ts",), d6=_FEATS6 + ("growth",), d4=_MONEY))
+def frames_aligned(spark, sf):
+    """The target's first column, since none has the usual name."""
+    targets = P.targets(spark, sf).select(*K, F.col("target_growth_6m").alias("growth"), F.col(TS).alias("timestamp"))
+    return present(FR.align(*_caller_frames(spark, sf), targets, K), d4=_MONEY)
+
+
+def _fitted_sql() -> str:
+    train = "filter (where split = 'train') over (partition by sector_label)"
+    z = ", ".join(f"({c} - avg({c}) {train}) / coalesce(nullif(stddev_pop({c}) {train}, 0), 1) as {c}" for c in FEATS)
+    lags = ", ".join(f"lag({c}, {k}) over (partition by sector_label order by ts) as {c}_lag{k}" for c in FEATS for k in P.LAGS)
+    med = ", ".join(f"coalesce({c}, median({c}) {train}) as {c}" for c in TRAIN_COLS)
+    return aligned_sql_ctes() + f""",
+split as (
+  select * exclude (rn, n), case when rn <= greatest(1, floor(n * 0.7)) then 'train' else 'test' end as split
+  from (select *, row_number() over (partition by sector_label order by ts) as rn, count(*) over (partition by sector_label) as n from aligned) a),
+scaled as (select sector_label, ts, split, {z}, target_growth_6m from split),
+lagged as (select *, {lags} from scaled),
+imputed as (select sector_label, ts, {med}, target_growth_6m from lagged)
+select * from imputed where {' and '.join(f'{c} is not null' for c in TRAIN_COLS)}"""
+
+
+@register("frames_training", finish_sql(_fitted_sql(), ts=("ts",), d6=tuple(TRAIN_COLS) + ("target_growth_6m",)))
+def frames_training(spark, sf):
+    """Means, spreads and medians of each sector's first 70% alone."""
+    data = FR.prepare_training(*_caller_frames(spark, sf), P.targets(spark, sf), K, P.LAGS, 0.7)
+    return present(data.rows)
