@@ -8,6 +8,11 @@ from trendspark.functions.scalars import clamp01, fixed
 from trendspark.params import UncertaintyParams
 
 
+def _named(c: Column) -> Column:
+    """A name as part of a message; null (the sector of its own) shows as nothing."""
+    return F.coalesce(c.cast("string"), F.lit(""))
+
+
 def completeness_impact(df: DataFrame, metric: str, source: str, sector: str,
                         p: UncertaintyParams = UncertaintyParams()) -> DataFrame:
     """UN-1: completeness below half the minimum → −0.20, below the minimum →
@@ -17,10 +22,10 @@ def completeness_impact(df: DataFrame, metric: str, source: str, sector: str,
     adj = (F.when(m < p.min_completeness / 2, F.lit(p.completeness_severe))
            .when(m < p.min_completeness, F.lit(p.completeness_mild)).otherwise(F.lit(0.0)))
     msg = (F.when(m < p.min_completeness / 2,
-                  F.concat(F.lit("Warning ("), F.col(sector), F.lit("): "), F.col(source),
+                  F.concat(F.lit("Warning ("), _named(F.col(sector)), F.lit("): "), _named(F.col(source)),
                            F.lit(" data very incomplete ("), pct, F.lit("%). Confidence reduced.")))
            .when(m < p.min_completeness,
-                 F.concat(F.lit("Caution ("), F.col(sector), F.lit("): "), F.col(source),
+                 F.concat(F.lit("Caution ("), _named(F.col(sector)), F.lit("): "), _named(F.col(source)),
                           F.lit(" data incomplete ("), pct, F.lit("%). Confidence reduced.")))
            .otherwise(F.lit("")))
     return df.select("*", adj.alias("confidence_adjustment"), msg.alias("message"))
@@ -38,10 +43,10 @@ def conflicting_signals(df: DataFrame, signals: str, sector: str,
     pos = F.map_keys(F.map_filter(F.col(signals), lambda k, v: v > F.lit(p.conflict_high)))
     neg = F.map_keys(F.map_filter(F.col(signals), lambda k, v: v < F.lit(p.conflict_low)))
     conflict = (F.size(pos) > 0) & (F.size(neg) > 0)
-    msg = F.when(conflict, F.concat(F.lit("Conflicting signals for '"), F.col(sector), F.lit("'. Pos: "),
+    msg = F.when(conflict, F.concat(F.lit("Conflicting signals for '"), _named(F.col(sector)), F.lit("'. Pos: "),
                                     _set_text(pos), F.lit(", Neg: "), _set_text(neg),
                                     F.lit(". Increased uncertainty. Consider scenario analysis."))) \
-        .otherwise(F.concat(F.lit("Signals for '"), F.col(sector), F.lit("' generally consistent.")))
+        .otherwise(F.concat(F.lit("Signals for '"), _named(F.col(sector)), F.lit("' generally consistent.")))
     return df.select("*", F.when(conflict, F.lit(p.conflict_adjustment)).otherwise(F.lit(0.0)).alias("confidence_adjustment"),
                      F.when(conflict, "conflicting").otherwise("consistent").alias("status"),
                      msg.alias("message"), conflict.alias("scenarios_suggested"))
@@ -54,10 +59,10 @@ def research_gap(df: DataFrame, coverage: str, sector: str, p: UncertaintyParams
     adj = (F.when(c < p.min_paper_coverage / 2, F.lit(p.coverage_severe))
            .when(c < p.min_paper_coverage, F.lit(p.coverage_mild)).otherwise(F.lit(0.0)))
     msg = (F.when(c < p.min_paper_coverage / 2,
-                  F.concat(F.lit("Warning ("), F.col(sector), F.lit("): Research visibility gap - sparse papers ("),
+                  F.concat(F.lit("Warning ("), _named(F.col(sector)), F.lit("): Research visibility gap - sparse papers ("),
                            pct, F.lit("%). Low research insight reliability.")))
            .when(c < p.min_paper_coverage,
-                 F.concat(F.lit("Caution ("), F.col(sector), F.lit("): Moderate research visibility gap ("),
+                 F.concat(F.lit("Caution ("), _named(F.col(sector)), F.lit("): Moderate research visibility gap ("),
                           pct, F.lit("%). Caution with research insights.")))
            .otherwise(F.lit("")))
     return df.select("*", adj.alias("confidence_adjustment"), msg.alias("message"))
@@ -85,6 +90,6 @@ def final_output(df: DataFrame, base: str, adjustments: str, p: UncertaintyParam
 
 def recommendation(source: Column, sector: Column, issue: Column) -> Column:
     """UN-5: alternative-source recommendation text."""
-    return F.concat(F.lit("Issue with '"), source, F.lit("' for '"), sector, F.lit("': "), issue,
+    return F.concat(F.lit("Issue with '"), _named(source), F.lit("' for '"), _named(sector), F.lit("': "), _named(issue),
                     F.lit(". Consider: [Expert Interviews], [Market Reports], [Analogous Sector Analysis], "
                           "[Scenario Planning]."))

@@ -209,7 +209,7 @@ def validate_funding(spark, sf):
 # SRC-6 paper feed, FLT-7 recency
 # ---------------------------------------------------------------------------
 @register("flatten_papers", finish_sql(with_views(["papers"], """
-select paper_id, title, array_to_string(authors, '|') as authors, replace(abstract, chr(10), ' ') as abstract,
+select paper_id, title, array_to_string(authors, '|') as authors, coalesce(replace(abstract, chr(10), ' '), '') as abstract,
        array_to_string(categories, '|') as categories, published_date, pdf_url, 0 as citation_count, 'arXiv' as source
 from papers"""), ts=("published_date",), ints=("citation_count",)))
 def flatten_papers(spark, sf):
@@ -231,7 +231,7 @@ def recent_papers(spark, sf):
 _AX_BASE = """select paper_id,
   case when length(abstract) >= 300 then title else 'N/A' end as title,
   case when not (citation_count = 1 and source = 'feed_b')
-       then array_to_string(list_transform(authors, lambda a: regexp_replace(a, '-([^-]*)$', ' \\1')), '|') else '' end as authors,
+       then array_to_string(list_transform(authors, lambda a: ltrim(regexp_replace(a, '-([^-]*)$', ' \\1'))), '|') else '' end as authors,
   case when not (citation_count = 0 and source = 'feed_a') then coalesce(abstract, 'N/A') else 'N/A' end as abstract,
   case when citation_count not in (2, 3) then published_date else date_trunc('month', published_date) end as published_date,
   citation_count in (2, 3) as date_defaulted, 0 as citation_count, 'PubMed' as source
