@@ -5,7 +5,7 @@ and rejects come from the same lazy plan, and counts are one aggregate.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -66,6 +66,15 @@ def counts(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
                                          F.count(F.lit(1)).alias("n_total"))
 
 
+def observed_valid(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    """FLT-6 with the write: the valid rows, and an observation that has
+    n_valid and n_total once the action that uses them has run; the records are
+    scanned once."""
+    seen = Observation(f"validated {name}")
+    ok = F.col("reject_reason").isNull()
+    return valid(df.observe(seen, F.count_if(ok).alias("n_valid"), F.count(F.lit(1)).alias("n_total"))), seen
+
+
 def rule_pass_ratios(df: DataFrame, rules: dict[str, Column], threshold: float) -> DataFrame:
     """FLT-15: pass count and ratio per declared rule against a quality bar."""
     stats = df.agg(F.count(F.lit(1)).alias("n_total"),

@@ -67,13 +67,15 @@ def validation_metrics(spark: SparkSession, sf: str, sp: DataFrame | None = None
 
 
 def forecasts(spark: SparkSession, sf: str, p: ForecastParams = TREND_FORECAST, sp: DataFrame | None = None,
-              as_of: dt.datetime = B.AS_OF) -> DataFrame:
-    return fc.sector_forecasts(current_predictions(spark, sf, sp), K, p.weights, p.horizons, p.quality_score, p.levels,
+              as_of: dt.datetime = B.AS_OF, preds: DataFrame | None = None) -> DataFrame:
+    """Forecasts of ``preds`` (by default of the closed-form predictors)."""
+    return fc.sector_forecasts(current_predictions(spark, sf, sp) if preds is None else preds, K, p.weights, p.horizons, p.quality_score, p.levels,
                                generated_at=as_of)
 
 
-def summary(spark: SparkSession, sf: str, preferred: int = 12, sp: DataFrame | None = None) -> DataFrame:
-    return fc.summary_horizon(forecasts(spark, sf, sp=sp), K, preferred)
+def summary(spark: SparkSession, sf: str, preferred: int = 12, sp: DataFrame | None = None,
+            as_of: dt.datetime = B.AS_OF) -> DataFrame:
+    return fc.summary_horizon(forecasts(spark, sf, sp=sp, as_of=as_of), K, preferred)
 
 
 def latest_by_sector(spark: SparkSession, sf: str, sp: DataFrame | None = None) -> DataFrame:
@@ -97,9 +99,9 @@ def emerging_technologies(spark: SparkSession, sf: str, percentile: float = 50.0
 
 
 def opportunities(spark: SparkSession, sf: str, ip: InvestmentParams = InvestmentParams(),
-                  sp: DataFrame | None = None) -> DataFrame:
+                  sp: DataFrame | None = None, as_of: dt.datetime = B.AS_OF) -> DataFrame:
     sp = _sp(spark, sf, sp)
-    return iv.opportunities(summary(spark, sf, ip.preferred_horizon, sp), emerging_technologies(spark, sf, sp=sp),
+    return iv.opportunities(summary(spark, sf, ip.preferred_horizon, sp, as_of), emerging_technologies(spark, sf, sp=sp),
                             B.market(spark, sf), ip)
 
 
@@ -109,12 +111,13 @@ def opportunities(spark: SparkSession, sf: str, ip: InvestmentParams = Investmen
 FAMILIES = {"patents": "_patent", "funding": "_funding", "research": "_research"}
 
 
-def completeness(spark: SparkSession, sf: str, up: UncertaintyParams = UncertaintyParams()) -> DataFrame:
+def completeness(spark: SparkSession, sf: str, up: UncertaintyParams = UncertaintyParams(),
+                 as_of: dt.datetime = B.AS_OF) -> DataFrame:
     """UN-1 re-aimed: completeness = non-null share of a source's panel
     features per sector over the outer-aligned panel."""
-    frames = [ts.suffixed(P.patent_panel(spark, sf), K, "_patent"),
-              ts.suffixed(P.funding_panel(spark, sf), K, "_funding"),
-              ts.suffixed(P.research_panel(spark, sf), K, "_research")]
+    frames = [ts.suffixed(P.patent_panel(spark, sf, as_of), K, "_patent"),
+              ts.suffixed(P.funding_panel(spark, sf, as_of), K, "_funding"),
+              ts.suffixed(P.research_panel(spark, sf, as_of), K, "_research")]
     merged = ts.outer_align(frames, K)
     parts = []
     for source, tag in FAMILIES.items():
@@ -149,13 +152,13 @@ def paper_coverage(spark: SparkSession, sf: str, min_abstract: int = 100,
 
 
 def final_predictions(spark: SparkSession, sf: str, up: UncertaintyParams = UncertaintyParams(),
-                      sp: DataFrame | None = None) -> DataFrame:
+                      sp: DataFrame | None = None, as_of: dt.datetime = B.AS_OF) -> DataFrame:
     sp = _sp(spark, sf, sp)
-    adj = (completeness(spark, sf, up).select(*K, "confidence_adjustment")
+    adj = (completeness(spark, sf, up, as_of).select(*K, "confidence_adjustment")
            .unionByName(conflicts(spark, sf, up, sp).select(*K, "confidence_adjustment"))
            .unionByName(paper_coverage(spark, sf, up=up).select(*K, "confidence_adjustment"))
            .groupBy(*K).agg(F.sum("confidence_adjustment").alias("adjustments")))
-    s = join_keys(summary(spark, sf, sp=sp), adj, K, "left")
+    s = join_keys(summary(spark, sf, sp=sp, as_of=as_of), adj, K, "left")
     out = un.final_output(s, "quality_score", "adjustments", up)
     return out.select(*K, F.col("prediction").alias("prediction_value"), "final_confidence_score",
                       "confidence_label", "confidence_interval_str", "disclaimer")

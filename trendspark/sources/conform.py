@@ -1,7 +1,7 @@
 """Fixed schemas of the record sets, schema conforming (SRC-3) and sinks (SNK-1)."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,11 +57,23 @@ def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
 
 
 def write_if_any(df: DataFrame, path: str, partition_by: list[str] | None = None) -> bool:
-    """SNK-1: overwrite the Parquet at ``path`` unless there is no row."""
-    if df.isEmpty():
-        return False
-    w = df.write.mode("overwrite")
+    """SNK-1: overwrite the Parquet at ``path`` unless there is no row. The
+    rows are computed once: they are written beside ``path``, counted by the
+    write itself, and take its place if there are any."""
+    import uuid
+
+    beside, seen = f"{path.rstrip('/')}-{uuid.uuid4().hex}", Observation("written rows")
+    w = df.observe(seen, F.count(F.lit(1)).alias("n")).write
     if partition_by:
         w = w.partitionBy(*partition_by)
-    w.parquet(path)
-    return True
+    w.parquet(beside)
+    some = seen.get["n"] > 0
+    jvm = df.sparkSession.sparkContext._jvm
+    old, new = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, beside))
+    fs = new.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration())
+    if some:
+        fs.delete(old, True)
+        fs.rename(new, old)
+    else:
+        fs.delete(new, True)
+    return some
