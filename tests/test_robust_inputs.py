@@ -78,3 +78,28 @@ def test_missing_columns_give_zero(spark):
     assert features.funding_features(f, keys=["sector_label"], as_of=ts("2024-02-01")).first().seed_ratio == 0
     none = monitor.drift_check(f, ["sector_label"], monitor.drift_baseline(f, []))
     assert none.columns[-1] == "drift_detected" and none.count() == 0
+
+
+PATENT_OK = '{"results": [{"patentNumber": "p1", "inventionTitle": "t", "filingDate": "2020-01-01"}]}'
+ARTICLE = "<PubmedArticle><MedlineCitation><PMID>1</PMID><Article><ArticleTitle>T</ArticleTitle></Article></MedlineCitation></PubmedArticle>"
+OFFICE = ("<world-patent-data><biblio-search><search-result><exchange-documents><exchange-document><bibliographic-data/></exchange-document>"
+          "</exchange-documents></search-result></biblio-search></world-patent-data>")
+
+
+def test_every_payload_is_flattened_or_rejected(spark):
+    cases = {
+        "patent_json": {PATENT_OK: None, PATENT_OK[:-4]: "not JSON", '{"items": []}': "no results list", '{"results": []}': "no records", '{"results": 5}': "no results list",
+                        "": "no text", None: "no text", "[1]": "no results list"},
+        "paper_feed": {'{"entry_id": "a", "title": "t"}': None, '{"title": "t"}': "no entry_id", "plain": "not JSON"},
+        "article_xml": {ARTICLE: None, f"<PubmedArticleSet>{ARTICLE}{ARTICLE}</PubmedArticleSet>": None, ARTICLE[:-9]: "not XML", "<PubmedArticleSet></PubmedArticleSet>": "no records",
+                        "no xml at all": "not XML", " ": "no text"},
+        "office_xml": {OFFICE: None, OFFICE[:-10]: "not XML", "<fault><code>404</code></fault>": "fault document", "<ops:fault xmlns:ops='x'>gone</ops:fault>": "fault document",
+                       "<world-patent-data/>": "no records"},
+    }
+    for source, want in cases.items():
+        df = spark.createDataFrame([(i, t) for i, t in enumerate(want)], "id int, payload string")
+        good, bad = payloads.flatten_or_reject(df, source)
+        got = {r.id: r.reject_reason for r in bad.collect()}
+        assert got == {i: reason for i, reason in enumerate(want.values()) if reason}, source
+        assert {r.id: r.payload for r in bad.collect()} == {i: t for i, (t, reason) in enumerate(want.items()) if reason}
+        assert good.count() == sum(reason is None for reason in want.values()) + (source == "article_xml")

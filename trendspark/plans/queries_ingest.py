@@ -74,7 +74,7 @@ def funding_json_pages(spark, sf) -> DataFrame:
             F.when(F.col("stage") != "series_d", F.col("stage")).alias("investment_type")).alias("properties"))
     return (f.groupBy(F.floor(rk / 32).alias("page"))
             .agg(F.collect_list(ent).alias("entities"), F.count(F.lit(1)).alias("count"))
-            .select(F.to_json(F.struct("entities", "count")).alias("payload")))
+            .select("page", F.to_json(F.struct("entities", "count")).alias("payload")))
 
 
 def paper_feed_lines(spark, sf) -> DataFrame:
@@ -511,3 +511,26 @@ def taxonomy_labels(spark, sf):
     # the taxonomy is configuration (bounded): one expression per label, no join
     return present(p.select("patent_id", F.explode(F.array_compact(F.array(*hits))).alias("taxonomy_label")))
 
+
+# ---------------------------------------------------------------------------
+# SRC-5 payloads that cannot be flattened
+# ---------------------------------------------------------------------------
+@register("payload_rejects", finish_sql(with_views(["funding"], """
+with pages as (select CAST(floor(row_key / 32) AS BIGINT) as page, count(*) as n from funding group by 1),
+judged as (select *, case page % 9 when 0 then 'not JSON' when 1 then 'no entities list' when 2 then 'no records' when 3 then 'no text' end as reason from pages)
+select coalesce(reason, 'flattened') as outcome, count(*) as n_payloads,
+       CAST(coalesce(sum(case when reason is null then n end), 0) AS BIGINT) as n_records
+from judged group by 1"""), ints=("n_payloads", "n_records")))
+def payload_rejects(spark, sf):
+    """Funding pages, some cut short, some of another shape: what was
+    flattened, and one reject row for every other payload."""
+    pages, kind = funding_json_pages(spark, sf), F.col("page") % 9
+    text = F.col("payload")
+    landed = pages.withColumn("payload", F.when(kind == 0, F.substring(text, F.lit(1), F.length(text) - 5))
+                              .when(kind == 1, F.replace(text, F.lit('"entities"'), F.lit('"items"')))
+                              .when(kind == 2, F.lit('{"entities": [], "count": 0}')).when(kind == 3, F.lit(" ")).otherwise(text))
+    records, rejects = PL.flatten_or_reject(landed, "funding_json")
+    good = landed.where(PL.reject_reason("funding_json").isNull()).agg(F.count(F.lit(1)).alias("n_payloads"))
+    done = good.crossJoin(records.agg(F.count(F.lit(1)).alias("n_records"))).select(F.lit("flattened").alias("outcome"), "n_payloads", "n_records")
+    turned = rejects.groupBy(F.col("reject_reason").alias("outcome")).agg(F.count(F.lit(1)).alias("n_payloads")).withColumn("n_records", F.lit(0))
+    return present(done.where("n_payloads > 0").unionByName(turned))

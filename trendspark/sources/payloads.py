@@ -169,3 +169,72 @@ def flatten_office_xml(df: DataFrame, payload: str = "payload") -> DataFrame:
                    F.lit("N/A")).alias("title"),
         F.try_element_at(ids, F.lit(1))["date"].alias("publication_date"),
         F.lit("EPO").alias("source"), "total_result_count")
+
+
+# ---------------------------------------------------------------------------
+# Payloads that cannot be flattened (SRC-4 .. SRC-8)
+# ---------------------------------------------------------------------------
+CORRUPT = "_corrupt_record"
+
+# FIXED VALUES: why a payload is turned away.
+NO_TEXT, NOT_JSON, NOT_XML, NO_RECORDS, FAULT = "no text", "not JSON", "not XML", "no records", "fault document"
+
+
+def _json_reason(text: Column, path: str | None, name: str) -> Column:
+    """``path``: the list that a response must have (None: the response is one
+    record and must be an object with ``name``)."""
+    doc = F.try_parse_json(text)
+    if path is None:
+        shape = F.when(F.try_variant_get(doc, f"$.{name}", "string").isNull(), f"no {name}")
+    else:
+        records = F.try_variant_get(doc, path, "array<variant>")
+        shape = F.when(records.isNull(), f"no {name} list").when(F.size(records) == 0, NO_RECORDS)
+    return F.when(text.isNull() | (F.trim(text) == ""), NO_TEXT).when(doc.isNull(), NOT_JSON).otherwise(shape)
+
+
+def _xml_reason(text: Column, schema: str, options: dict, found, fault: str | None = None) -> Column:
+    """``found``: the number of records in the parsed document."""
+    doc = F.from_xml(text, f"{schema}, {CORRUPT} string", options | {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    shape = F.when(F.coalesce(found(doc), F.lit(0)) == 0, NO_RECORDS)
+    if fault:
+        shape = F.when(text.rlike(fault), FAULT).otherwise(shape)
+    return F.when(text.isNull() | (F.trim(text) == ""), NO_TEXT).when(doc[CORRUPT].isNotNull(), NOT_XML).otherwise(shape)
+
+
+def _articles(doc: Column) -> Column:
+    return F.coalesce(F.size(doc["PubmedArticle"]), F.when(doc["MedlineCitation"].isNotNull(), 1))
+
+
+def _exchange_documents(doc: Column) -> Column:
+    return F.size(doc["biblio-search"]["search-result"]["exchange-documents"]["exchange-document"])
+
+
+def reject_reason(source: str, payload: str = "payload") -> Column:
+    """Why a payload of the source cannot be flattened; null: it can, and has
+    a record at least. ``source``: patent_json, funding_json, paper_feed,
+    article_xml or office_xml."""
+    text = F.col(payload)
+    if source == "patent_json":
+        return _json_reason(text, "$.results", "results")
+    if source == "funding_json":
+        return _json_reason(text, "$.entities", "entities")
+    if source == "paper_feed":
+        return _json_reason(text, None, "entry_id")
+    if source == "article_xml":
+        return _xml_reason(text, ARTICLE_XML_SCHEMA, XML_OPTIONS, _articles)
+    if source == "office_xml":
+        return _xml_reason(text, OFFICE_XML_SCHEMA, XML_OPTIONS | {"ignoreNamespace": "true"}, _exchange_documents, r"<(\w+:)?fault[\s>]")
+    raise ValueError(f"no such source: {source}")
+
+
+FLATTENERS = {"patent_json": flatten_patent_json, "funding_json": flatten_funding_json, "paper_feed": flatten_paper_feed,
+              "article_xml": flatten_article_xml, "office_xml": flatten_office_xml}
+
+
+def flatten_or_reject(df: DataFrame, source: str, payload: str = "payload") -> tuple[DataFrame, DataFrame]:
+    """The records of the payloads that can be flattened, and a row for each
+    of the others: all its columns, its text whole, and ``reject_reason``. Every
+    payload is in one of the two."""
+    judged = df.withColumn("reject_reason", reject_reason(source, payload))
+    good = judged.where(F.col("reject_reason").isNull()).drop("reject_reason")
+    return FLATTENERS[source](good, payload), judged.where(F.col("reject_reason").isNotNull())
