@@ -12,9 +12,11 @@ different ones. Two networks are used:
 * numbers with a range (dates, octets, social security numbers): a value is a
   pair (l, r) of Z_a x Z_b; rounds add a keyed hash of one half to the other.
 * strings (cards, IBANs, phones, mail): characters are shifted within their
-  class (digit, small or capital letter; leading phone digits stay in 0-1 or
-  2-9) by a keyed hash of the other half of the string. Check digits are
-  computed again.
+  class (digit, small or capital letter; the first phone digit after a country
+  code stays in 0-1 or 2-9) by a keyed hash of the other half of the string.
+  Cards, IBANs and phones are permuted as bare digits and letters and then laid
+  out like the value found, so all layouts of a value are linked. Check digits
+  are computed again.
 """
 from __future__ import annotations
 
@@ -135,15 +137,23 @@ def mail(key: str, x: Column) -> Column:
     return F.array_join(feistel_text(key, "mail", c, base, radix), "")
 
 
+def laid_out(x: Column, bare: Column) -> Column:
+    """Letters and digits (an array) at the places of those of ``x``; what
+    separates them in ``x`` stays."""
+    def place(c: Column, i: Column) -> Column:
+        before = F.length(_only(F.substr(x, F.lit(1), i + 1), "0-9A-Za-z"))
+        return F.when(F.regexp_like(c, F.lit("[0-9A-Za-z]")), F.get(bare, before - 1)).otherwise(c)
+    return F.array_join(F.transform(_chars(x), place), "")
+
+
 def card(key: str, x: Column) -> Column:
-    digits = _only(x, "0-9")
-    c = _chars(x)
+    """The digits alone are permuted, whatever separates them."""
+    c = _chars(_only(x, "0-9"))
     last = F.size(c) - 1
-    base = F.transform(c, _class_base)
-    radix = F.transform(c, lambda ch, i: F.when(i == last, 1).otherwise(_class_radix(ch)))
-    moved = F.array_join(feistel_text(key, "card", F.transform(c, lambda ch, i: F.when(i == last, F.lit("0")).otherwise(ch)), base, radix), "")
-    check = F.pmod(-_luhn(_chars(_only(moved, "0-9"))), F.lit(10)).cast("string")
-    return F.when(_luhn(_chars(digits)) % 10 == 0, F.concat(F.substr(moved, F.lit(1), F.length(moved) - 1), check)).otherwise(x)
+    radix = F.transform(c, lambda ch, i: F.when(i == last, 1).otherwise(10))
+    moved = feistel_text(key, "card", F.transform(c, lambda ch, i: F.when(i == last, F.lit("0")).otherwise(ch)), F.transform(c, lambda ch: F.lit(48)), radix)
+    check = F.transform(F.array(moved), lambda m: F.concat(F.slice(m, F.lit(1), last), F.array(F.pmod(-_luhn(m), F.lit(10)).cast("string"))))[0]
+    return F.when(_luhn(c) % 10 == 0, laid_out(x, check)).otherwise(x)
 
 
 def _mod97(x: Column) -> Column:
@@ -154,26 +164,28 @@ def _mod97(x: Column) -> Column:
 
 
 def iban(key: str, x: Column) -> Column:
-    c = _chars(x)
+    """The value without its blanks is permuted; country and classes stay."""
+    plain = F.replace(x, F.lit(" "), F.lit(""))
+    c = _chars(plain)
     base = F.transform(c, _class_base)
     radix = F.transform(c, lambda ch, i: F.when(i < 4, 1).otherwise(_class_radix(ch)))
     zeroed = F.transform(c, lambda ch, i: F.when((i == 2) | (i == 3), F.lit("0")).otherwise(ch))
-    moved = F.array_join(feistel_text(key, "iban", zeroed, base, radix), "")
-    check = F.lpad((98 - _mod97(F.replace(moved, F.lit(" "), F.lit("")))).cast("string"), 2, "0")
-    done = F.concat(F.substr(moved, F.lit(1), F.lit(2)), check, F.substr(moved, F.lit(5), F.length(moved)))
-    return F.when(_mod97(F.replace(x, F.lit(" "), F.lit(""))) == 1, done).otherwise(x)
+    moved = feistel_text(key, "iban", zeroed, base, radix)
+    check = F.transform(F.array(moved), lambda m: F.concat(
+        F.slice(m, 1, 2), _chars(F.lpad((98 - _mod97(F.array_join(m, ""))).cast("string"), 2, "0")), F.slice(m, F.lit(5), F.size(m))))[0]
+    return F.when(_mod97(plain) == 1, laid_out(x, check)).otherwise(x)
 
 
 def phone(key: str, x: Column) -> Column:
-    """A country code stays; a leading digit of a group stays within 0-1 or 2-9."""
-    c = _chars(x)
-    country = F.when(F.startswith(x, F.lit("+")), F.length(F.regexp_extract(x, r"^\+(?:1|7|[2-9][0-9])", 0))).otherwise(0)
-    lead = F.transform(c, lambda ch, i: (i == 0) | ~F.regexp_like(c[F.greatest(i - 1, F.lit(0))], F.lit("[0-9]")))
-    lead_class = F.zip_with(c, lead, lambda ch, first: F.when(~F.regexp_like(ch, F.lit("[0-9]")), 0).when(~first, 1).when(ch < "2", 2).otherwise(3))
-    lead_class = F.transform(lead_class, lambda k, i: F.when(i < country, 0).otherwise(k))
-    base = F.transform(lead_class, lambda k: F.when(k == 3, 50).when(k == 0, 0).otherwise(48))
-    radix = F.transform(lead_class, lambda k: F.when(k == 1, 10).when(k == 2, 2).when(k == 3, 8).otherwise(1))
-    return F.array_join(feistel_text(key, "phone", c, base, radix), "")
+    """The digits alone are permuted, whatever separates or groups them; a
+    country code stays, and the first digit after it stays within 0-1 or 2-9."""
+    c = _chars(_only(x, "0-9"))
+    country = F.when(F.startswith(x, F.lit("+")), F.length(F.regexp_extract(x, r"^\+(?:1|7|[2-9][0-9])", 0)) - 1).otherwise(0)
+    country = F.greatest(country, F.lit(0))
+    kind = F.transform(c, lambda ch, i: F.when(i < country, 0).when(i > country, 1).when(ch < "2", 2).otherwise(3))
+    base = F.transform(kind, lambda k: F.when(k == 3, 50).when(k == 0, 0).otherwise(48))
+    radix = F.transform(kind, lambda k: F.when(k == 1, 10).when(k == 2, 2).when(k == 3, 8).otherwise(1))
+    return laid_out(x, feistel_text(key, "phone", c, base, radix))
 
 
 def octets(key: str, x: Column) -> Column:
