@@ -19,6 +19,7 @@ from trendspark import bindings as B
 from trendspark.operators import timeseries as ts
 from trendspark.operators import validate as V
 from trendspark.plans.registry import AS_OF_SQL as ASOF, finish_sql, present, register, with_views
+from trendspark.sources import pages as PG
 from trendspark.sources import payloads as PL
 from trendspark.sources.conform import PATENT_SCHEMA, conform
 
@@ -534,3 +535,23 @@ def payload_rejects(spark, sf):
     done = good.crossJoin(records.agg(F.count(F.lit(1)).alias("n_records"))).select(F.lit("flattened").alias("outcome"), "n_payloads", "n_records")
     turned = rejects.groupBy(F.col("reject_reason").alias("outcome")).agg(F.count(F.lit(1)).alias("n_payloads")).withColumn("n_records", F.lit(0))
     return present(done.where("n_payloads > 0").unionByName(turned))
+
+
+# ---------------------------------------------------------------------------
+# SRC-9 at the source: landed pages with bounds, columns and cap
+# ---------------------------------------------------------------------------
+@register("source_pages_recent", finish_sql(with_views(["funding"], """
+select company_uuid, amount_usd, date, stage, row_key from funding
+where date >= TIMESTAMP '2000-01-01 00:00:00' and date <= TIMESTAMP '2000-12-31 00:00:00' order by date desc, row_key desc limit 1000"""),
+    d6=("amount_usd",), ts=("date",)))
+def source_pages_recent(spark, sf):
+    """The newest 1000 rounds of a year (the request cap is the feature), from
+    landed pages: other pages are not opened."""
+    import uuid
+    from trendspark.session import ensure_checkpoint_dir, ship_package
+    ship_package(spark)
+    at = f"{ensure_checkpoint_dir(spark).rstrip('/')}/trendspark-pages/{uuid.uuid4().hex}"
+    PG.land_pages(B.funding(spark, sf), at, "date", 16)
+    rows = PG.read_pages(spark, at, "date", ["company_uuid", "amount_usd", "date", "stage", "row_key"],
+                         dt.datetime(2000, 1, 1), dt.datetime(2000, 12, 31), cap=1000)
+    return present(rows.orderBy(F.col("date").desc(), F.col("row_key").desc()).limit(1000))
