@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CHUNK = 1 << 20  # bytes (or code points) worked on at a time; no result depends on it
+STEP = 1 << 18   # the same where many bytes are held for each byte of text
 
 _BASE = np.uint64(0x9E3779B97F4A7C55)          # odd, so it has an inverse modulo 2**64
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C55, -1, 1 << 64))

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import filter_slots, id_filter, id_and_text, may_hold, mix, row_chunks, string_bytes, tidied, word_hash
+from .common import STEP, filter_slots, id_filter, id_and_text, may_hold, mix, row_chunks, string_bytes, tidied, word_hash
 from .components import components
 
 SKETCH_BITS = 18
@@ -95,7 +95,7 @@ def _scan(docs: DataFrame, words: int) -> DataFrame:
         names = ["doc_id", "n", "cls", "bucket", "hits"]
         for b in batches:
             raw, offsets = string_bytes(b.column("text"))
-            for lo, hi in row_chunks(offsets):
+            for lo, hi in row_chunks(offsets, STEP):
                 keys, at = shingle_sets(raw[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], words)
                 hits += np.bincount((keys >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(hits))
                 cls = [_class_key(keys[a:z]) for a, z in zip(at[:-1].tolist(), at[1:].tolist())]
@@ -120,7 +120,7 @@ def _short_lists(docs: DataFrame, hits: np.ndarray, words: int, percent: int) ->
         weight, seen = model.value, set()  # classes met lately; what is passed on twice is one row later
         for b in batches:
             raw, offsets = string_bytes(b.column("text"))
-            for lo, hi in row_chunks(offsets):
+            for lo, hi in row_chunks(offsets, STEP):
                 keys, at = shingle_sets(raw[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], words)
                 n = np.diff(at)
                 cls = np.array([_class_key(keys[a:z]) for a, z in zip(at[:-1].tolist(), at[1:].tolist())], np.int64)
@@ -193,7 +193,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
             sides = [string_bytes(b.column(x)) for x in ("text_a", "text_b")]
             both = np.maximum(*[np.diff(o) for _, o in sides])
             keep = []
-            for lo, hi in row_chunks(np.concatenate([[0], np.cumsum(both)])):
+            for lo, hi in row_chunks(np.concatenate([[0], np.cumsum(both)]), STEP):
                 (x, at_x), (y, at_y) = (shingle_sets(raw[o[lo]:o[hi]], o[lo:hi + 1] - o[lo], words) for raw, o in sides)
                 for i in range(hi - lo):
                     mine, other = x[at_x[i]:at_x[i + 1]], y[at_y[i]:at_y[i + 1]]
@@ -220,7 +220,7 @@ def _class_texts(docs: DataFrame, rows: DataFrame, alive: DataFrame, words: int)
             at = pa.array(np.flatnonzero(may_hold(bits.value, b)))
             ids, texts = b.column("doc_id").take(at), b.column("text").take(at)
             raw, offsets = string_bytes(texts)
-            for lo, hi in row_chunks(offsets):
+            for lo, hi in row_chunks(offsets, STEP):
                 keys, own = shingle_sets(raw[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], words)
                 cls = [_class_key(keys[x:y]) for x, y in zip(own[:-1].tolist(), own[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(cls, pa.int64()), texts.slice(lo, hi - lo)], ["doc_id", "cls", "text"])

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
-from .common import HashTable, row_chunks, spread, string_bytes, tidied
+from .common import STEP, HashTable, row_chunks, spread, string_bytes, tidied
 
 ORDER = 3
 SAMPLE_DOCS = 300        # documents of each language that the trees are learned from, at most
@@ -176,7 +176,7 @@ def with_language(docs: DataFrame, learn_from: DataFrame | None = None, sample_d
         for b in batches:
             texts = b.column(names.index("text"))
             raw, offsets = string_bytes(texts)
-            for lo, hi in row_chunks(offsets):
+            for lo, hi in row_chunks(offsets, STEP):
                 bits = t.code_lengths(raw[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
                 langs, scores, rates = [], [], []
                 for i, text in enumerate(texts.slice(lo, hi - lo).to_pylist()):

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..session import materialize
-from .common import id_and_text, row_chunks, string_bytes, tidied
+from .common import STEP, id_and_text, row_chunks, string_bytes, tidied
 from .words import byte_encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -93,7 +93,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, size: int) -> DataFrame:
             texts = b.column("text")
             doc_ids = b.column("doc_id")
             _, offsets = string_bytes(texts)
-            for lo, hi in row_chunks(offsets):
+            for lo, hi in row_chunks(offsets, STEP):
                 ids, counts = enc.encode(texts.slice(lo, hi - lo).to_pylist())
                 n = counts + 1
                 full = np.full(int(n.sum()), END_ID, "<u4")

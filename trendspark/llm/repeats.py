@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..session import materialize
-from .common import filter_slots, id_and_text, id_filter, may_hold, mix, prefix_hash, row_chunks, span_hash, spread, string_bytes, tidied
+from .common import STEP, filter_slots, id_and_text, id_filter, may_hold, mix, prefix_hash, row_chunks, span_hash, spread, string_bytes, tidied
 
 GRAM = 32
 HOT = 4096
@@ -76,7 +76,7 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarr
 def document_anchors(raw: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """As ``anchors``, for documents of any length."""
     parts = []
-    for lo, hi in row_chunks(offsets):
+    for lo, hi in row_chunks(offsets, STEP):
         if hi - lo > 1 or offsets[hi] - offsets[lo] <= SEGMENT:
             a, c, d, s, n = anchors(raw[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], length)
             parts.append((a, c, d + lo, s, n))
