@@ -202,6 +202,23 @@ class TrainParams:
     parallelism: int = 8
 
 
+# FIXED VALUES: the whole grids, 16 points a model.
+FOREST_POINTS = tuple({"n_estimators": n, "max_depth": d, "min_samples_split": split, "min_samples_leaf": leaf}
+                      for n in (50, 100) for d in (5, 10) for split in (2, 5) for leaf in (1, 2))
+BOOSTING_POINTS = tuple({"n_estimators": n, "learning_rate": rate, "max_depth": d, "subsample": share}
+                        for n in (50, 100) for rate in (0.05, 0.1) for d in (3, 5) for share in (0.8, 1.0))
+
+
+@dataclass(frozen=True)
+class GridParams:
+    """Tree ensembles per sector as grouped tasks. The default is the whole grids."""
+    min_samples: int = 20
+    n_folds: int = 3
+    forest: tuple[dict, ...] = FOREST_POINTS
+    boosting: tuple[dict, ...] = BOOSTING_POINTS
+    seed: int = 42
+
+
 # One point per model: the headline bench's grid (not a default of the library).
-SMALL_GRID = TrainParams(rf_grid=({"numTrees": 20, "maxDepth": 5, "minInstancesPerNode": 1},),
-                         gbt_grid=({"maxIter": 5, "stepSize": 0.1, "maxDepth": 3, "subsamplingRate": 1.0},))
+SMALL_GRID = GridParams(forest=({"n_estimators": 20, "max_depth": 5, "min_samples_split": 2, "min_samples_leaf": 1},),
+                        boosting=({"n_estimators": 5, "learning_rate": 0.1, "max_depth": 3, "subsample": 1.0},))
