@@ -17,6 +17,14 @@ from trendspark.llm.queries import PII_KEY, tokenizer_path
 from trendspark.session import materialize
 
 ROW = "__row"
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20  # of text that a Python worker is handed at a time, beside one longer row; no result depends on it
+
+
+def _bounded(spark: SparkSession) -> None:
+    """Let Arrow batches be bounded by their bytes: workers keep the memory of
+    the largest batch they met, and the stages share their workers."""
+    spark.conf.set(BATCH, str(BATCH_BYTES))
 
 
 def _with_row(docs: DataFrame) -> DataFrame:
@@ -34,6 +42,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language go: null texts, texts without a letter,
     and those for which no language is likelier than all others together. Where
     no language can be learned, only null texts and texts without a letter go."""
+    _bounded(spark)
     trees = langid.learn(docs)
     if not trees.langs:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
@@ -45,6 +54,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by five-word shingles at a similarity
     of 0.8 or more the one of smallest id stays."""
+    _bounded(spark)
     rows = _with_row(docs)
     groups = jaccard.near_duplicate_groups(rows.select(F.col(ROW).alias("doc_id"), "text"), words=5, percent=80)
     gone = groups.filter("component_id <> doc_id").select(F.col("doc_id").alias(ROW))
@@ -54,6 +64,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 100 bytes or more that occur earlier are cut from texts; a
     character goes if all its bytes go. No document goes; a text may end empty."""
+    _bounded(spark)
     rows = _with_row(docs)
     left = repeats.remove_repeats(rows.select(F.col(ROW).alias("doc_id"), "text"), length=100, keep=True)
     left = left.select(F.col("doc_id").alias(ROW), F.col("kept").alias("__kept"))
@@ -75,13 +86,14 @@ def _counted(out: DataFrame, docs: DataFrame) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 1024 ids; see packing.pack for the columns."""
+    _bounded(spark)
     return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), size=1024)
 
 
 STAGES = [("language_id", language), ("ngram_jaccard_join", near_duplicates), ("suffix_array_dedup", repeated_passages),
           ("pii", personal_data), ("packing", pack)]
 
-ORACLE_SQL = None  # language models and tokenizers are not expressible in SQL; tested against brute force
+ORACLE_SQL = None  # language models and tokenizers are not expressible in SQL; run() is tested against brute force (tests/llm/test_pipeline.py)
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
