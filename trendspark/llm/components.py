@@ -28,7 +28,7 @@ def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             return nodes, nodes[root]
 
 
-SALTS = 8
+SALTS = 4
 
 
 def _contract(by_key: bool):
