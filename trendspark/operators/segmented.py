@@ -6,7 +6,8 @@ a large group is cut into slices, each bounded by the partition size. Every
 slice is worked on alone, and what it needs from the slices before it (the last
 non-null values, the last k rows) comes from a table with a row or two per
 slice: partitions + groups rows in all. That table's own window is over slices,
-not rows.
+not rows. What comes after a row is taken by a running window in falling order:
+a frame up to the end of a slice would be read anew for each of its rows.
 
 The range partitioning is fixed by a reliable checkpoint, so slice numbers hold
 when executors are lost. Ties in time go by the columns of ``order``; give
@@ -38,12 +39,12 @@ def _cleaned(df: DataFrame, rows: DataFrame, extra: list[Column]) -> DataFrame:
     return rows.select(*[F.col(f"`{c}`") for c in df.columns], *extra)
 
 
-def _in_slice():
-    return Window.partitionBy(_SLICE, _GROUP).orderBy(_PLACE)
+def _in_slice(backward: bool = False):
+    return Window.partitionBy(_SLICE, _GROUP).orderBy(F.col(_PLACE).desc() if backward else F.col(_PLACE))
 
 
-def _slices():
-    return Window.partitionBy(_GROUP).orderBy(_SLICE)
+def _slices(backward: bool = False):
+    return Window.partitionBy(_GROUP).orderBy(F.col(_SLICE).desc() if backward else F.col(_SLICE))
 
 
 def _carried(rows: DataFrame, cols: list[str], forward: bool) -> DataFrame:
@@ -51,9 +52,8 @@ def _carried(rows: DataFrame, cols: list[str], forward: bool) -> DataFrame:
     non-null one of the slices before (``forward``) or the first after it."""
     pick = F.max_by if forward else F.min_by
     ends = rows.groupBy(_SLICE, _GROUP).agg(*[pick(F.col(f"`{c}`"), F.when(F.col(f"`{c}`").isNotNull(), F.col(_PLACE))).alias(c) for c in cols])
-    frame = _slices().rowsBetween(Window.unboundedPreceding, -1) if forward else _slices().rowsBetween(1, Window.unboundedFollowing)
-    over = F.last if forward else F.first
-    return ends.select(_SLICE, _GROUP, *[over(F.col(f"`{c}`"), ignorenulls=True).over(frame).alias(f"__in_{c}") for c in cols])
+    frame = _slices(not forward).rowsBetween(Window.unboundedPreceding, -1)
+    return ends.select(_SLICE, _GROUP, *[F.last(F.col(f"`{c}`"), ignorenulls=True).over(frame).alias(f"__in_{c}") for c in cols])
 
 
 def _with_carry(rows: DataFrame, carry: DataFrame) -> DataFrame:
@@ -74,7 +74,7 @@ def fill(df: DataFrame, keys: list[str], order: list[Column | str], cols: list[s
     if backward:
         after = _carried(rows, cols, False).withColumnsRenamed({f"__in_{c}": f"__out_{c}" for c in cols})
         wide = _with_carry(wide, after)
-        out = {c: F.coalesce(out[c], F.first(F.col(f"`{c}`"), ignorenulls=True).over(_in_slice().rowsBetween(Window.currentRow, Window.unboundedFollowing)), F.col(f"__out_{c}")) for c in cols}
+        out = {c: F.coalesce(out[c], F.last(F.col(f"`{c}`"), ignorenulls=True).over(_in_slice(True).rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.col(f"__out_{c}")) for c in cols}
     wide = wide.select("*", *[v.alias(f"__new_{c}") for c, v in out.items()])
     return wide.select(*[F.col(f"__new_{c}").alias(c) if c in cols else F.col(f"`{c}`") for c in df.columns])
 
