@@ -82,3 +82,10 @@ def test_date_from_parts_month_forms(spark):
                                "y string, m string, d string")
     got = [str(r[0]) for r in df.select(date_from_parts("y", "m", "d")).collect()]
     assert got == ["2022-12-01", "2022-12-03", "2022-07-04", "1900-01-01"]
+
+
+def test_office_xml_is_parsed_once_under_a_rule(spark):
+    flat = PL.flatten_office_xml(spark.range(3).selectExpr("cast(id as string) as payload"))
+    rules = V.patent_rules(flat, date_col="publication_date", pattern="yyyyMMdd", fields=("patent_id", "title", "publication_date"))
+    for df in (V.valid(rules).select("patent_id", "title", "publication_date"), V.counts(rules), flat):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("from_xml(") == 1
