@@ -1,10 +1,12 @@
 """Payload flattening and validation on literal payloads."""
+import datetime as dt
 import json
 
 from pyspark.sql import functions as F
 
 from trendspark.functions.scalars import date_from_parts
 from trendspark.operators import validate as V
+from trendspark.plans import queries_ingest as QI
 from trendspark.sources import payloads as PL
 
 
@@ -89,3 +91,34 @@ def test_office_xml_is_parsed_once_under_a_rule(spark):
     rules = V.patent_rules(flat, date_col="publication_date", pattern="yyyyMMdd", fields=("patent_id", "title", "publication_date"))
     for df in (V.valid(rules).select("patent_id", "title", "publication_date"), V.counts(rules), flat):
         assert df._jdf.queryExecution().optimizedPlan().toString().count("from_xml(") == 1
+
+
+def test_pages_of_an_order_are_grouped_where_its_lines_are_joined(spark, tmp_path):
+    def put(name, rows, schema):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+
+    day = dt.datetime(2000, 1, 2)
+    put("lineitem", [(o, 7, 3, n, 50.0 if n == 2 else 4.0, "A" if n == 1 else "N", day) for o in (1, 1, 2) for n in (1, 2, 7)],
+        "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string, l_shipdate timestamp_ntz")
+    put("part", [(7, "a<b", "B#1")], "p_partkey long, p_name string, p_brand string")
+    put("supplier", [(3, "S#3")], "s_suppkey long, s_name string")
+    put("orders", [(1, 5), (2, 5), (3, 5)], "o_orderkey long, o_custkey long")
+    put("customer", [(5, "BUILDING")], "c_custkey long, c_mktsegment string")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for pages in (QI.patent_json_pages(spark, str(tmp_path)), QI.office_xml_pages(spark, str(tmp_path))):
+            # two sides of each of four joins: none for the grouping
+            assert pages._jdf.queryExecution().sparkPlan().toString().count("Join") == 4
+            assert pages._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 8
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    docs = sorted((len(json.loads(r.payload)["results"]) for r in QI.patent_json_pages(spark, str(tmp_path)).collect()))
+    assert docs == [3, 6]
+    flat = PL.flatten_patent_json(QI.patent_json_pages(spark, str(tmp_path)))
+    rows = sorted((r.patent_id, r.title, r.filing_date, r.inventor_count, r.citations) for r in flat.collect())
+    assert rows[::2][:1] == [("1-1-7-3", "a<b", "2000-01-02", 2, 4)] and ("2-2-7-3", None, "2000-01-02", 2, 50) in rows
+    assert ("2-7-7-3", "a<b", "2000/01/02", 2, 4) in rows and len(rows) == 9
+    office = PL.flatten_office_xml(QI.office_xml_pages(spark, str(tmp_path))).collect()
+    assert sorted((r.patent_id, r.title, r.publication_date, r.total_result_count) for r in office) == sorted(
+        (f"{o}-{n}-7-3", "a<b" if n == 1 else "DE a<b", "2000-01-02" if n == 7 else "20000102", 3 if o == 2 else 6) for o in (1, 1, 2) for n in (1, 2, 7))
