@@ -250,6 +250,32 @@ def test_similarity_join_against_brute_force(spark, monkeypatch):
     assert sorted(map(tuple, got), key=str) == brute_groups(docs, 3, 90)
 
 
+def test_near_copies_are_tried_with_their_source_first(spark, monkeypatch):
+    """Copies that took over a common passage have as many crowded short lists
+    as the text that all are copies of; pairs to verify stay in proportion."""
+    rnd = random.Random(3)
+    base, passage = [f"w{i}" for i in range(150)], [f"p{i}" for i in range(4)]
+    docs = [(0, " ".join(base))]
+    for i in range(1, 241):
+        w = list(base)
+        for k in rnd.sample(range(20, 140), 1 + i % 2):
+            w[k] = f"z{i}x{k}"
+        docs.append((i, " ".join(w)))
+    docs += [(300 + k, " ".join(base[k:] + passage)) for k in range(1, 10)]
+    docs += [(1000 + i, " ".join([f"y{i}a{k}" for k in range(30)] + base[-2:] + passage)) for i in range(30)]
+    monkeypatch.setattr(jaccard, "MANY", 8)
+    verified, tried = jaccard._verified, []
+
+    def counted(pairs, *rest):
+        tried.append(pairs.count())
+        return verified(pairs, *rest)
+    monkeypatch.setattr(jaccard, "_verified", counted)
+    got = jaccard.near_duplicate_groups(spark.createDataFrame(docs, DOCS).repartition(3), 3, 90).collect()
+    assert sorted(map(tuple, got), key=str) == brute_groups(docs, 3, 90)
+    assert {r.component_id for r in got if r.doc_id < 1000} == {0}
+    assert sum(tried) <= 8 * len(docs), tried
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, i) for i in range(1001, 1200)]
     random.Random(1).shuffle(edges)

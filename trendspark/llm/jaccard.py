@@ -13,11 +13,12 @@ in the partner's sorted shingles, which gives the exact overlap.
 A short list that still holds more than MANY documents (a large group of near
 copies, a passage in very many documents) is not merged with the others: it
 counts as a bound for pairs met elsewhere. Only components are asked for, so
-its documents are first tried with the list's leader, the one with most of its
-short lists crowded (the text the others are copies of has no shingle of its
-own), and those of other components with a second leader; then only pairs are
-compared that still lie in different components and whose crowded lists could
-make up the overlap alone. Documents with equal shingle sets are one class from
+its documents are first tried with the list's leader, the one whose shingles
+are the most common ones over its whole set (the text the others are copies of
+has no shingle of its own; the few short lists alone leave many documents equal
+in that), and those of other components with a second leader, again as long as
+this links documents; then only pairs are compared that still lie in different
+components and whose crowded lists could make up the overlap alone. Documents with equal shingle sets are one class from
 the start, so groups of copies cost one document.
 """
 from __future__ import annotations
@@ -37,6 +38,7 @@ from .components import components
 
 SKETCH_BITS = 18
 MANY = 64     # lists of more classes are not merged pair by pair
+ROUNDS = 4    # of leaders at most
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,13 +109,15 @@ def _scan(docs: DataFrame, words: int) -> DataFrame:
     return id_and_text(docs).mapInArrow(tidied(run), "doc_id long, n long, cls long, bucket long, hits long")
 
 
-LISTS = "token long, cls long, n int, place int"
+LISTS = "token long, cls long, n int, place int, common int"
+COLUMNS = [x.split()[0] for x in LISTS.split(", ")]
 
 
 def _short_lists(docs: DataFrame, hits: np.ndarray, words: int, percent: int) -> tuple[DataFrame, Broadcast]:
-    """(token, cls, n, place): each class in its shortest lists, all but the
-    T - 1 longest, where T is the least overlap with any partner; place: the
-    list's number in the class's order. And the broadcast that this reads."""
+    """(token, cls, n, place, common): each class in its shortest lists, all but
+    the T - 1 longest, where T is the least overlap with any partner; place: the
+    list's number in the class's order; common: the mean logarithm (in 1/1024) of
+    the lengths of all lists of the class. And the broadcast that this reads."""
     model = docs.sparkSession.sparkContext.broadcast(hits)  # 2**SKETCH_BITS counts at any size; released by the caller
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,13 +136,15 @@ def _short_lists(docs: DataFrame, hits: np.ndarray, words: int, percent: int) ->
                 if len(seen) > 1 << 18:
                     seen.clear()
                 of = np.repeat(np.arange(hi - lo), n)
-                order = np.lexsort((keys, weight[(keys >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], of))
+                length = weight[(keys >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                common = np.bincount(of, np.log2(length), hi - lo) * 1024 // np.maximum(n, 1)
+                order = np.lexsort((keys, length, of))
                 short = n + (-percent * n // 100) + 1  # n - ceil(percent * n / 100) + 1
                 place = np.arange(len(of)) - np.repeat(at[:-1], n)
                 keep = (place < short[of]) & new[of]
                 of, token, place = of[keep], keys[order][keep], place[keep]
                 yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(cls[of]), pa.array(n[of].astype(np.int32)),
-                                                  pa.array(place.astype(np.int32))], ["token", "cls", "n", "place"])
+                                                  pa.array(place.astype(np.int32)), pa.array(common[of].astype(np.int32))], COLUMNS)
     return id_and_text(docs).select("text").mapInArrow(tidied(run), LISTS), model
 
 
@@ -147,23 +153,22 @@ def _shared_lists(lists: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, held_out = None, False  # the last row, and whether it has been passed on
         for b in batches:
-            t, c, n, p = (b.column(x).to_numpy() for x in ("token", "cls", "n", "place"))
+            t, c, n, p, m = (b.column(x).to_numpy() for x in COLUMNS)
             if not len(t):
                 continue
             if held is not None:
-                t, c, n, p = (np.append(x, y) for x, y in zip(held, (t, c, n, p)))
+                t, c, n, p, m = (np.append(x, y) for x, y in zip(held, (t, c, n, p, m)))
             new = np.ones(len(t), bool)
             new[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1]) | (n[1:] != n[:-1])
-            t, c, n, p = t[new], c[new], n[new], p[new]
+            t, c, n, p, m = t[new], c[new], n[new], p[new], m[new]
             same = np.zeros(len(t) + 1, bool)
             same[1:-1] = t[1:] == t[:-1]
             out = same[:-1] | same[1:]
             done = held is not None and held_out
-            held, held_out = (t[-1:], c[-1:], n[-1:], p[-1:]), bool(out[-1]) or (done and len(t) == 1)
+            held, held_out = (t[-1:], c[-1:], n[-1:], p[-1:], m[-1:]), bool(out[-1]) or (done and len(t) == 1)
             out[0] &= not done
             out = np.flatnonzero(out)
-            yield pa.RecordBatch.from_arrays([pa.array(t[out]), pa.array(c[out]), pa.array(n[out].astype(np.int32)),
-                                              pa.array(p[out].astype(np.int32))], ["token", "cls", "n", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(t[out]), pa.array(c[out]), *[pa.array(x[out].astype(np.int32)) for x in (n, p, m)]], COLUMNS)
     return lists.repartition("token").sortWithinPartitions("token", "n", "cls").mapInArrow(tidied(run), LISTS)
 
 
@@ -239,7 +244,7 @@ def _leader_pairs(rows: DataFrame, side: tuple[str, ...], may_link: Column) -> D
     other components than the leader's with a second one: at most two pairs a
     row. A pair's first is the larger one (ties: by class)."""
     def with_leader(rows: DataFrame) -> DataFrame:
-        top = rows.groupBy("token").agg(F.max_by(F.struct(*side), F.struct("crowds", "n", "cls")).alias("t"))
+        top = rows.groupBy("token").agg(F.max_by(F.struct(*side), F.struct("common", "n", "cls")).alias("t"))
         met = rows.join(top, "token").filter("g <> t.g")
         return met.select(*rows.columns, *[F.col(f"t.{c}").alias(f"{c}_b") for c in side])
     rows = materialize(rows.select("token", *side), "join-leaders")
@@ -326,16 +331,18 @@ def near_duplicate_groups(docs: DataFrame, words: int = 3, percent: int = 90) ->
     groups.add(counted.groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b")))  # the partner met most often
     groups.add(groups.apart(counted.select("a", "b")))
 
-    # documents that share the lists of many: the neighbour by size met most often, then all that are still apart;
+    # documents that share the lists of many: the leaders of their lists, then all that are still apart;
     # they share no list of few (such pairs have been tried), so the lists of many alone must reach the overlap
     if not crowd.isEmpty():
         crowd = crowd.join(crowds, "cls")
         possible = _enough(F.least("crowds", "crowds_b"), F.col("n"), F.col("n_b"), percent)
-        side = ("cls", "n", "g", "crowds")
-        groups.add(groups.untried(_leader_pairs(groups.named(crowd, "cls", "g"), side, fits & possible)))
+        side = ("cls", "n", "g", "crowds", "common")
+        for _ in range(ROUNDS):  # larger components have other second leaders
+            if not groups.add(groups.untried(_leader_pairs(groups.named(crowd, "cls", "g"), side, fits & possible))):
+                break
         mine = groups.named(crowd, "cls", "g")
         mixed = mine.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo <> hi").select("token")
-        side = (*side, "place")
+        side = ("cls", "n", "g", "crowds", "place")
         mine = mine.join(mixed, "token", "left_semi").select("token", *side)
         step = float(np.log(100 / percent))
         band = lambda c: F.floor(F.log(F.col(c).cast("double")) / F.lit(step)).cast("int")
