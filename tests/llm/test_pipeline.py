@@ -106,3 +106,16 @@ def test_run_is_the_brute_force_pipeline(spark, monkeypatch):
             assert offset == end
             end += length
         assert end <= 1024
+
+
+def test_workers_are_handed_little_text_at_a_time(spark):
+    """Workers hold several times a batch; 40 texts of 0.1 MB are no one batch."""
+    corpus_pipeline._bounded(spark)
+
+    def sizes(batches):
+        import pyarrow as pa
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(map(len, b.column("text").to_pylist()))], pa.int64())], ["size"])
+    docs = spark.range(40, numPartitions=1).selectExpr("repeat(cast(id % 10 as string), 100000) as text")
+    got = [r["size"] for r in docs.mapInArrow(sizes, "size long").collect()]
+    assert sum(got) == 40 * 100000 and max(got) <= (1 << 20) + 100000
