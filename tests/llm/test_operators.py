@@ -501,6 +501,38 @@ def test_blocks_round_trip_and_show_damage():
         rangecoder.decode_blocks([bytes(bad)], 50257)
 
 
+def test_blocks_share_an_order_0_table(monkeypatch):
+    rnd = np.random.default_rng(2)
+    ids = rnd.choice(50257, 400, replace=False)[rnd.integers(0, 400, 40000)].astype(np.uint32)
+    blocks = rangecoder.encode_blocks(ids, 50257)
+    assert np.array_equal(np.concatenate(rangecoder.decode_blocks(blocks, 50257)), ids)
+    # 8.64 bits an id; counts that each block begins without cost another bit and more
+    assert sum(map(len, blocks)) < 1.25 * len(ids)
+    assert [len(x) for x in rangecoder.decode_blocks(blocks, 50257)] == [0, 8192, 8192, 8192, 8192, 7232]
+    bad = bytearray(blocks[2])
+    bad[-3] ^= 1
+    for some in ([blocks[0], bytes(bad)], blocks[1:], [blocks[0][:-1], *blocks[1:]]):
+        with pytest.raises(ValueError):
+            rangecoder.decode_blocks(some, 50257)
+    with pytest.raises(ValueError):
+        rangecoder.decode_blocks(blocks, 300)
+    # fewer lanes than blocks, and a block alone after its table
+    monkeypatch.setattr(rangecoder, "LANES", 2)
+    assert rangecoder.encode_blocks(ids, 50257) == blocks
+    assert np.array_equal(rangecoder.decode_blocks([blocks[0], blocks[3]], 50257)[1], ids[2 * 8192:3 * 8192])
+
+
+def test_blocks_of_odd_streams_read_back():
+    rnd = np.random.default_rng(3)
+    for ids in (np.zeros(20000), np.full(3, 50256), np.arange(50257), np.tile([7, 7, 9], 9000), np.repeat(rnd.integers(0, 50257, 90), 200),
+                np.where(rnd.random(30000) < .999, 5, rnd.integers(0, 50257, 30000)), rnd.zipf(1.1, 60000).clip(0, 50256)):
+        ids = ids.astype(np.uint32)
+        back = rangecoder.decode_blocks(rangecoder.encode_blocks(ids, 50257), 50257)
+        assert np.array_equal(np.concatenate(back), ids)
+    many = rnd.permutation(300000).astype(np.uint32)  # more groups than a byte holds
+    assert np.array_equal(np.concatenate(rangecoder.decode_blocks(rangecoder.encode_blocks(many, 300000), 300000)), many)
+
+
 def test_token_file_reads_back(spark, tmp_path):
     tok, rows = Tokenizer.from_file(BYTES), odd_texts(7, 60)
     got = rangecoder.token_file(spark.createDataFrame(rows, DOCS), f"file://{tmp_path}/ids", BYTES).collect()
